@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import decontaminate, language_id, near_dedup, packing, secret_scan, token_stream
+from . import decontaminate, language_id, license_scan, near_dedup, packing, secret_scan, token_stream, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -28,12 +28,24 @@ def language_model(documents: DataFrame) -> language_id.Model:
     return language_id.fit(documents.where(~F.coalesce(held_out(), F.lit(False))))
 
 
+#: (host, path prefix, block)
+URL_RULES = [("com", "/en/", True), ("example.com", "/en/7", False), ("net", "/de/", False), ("example.net", "/de/8", True), ("org", "/es/", True)]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(c.read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.read_table(spark, sf_dir, "documents")
     found = language_id.detect(docs, language_model(docs))
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(c.read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.read_table(spark, sf_dir, "documents")
     shards = token_stream.write(docs, vocabulary("byte_bpe_50k.json"), c.scratch(spark, "tokens"))
@@ -65,8 +77,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language_id": op2_language_id, "op4_token_stream": op4_token_stream, "op5_packing": op5_packing, "op7_near_dedup": op7_near_dedup, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan, "pipeline": pipeline}
+    return {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_license_scan": op3_license_scan, "op4_token_stream": op4_token_stream, "op5_packing": op5_packing, "op7_near_dedup": op7_near_dedup, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    rules = ", ".join(f"('{h}', '{p}', '{'block' if b else 'allow'}')" for h, p, b in URL_RULES)
+    return {
+        "op1_url_filter": f"""
+WITH rules(h, p, v) AS (VALUES {rules}),
+parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+fits AS (
+  SELECT page_id, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, v DESC) AS n
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT parts.page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+FROM parts LEFT JOIN fits ON parts.page_id = fits.page_id AND n = 1""",
+    }
