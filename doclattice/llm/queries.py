@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import decontaminate, language_id, license_scan, near_dedup, packing, secret_scan, token_stream, url_filter
+from . import decontaminate, language_id, license_scan, near_dedup, packing, repeat_dedup, secret_scan, token_stream, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -70,6 +70,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op10_repeat_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_dedup.remove_repeats(c.read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it builds on this module
 
@@ -77,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_license_scan": op3_license_scan, "op4_token_stream": op4_token_stream, "op5_packing": op5_packing, "op7_near_dedup": op7_near_dedup, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan, "pipeline": pipeline}
+    return {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_license_scan": op3_license_scan, "op4_token_stream": op4_token_stream, "op5_packing": op5_packing, "op7_near_dedup": op7_near_dedup, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan, "op10_repeat_dedup": op10_repeat_dedup, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
