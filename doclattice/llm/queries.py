@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import decontaminate, language_id, license_scan, near_dedup, packing, repeat_dedup, secret_scan, token_stream, url_filter
+from . import bm25_search, decontaminate, language_id, license_scan, near_dedup, packing, repeat_dedup, secret_scan, token_stream, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -56,6 +56,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(c.read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_search.search(c.read_table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(c.read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -81,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_license_scan": op3_license_scan, "op4_token_stream": op4_token_stream, "op5_packing": op5_packing, "op7_near_dedup": op7_near_dedup, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan, "op10_repeat_dedup": op10_repeat_dedup, "pipeline": pipeline}
+    return {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_license_scan": op3_license_scan, "op4_token_stream": op4_token_stream, "op5_packing": op5_packing, "op6_bm25_search": op6_bm25_search, "op7_near_dedup": op7_near_dedup, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan, "op10_repeat_dedup": op10_repeat_dedup, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
