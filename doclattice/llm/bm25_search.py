@@ -33,7 +33,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,10 +215,7 @@ def search(docs: DataFrame, queries: DataFrame | None = None, k: int = 10, every
         own = c.keyed(queries, id_col, text_col).toDF("doc_id", "text").withColumn("asked", F.lit(True)).withColumn("result", F.lit(False))
         columns = columns.unionByName(own)
     base = docs
-    try:
-        stable = queries is None and bool(docs.select("_metadata.file_path", "_metadata.row_index").columns)
-    except AnalysisException:
-        stable = False
+    stable = queries is None and c.from_files(docs)
     if not stable:  # no files behind it: a table in the shared folder gives rows a stable place
         base = c.materialize(columns, "texts")
     asked = F.coalesce(F.col(f"`{id_col}`") % every == 0, F.lit(False)) if stable else F.col("asked")

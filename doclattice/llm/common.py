@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 #: Text bytes that one numpy pass takes at a time; bounds the working memory of a task.
 CHUNK_BYTES = 4 << 20
@@ -227,3 +228,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, whatever else the table carries."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])
+def from_files(df: DataFrame) -> bool:
+    """Whether rows can be told apart by the file and row that they come from."""
+    if "_metadata" in map(str.lower, df.columns):
+        return False
+    try:
+        return bool(df.select("_metadata.file_path", "_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+

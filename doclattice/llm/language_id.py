@@ -85,6 +85,8 @@ class Model:
 
     @staticmethod
     def _log_odds(counts: np.ndarray, alpha: float) -> np.ndarray:
+        if not len(counts):
+            return np.zeros((counts.shape[1], 0), np.float32)
         logs = np.log((counts + alpha) / (counts.sum(1, keepdims=True) + alpha * counts.shape[1]))
         return (logs - logs.mean(0)).T.astype(np.float32).copy()
 

@@ -356,7 +356,7 @@ def group(docs: DataFrame, percent: int = 70, id_col: str = "doc_id", text_col:
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     narrow = signed.select("doc_id", "n_shingles", "lo", "hi", salt.alias("salt"))
     copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = narrow.join(copies, ["lo", "hi", "salt"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
+    members = narrow.join(copies, ["lo", "hi", "salt"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
     members = c.materialize(members, "members")
 
     followers = members.where("rep <> doc_id").select("doc_id")
@@ -392,6 +392,7 @@ def group(docs: DataFrame, percent: int = 70, id_col: str = "doc_id", text_col:
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 70, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of the rows of ``docs`` whose id is the smallest of its group (one row of each repeated id's group stays whole)."""
-    gone = group(docs, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    name = c.unique_name(docs.columns, "gone")
+    gone = group(docs, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col(f"`{id_col}`").cast("bigint") == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, F.col(f"`{id_col}`").cast("bigint") == F.col(name), "left_anti")

@@ -38,7 +38,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -599,10 +598,7 @@ def next_prime(n: int) -> int:
 def remove_repeats(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: bytes, removed bytes, removed runs, SHA-256 of what is kept."""
     spark = docs.sparkSession
-    try:
-        place = docs.select("_metadata.file_path", "_metadata.row_index").columns and docs
-    except AnalysisException:  # no files behind it: a table in the shared folder gives it stable blocks
-        place = c.materialize(c.keyed(docs, id_col, text_col), "texts")
+    place = docs if c.from_files(docs) else c.materialize(c.keyed(docs, id_col, text_col), "texts")
     buckets = next_prime(max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     block = F.xxhash64(F.col("_metadata.file_path"), F.shiftright(F.col("_metadata.row_index"), 12))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
