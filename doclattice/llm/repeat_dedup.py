@@ -108,7 +108,7 @@ def stretches(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, n
 def _uid(doc: np.ndarray, th: np.ndarray) -> np.ndarray:
     """Identity of a document: its id and the hash of its text."""
     with np.errstate(over="ignore"):
-        return c.mix64(c.mix64(doc.view(np.uint64)) + th)
+        return c.mix64(c.mix64(doc.astype(np.int64).view(np.uint64)) + th)
 
 
 def _reply_key(uid: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -498,16 +498,23 @@ def _settle(e: np.ndarray) -> np.ndarray:
                 rows.append(r)
                 spans.append((int(first[r]), int(last[r])))
             else:
-                for s in found[t]:
+                run: list[int] = []  # neighbouring windows make one range
+                for x in sorted(found[t]):
+                    if run and x == run[-1] + 1:
+                        run[-1] = x
+                    else:
+                        run += [x, x]
+                for x, y in zip(run[::2], run[1::2]):
                     rows.append(r)
-                    spans.append((int(first[r]) + s, int(first[r]) + s))
+                    spans.append((int(first[r]) + x, int(first[r]) + y))
     if rows:
-        # a content's windows hold for every entry of its smallest document
-        until = np.append(lead[1:], len(e))
-        for r, (a, b) in zip(rows, spans):
-            x = e[lead[r] : until[r]]
-            x = x[x["doc"] == least[r]]
-            out.append(_cover(x["doc"], x["pos"], np.int64(a), np.int64(b), x["th"]))
+        # a content's windows hold for every entry of its smallest document; those stand first
+        at, span = np.array(rows), np.array(spans, np.int64)
+        smallest = np.bincount(own, e["doc"] == least[own]).astype(np.int64)[at]
+        k = np.repeat(np.arange(len(at)), smallest)
+        entry = lead[at[k]] + np.arange(len(k)) - np.repeat(np.cumsum(smallest) - smallest, smallest)
+        x = e[entry]
+        out.append(_cover(x["doc"], x["pos"], span[k, 0], span[k, 1], x["th"]))
     return np.concatenate(out)
 
 
