@@ -4,18 +4,19 @@ A query is the set of terms (lower-cased words of letters and digits) of a docum
 document's score is the sum over the query's terms of
 ``ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length))``,
 with N, df and the mean length over all documents. A shard is one task's documents with an
-inverted index; postings are sorted by document and have the greatest contribution of each
-block of ``BLOCK`` documents.
+inverted index; postings are sorted by document, and long lists have the greatest contribution
+of each block of ``BLOCK`` documents.
 
 1. Document frequencies are counted in the tasks, shuffled as packed arrays by term, and go with
    the queries' terms to one file per block of queries.
 2. Each shard scores its own queries in full; the k-th score is a threshold that the final
    k-th score can't fall below.
 3. Every shard runs every block of queries (a stated query set, in blocks that bound the
-   memory). As in WAND, terms are ordered by their greatest contributions, and those that can't reach
-   the threshold together propose no documents; of the other terms' postings, blocks whose
-   maxima (with the rest's bound) stay below the threshold are skipped; documents whose partial
-   score could reach it are scored exactly, in the order of terms that all shards share.
+   memory). A query whose terms' greatest contributions don't reach the threshold together skips the shard. As in
+   block-max WAND, the long lists of common terms propose no documents: the short lists are
+   added up, and a document goes on only if that sum and the long lists' maxima in its block could
+   reach the threshold; so blocks are skipped without reading their postings. Those that go on are
+   scored exactly, in the order of terms that all shards share.
 4. What reaches the threshold is merged: the k best by score, then id.
 
 The number of queries grows with the table, and each must be held against every shard; the
@@ -39,7 +40,9 @@ from pyspark.sql import functions as F
 from . import common as c
 
 K1, B = 1.2, 0.75
-BLOCK = 64
+BLOCK = 16
+#: Terms in more than one of so many documents of a shard have long lists.
+LONG = 16
 QUERIES_PER_BLOCK = 8192
 NO_ID = np.iinfo(np.int64).min
 SCHEMA = "query_id bigint, rank int, doc_id bigint, score double"
@@ -92,9 +95,16 @@ class Index:
     def __init__(self, shard: Shard, terms: np.ndarray, df: np.ndarray, n_docs: int, mean: float):
         at = np.minimum(np.searchsorted(terms, shard.word), len(terms) - 1)
         keep = np.flatnonzero(terms[at] == shard.word)
-        term, doc, tf = at[keep].astype(np.int32), shard.doc[keep], shard.tf[keep].astype(float)
+        term, doc, tf = at[keep], shard.doc[keep].astype(np.int64), shard.tf[keep].astype(float)
         idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * shard.size / max(mean, 1e-9))
+        # documents of one length lie together, which makes the maxima of blocks tight
+        self.order = np.argsort(shard.size, kind="stable")
+        begin = np.searchsorted(doc, np.arange(shard.n + 1))
+        at = self._spread(begin[self.order], begin[self.order + 1])
+        rank = np.empty(shard.n, np.int64)
+        rank[self.order] = np.arange(shard.n)
+        term, doc, tf = term[at], rank[doc[at]], tf[at]
+        norm = K1 * (1 - B + B * shard.size[self.order] / max(mean, 1e-9))
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         # by document, then term: what exact scoring reads
         self.d_term, self.d_weight = term, weight
@@ -105,17 +115,22 @@ class Index:
         term = term[order]
         self.n, self.n_terms = shard.n, len(terms)
         self.begin = np.searchsorted(term, np.arange(len(terms) + 1))
-        new = np.ones(len(term), bool)
-        new[1:] = (term[1:] != term[:-1]) | (self.doc[1:] // BLOCK != self.doc[:-1] // BLOCK)
-        cut = np.flatnonzero(new)
-        self.b_begin = np.append(cut, len(term))
-        self.b_of = self.doc[cut] // BLOCK
-        self.b_max = np.maximum.reduceat(self.weight, cut) if len(cut) else np.zeros(0)
-        self.t_blocks = np.searchsorted(cut, self.begin)
+        self.bounds = self.begin.tolist()
         self.t_max = np.zeros(len(terms))
-        some = np.flatnonzero(np.diff(self.begin))
+        count = np.diff(self.begin)
+        some = np.flatnonzero(count)
         if len(some):
-            self.t_max[some] = np.maximum.reduceat(self.b_max, self.t_blocks[some])
+            self.t_max[some] = np.maximum.reduceat(self.weight, self.begin[some])
+        # long lists have the greatest contribution in each block of documents
+        self.n_blocks = -(-self.n // BLOCK)
+        self.block = np.arange(self.n) // BLOCK
+        long = np.flatnonzero(count * LONG > self.n)
+        self.long = np.full(len(terms), -1)
+        self.long[long] = np.arange(len(long))
+        self.b_max = np.zeros((len(long), self.n_blocks))
+        for k, t in enumerate(long.tolist()):
+            own = slice(self.bounds[t], self.bounds[t + 1])
+            np.maximum.at(self.b_max[k], self.doc[own] // BLOCK, self.weight[own])
         self.asked = np.zeros(len(terms), bool)
 
     @staticmethod
@@ -134,39 +149,39 @@ class Index:
         self.asked[query] = False
         return np.bincount(owner[on], self.d_weight[at[on]], minlength=len(docs))
 
+    def _sums(self, terms: np.ndarray) -> np.ndarray:
+        """The terms' contributions to every document."""
+        spans = [(self.bounds[t], self.bounds[t + 1]) for t in terms.tolist()]
+        if not spans:
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), np.concatenate([self.weight[a:b] for a, b in spans]), minlength=self.n)
+
     def reaching(self, query: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
         """Documents with a score of at least ``level`` > 0, and the scores."""
         none = np.zeros(0, np.int64), np.zeros(0)
         query = query[self.t_max[query] > 0]
-        best = self.t_max[query]
         slack = level * (1 - 1e-9)  # sums in another order may differ in the last digits
-        if best.sum() < slack:
-            return none
-        order = np.argsort(best, kind="stable")
-        sums = np.cumsum(best[order])
-        pivot = int(np.searchsorted(sums, slack))
-        rest = float(sums[pivot - 1]) if pivot else 0.0
-        lead = query[order[pivot:]]
-        blocks = self._spread(self.t_blocks[lead], self.t_blocks[lead + 1])
-        bound = np.bincount(self.b_of[blocks], self.b_max[blocks], minlength=-(-self.n // BLOCK)) + rest
-        blocks = blocks[bound[self.b_of[blocks]] >= slack]
-        if not len(blocks):
+        if self.t_max[query].sum() < slack:
             return none
-        at = self._spread(self.b_begin[blocks], self.b_begin[blocks + 1])
-        docs = np.flatnonzero(np.bincount(self.doc[at], self.weight[at], minlength=self.n) + rest >= (slack if rest < slack else max(slack, np.nextafter(rest, np.inf))))
+        long = self.long[query]
+        common, rare = query[long >= 0], query[long < 0]
+        bound = self.b_max[long[long >= 0]].sum(0)
+        partial = self._sums(rare)
+        docs = np.flatnonzero((partial + bound[self.block] >= slack) & (partial + bound[self.block] > 0))
         if not len(docs):
             return none
+        if 3 * len(docs) * (self.d_begin[-1] / self.n) > (self.begin[common + 1] - self.begin[common]).sum():
+            full = partial + self._sums(common)  # cheaper than reading so many documents
+            docs = docs[full[docs] >= slack]
         scores = self.exact(query, docs)
         good = scores >= level
-        return docs[good], scores[good]
+        return self.order[docs[good]], scores[good]
 
     def best(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """All documents' scores, the k-th best of which is a threshold."""
-        a, b = self.begin[query], self.begin[query + 1]
-        at = self._spread(a, b)
-        scores = np.bincount(self.doc[at], self.weight[at], minlength=self.n)
+        """Scores of the k best documents, the least of which is a threshold."""
+        scores = self._sums(query)
         top = np.argpartition(-scores, min(k, len(scores)) - 1)[: min(k, len(scores))]
-        return top, self.exact(query, top)
+        return self.order[top], self.exact(query, top)
 
 
 # ---------------------------------------------------------------- over a corpus
