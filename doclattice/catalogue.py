@@ -6,14 +6,19 @@ of it; its SQL says the same in a comparison engine's words over the same deriva
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import findings, fuzzy, history, keys, predicates, registry, scoring, versions
+from . import storage
+from .operators import findings, fuzzy, history, keys, predicates, prose, registry, scoring, versions
 from .plans.surface import derive, with_derived
+from .sinks import render
+from .sources import code_facts, contracts, markdown, rest_documents
+from .streaming import history_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -583,3 +588,87 @@ def _(spark, sf):
     p = table(spark, sf, "part")
     files = p.where("p_size > 49").select(F.concat(F.col("p_brand"), F.lit("/src/"), F.col("p_name"), F.lit(".ts")).alias("path"))
     return predicates.changed_packages(p.select(F.col("p_brand").alias("dir")).distinct(), files)
+
+
+# ---------------------------------------------------------------- sources and renderings
+
+
+def _rest_docs(spark, sf) -> DataFrame:
+    p = table(spark, sf, "part").withColumn("id", F.col("p_partkey").cast("string"))
+    op = F.concat(F.lit('"/p/'), F.col("id"), F.lit('":{"parameters":[{"in":"path","name":"id","required":true}],"'), F.when(F.col("p_size") % 2 == 0, "get").otherwise("post"), F.lit('":{'), F.when(F.col("p_size") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('"operationId":"op'), F.col("id"), F.lit('",'))), F.lit('"summary":"'), F.col("p_name"), F.lit('","parameters":[{"in":"path","name":"id","required":false},{"in":"query","name":"q'), (F.col("p_size") % 4).cast("string"), F.lit('"}]}}'))
+    docs = p.groupBy(F.col("p_brand").alias("doc")).agg(F.array_join(F.array_sort(F.collect_list(op)), ",").alias("paths"))
+    return docs.select("doc", F.concat(F.lit('{"openapi":"3.0.1","paths":{'), F.col("paths"), F.lit("}}")).alias("content"))
+
+
+@query("rest_operations", "SELECT p_brand AS doc, CASE WHEN p_size % 3 = 0 THEN concat(CASE WHEN p_size % 2 = 0 THEN 'GET' ELSE 'POST' END, ' /p/', p_partkey) ELSE concat('op', p_partkey) END AS name, p_name AS description, CASE WHEN p_size % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, concat('/p/', p_partkey) AS path FROM part")
+def _(spark, sf):
+    return rest_documents.operations(rest_documents.parse(_rest_docs(spark, sf))).select("doc", "name", "description", "method", "path")
+
+
+@query("rest_parameters", "SELECT p_brand AS doc, CASE WHEN p_size % 3 = 0 THEN concat(CASE WHEN p_size % 2 = 0 THEN 'GET' ELSE 'POST' END, ' /p/', p_partkey) ELSE concat('op', p_partkey) END AS operation, unnest(['id', concat('q', p_size % 4)]) AS name, false AS required, CAST(unnest([1, 2]) AS INT) AS param_pos FROM part")
+def _(spark, sf):
+    ops = rest_documents.operations(rest_documents.parse(_rest_docs(spark, sf)))
+    return rest_documents.parameters(ops).join(ops.select("doc", "export_pos", F.col("name").alias("operation")), ["doc", "export_pos"]).select("doc", "operation", "name", "required", "param_pos")
+
+
+@query("contract_exports", "SELECT concat('c', s_suppkey) AS contract, unnest(['function', 'map', 'token']) AS kind, unnest([concat('f', s_nationkey), 'balances', s_name]) AS name, unnest([CASE WHEN s_nationkey % 2 = 0 THEN s_name END, NULL, NULL]) AS description FROM supplier")
+def _(spark, sf):
+    s = table(spark, sf, "supplier")
+    key = F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("contract")
+    abi = F.concat(F.lit('{"functions":[{"name":"f'), F.col("s_nationkey").cast("string"), F.lit('","access":"public","args":[]},{"name":"hidden","access":"private","args":[]}],"maps":[{"name":"balances"}],"fungible_tokens":[{"name":"'), F.col("s_name"), F.lit('"}]}'))
+    docs = s.where("s_nationkey % 2 = 0").select(key, F.concat(F.lit("f"), F.col("s_nationkey").cast("string")).alias("name"), F.col("s_name").alias("description"))
+    return contracts.exports(s.select(key, abi.alias("abi")), docs).select("contract", "kind", "name", "description")
+
+
+def _markdown(spark, sf) -> DataFrame:
+    turn = F.when(F.col("role") == "user", F.concat(F.lit("```ts title\n"), F.col("text"), F.lit("\n```"))).otherwise(F.concat(F.lit("# heading\n"), F.col("text")))
+    c = table(spark, sf, "conversations").select("conv_id", F.struct("turn", turn.alias("t")).alias("s"))
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "\n").alias("content")).select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("path"), "content")
+
+
+@query("markdown_blocks", "SELECT concat('c', conv_id) AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS block, 'ts' AS lang, 'title' AS meta, text AS code FROM conversations WHERE role = 'user'")
+def _(spark, sf):
+    return markdown.code_blocks(_markdown(spark, sf)).select("path", "block", "lang", "meta", "code")
+
+
+@query("code_facts")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    code = F.concat(F.lit("import { "), F.col("event_type"), F.lit(" as use } from 'pkg'\nconst made = await use("), F.col("value").cast("string"), F.lit(")\nmade.run("), F.col("user_id").cast("string"), F.lit(") // "), F.col("props"))
+    return code_facts.facts(e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("path"), F.lit(1).alias("block"), code.alias("code"), F.lit(1).alias("line_start")))
+
+
+@query("prose_imports", "SELECT concat('e', event_id) AS path, 1 AS block, 1 AS line, 'prose-import' AS type, event_type AS target FROM events WHERE event_type NOT IN ('view', 'click')")
+def _(spark, sf):
+    facts = code_facts.facts(table(spark, sf, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("path"), F.lit(1).alias("block"), F.concat(F.lit("import { "), F.col("event_type"), F.lit(" } from 'pkg/sub'\nimport x from 'other'")).alias("code"), F.lit(1).alias("line_start")))
+    return prose.broken_imports(facts, spark.createDataFrame([("view",), ("click",)], "name string"), "pkg")
+
+
+@query("doc_keys", "SELECT DISTINCT p_brand AS path, concat('k', p_size) AS key FROM part WHERE p_size % 2 = 0")
+def _(spark, sf):
+    rows = table(spark, sf, "part").where("p_size % 2 = 0").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("| `k"), F.col("p_size").cast("string"), F.lit(".sub` or `other` | text `no` |")))), "\n").alias("t"))
+    files = rows.select(F.col("p_brand").alias("path"), F.concat(F.lit("# Page\n| `outside` | x |\n## Options\n| key | text |\n|---|---|\n```\n# not a heading\n| `fenced` | x |\n```\n### Nested\n"), F.col("t"), F.lit("\n## After\n| `late` | x |\n")).alias("content"))
+    return markdown.documented_keys(files, "(?i)^options$").select("path", "key").distinct()
+
+
+@query("surface_markdown", f"""WITH l AS (SELECT spec_id, kind, list_position(['function', 'class', 'interface', 'type', 'enum', 'variable'], kind) AS r, string_agg(concat('- `', name, '`', CASE WHEN length(trim(description)) > 0 THEN concat(': ', trim(description)) ELSE '' END), chr(10) ORDER BY name, export_key) AS body FROM exports GROUP BY 1, 2)
+SELECT spec_id, concat('# ', spec_id, chr(10), chr(10), string_agg(concat('## ', upper(kind[1]), kind[2:], chr(10), chr(10), body), concat(chr(10), chr(10)) ORDER BY r)) AS value FROM l GROUP BY spec_id""", "exports")
+def _(spark, sf):
+    return render.surface_markdown(derive(spark, sf, "exports"))
+
+
+@query("annotations", "SELECT concat('::warning file=', replace(source_file, ':', '%3A'), ',line=', source_line, '::100%25 of ', name, '%0Aend') AS value FROM exports WHERE source_file IS NOT NULL", "exports")
+def _(spark, sf):
+    e = derive(spark, sf, "exports").where("source_file IS NOT NULL").select(F.concat(F.lit("./"), F.col("source_file")).alias("file"), F.col("source_line").alias("line"), F.concat(F.lit("100% of "), F.col("name"), F.lit("\nend")).alias("message"))
+    return render.annotations(e)
+
+
+@query("history_stream")
+def _(spark, sf):
+    """The log as a stream (an extension): finished weeks are appended as they close."""
+    root = f"{storage.shared_root(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    log = table(spark, sf, "events").select("ts", F.col("event_type").alias("package"), F.least(F.lit(100.0), F.floor("value")).cast("int").alias("coverage"), (F.col("user_id") % 4).cast("int").alias("lint"))
+    log.write.json(f"{root}/log")
+    done = history_stream.write_weekly(history_stream.weekly_rollup(history_stream.read_log(spark, f"{root}/log"), "1 day"), f"{root}/weeks", f"{root}/state")
+    done.awaitTermination()
+    return spark.read.schema("week date, package string, average int, best int, snapshots bigint").parquet(f"{root}/weeks")
