@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ABI = """struct<functions:array<struct<name:string,access:string,args:array<struct<name:string,type:string>>,outputs:struct<type:string>>>,
 maps:array<struct<name:string,key:string,value:string>>,variables:array<struct<name:string,access:string,type:string>>,
@@ -35,7 +36,7 @@ def type_schema(t):
     return "unknown"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def schema_json(types: pd.Series) -> pd.Series:
     """JSON text of a type to JSON text of its schema."""
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCHEMA = "struct<description:string,params:array<struct<name:string,type:string,optional:boolean,default_value:string,description:string>>,returns:struct<type:string,description:string>,throws:array<struct<type:string,description:string>>,examples:array<struct<title:string,language:string,code:string>>,tags:array<struct<name:string,text:string>>>"
@@ -108,8 +109,11 @@ def parse(text: str | None) -> dict | None:
     return out
 
 
-@F.pandas_udf(SCHEMA)
-def parse_comment(text: pd.Series) -> pd.DataFrame:
-    """Column function: the parts of doc comments."""
+def _parse_all(text: pd.Series) -> pd.DataFrame:
     blank = {"description": None, "params": None, "returns": None, "throws": None, "examples": None, "tags": None}
     return pd.DataFrame([parse(t) or blank for t in text], columns=list(blank))
+
+
+def parse_comment(text: Column | str) -> Column:
+    """The parts of doc comments as a struct column."""
+    return F.pandas_udf(_parse_all, SCHEMA)(text)

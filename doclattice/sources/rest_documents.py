@@ -13,6 +13,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import truthy
 
@@ -151,7 +152,7 @@ def inline(node, root, seen: frozenset[str]):
     return out | {k: inline(v, root, seen) for k, v in node.items() if k != "$ref"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _inline(schema: pd.Series, whole: pd.Series, own: pd.Series) -> pd.Series:
     return pd.Series([None if s is None else json.dumps(inline(json.loads(s), json.loads(w), frozenset([o]))) for s, w, o in zip(schema, whole, own)])
 
