@@ -6,20 +6,22 @@ handled with a fixed number of numpy calls instead of a Python loop per word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 #: Text bytes that one numpy pass takes at a time; bounds the working memory of a task.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 # ---------------------------------------------------------------- storage
@@ -56,6 +58,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Session settings of the queries: batches of whole documents, 2,000 rows in place of the default 10,000, unless set otherwise."""
+    if spark.conf.get(BATCH_KEY) == "10000":
+        spark.conf.set(BATCH_KEY, "2000")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of at most ``rows`` rows between Spark and Python, for what runs inside."""
+    before = spark.conf.get(BATCH_KEY)
+    spark.conf.set(BATCH_KEY, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_KEY, before)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a folder or file in the shared folder."""
     if urlparse(uri).scheme in ("", "file"):
@@ -92,6 +114,27 @@ def unique_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
+# ---------------------------------------------------------------- worker memory
+
+#: What a worker keeps between tasks of one operator; tasks of others drop it.
+CACHES: list = []
+
+
+def release() -> None:
+    """Drop what tasks of other operators have left in this worker, and hand freed memory back."""
+    while CACHES:
+        CACHES.pop()()
+    trim()
+
+
+def trim() -> None:
+    """Return freed memory to the system, where its allocator can."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 # ---------------------------------------------------------------- Arrow text
 
 
@@ -124,6 +167,7 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, bytes, offsets from 0) for bounded parts of a batch."""
+    release()
     data, off = text_buffers(batch.column(column))
     for i, j in chunks(off, limit):
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
@@ -225,9 +269,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, whatever else the table carries."""
-    return docs.select(*[F.col(f"`{c}`") for c in columns])
 def from_files(df: DataFrame) -> bool:
     """Whether rows can be told apart by the file and row that they come from."""
     if "_metadata" in map(str.lower, df.columns):
@@ -238,3 +279,6 @@ def from_files(df: DataFrame) -> bool:
         return False
 
 
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Only the named columns, whatever else the table carries."""
+    return docs.select(*[F.col(f"`{c}`") for c in columns])

@@ -16,6 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import CACHES
+
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBER = "0-9²³¹¼-¾"
 _SPACE = r"\t-\r \x85\xa0"
@@ -94,3 +96,10 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """The worker's encoder; it lives as long as the worker."""
     return Encoder(path)
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder; it lives until a task of another operator comes."""
+    if not CACHES:
+        CACHES.append(_encoder.cache_clear)
+    return _encoder(path)

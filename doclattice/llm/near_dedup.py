@@ -180,6 +180,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     both = pairs.join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").select("a", "b", "sig_a", "sig_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c.release()
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SLOTS) for k in (2, 3))
@@ -189,6 +190,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    c.release()
     for batch in batches:
         good = np.zeros(batch.num_rows, bool)
         da, oa = c.text_buffers(batch.column(2))
@@ -217,7 +219,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     salted = likely.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     pivots = salted.select("a", "salt").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = salted.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(pivots, ["a", "salt"]).select("a", "b", "text_a", "text_b")
-    return c.materialize(both.mapInArrow(lambda it: _confirm(it, percent), "a bigint, b bigint"), "links")
+    with c.small_batches(docs.sparkSession, 1000):  # rows hold two texts
+        return c.materialize(both.mapInArrow(lambda it: _confirm(it, percent), "a bigint, b bigint"), "links")
 
 
 # ---------------------------------------------------------------- union-find

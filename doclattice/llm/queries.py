@@ -84,8 +84,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c.prepare(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_license_scan": op3_license_scan, "op4_token_stream": op4_token_stream, "op5_packing": op5_packing, "op6_bm25_search": op6_bm25_search, "op7_near_dedup": op7_near_dedup, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan, "op10_repeat_dedup": op10_repeat_dedup, "pipeline": pipeline}
+    all_ = {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_license_scan": op3_license_scan, "op4_token_stream": op4_token_stream, "op5_packing": op5_packing, "op6_bm25_search": op6_bm25_search, "op7_near_dedup": op7_near_dedup, "op8_decontaminate": op8_decontaminate, "op9_secret_scan": op9_secret_scan, "op10_repeat_dedup": op10_repeat_dedup, "pipeline": pipeline}
+    return {name: _prepared(q) for name, q in all_.items()}
 
 
 def oracle_sql() -> dict[str, str]:
