@@ -45,12 +45,14 @@ def closest(sources: DataFrame, candidates: DataFrame, by: list[str] | None = No
     left = sources.withColumns({"letter": letter("source"), "size": F.explode(F.sequence(F.length("source") - 3, F.length("source") + 3))})
     right = candidates.withColumns({"letter": letter("candidate"), "size": F.length("candidate")})
     near = left.join(right, [*by, "letter", "size"]).select(*by, "source", "candidate", "pos")
-    first = candidates.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("pos")) if by else F.row_number().over(Window.orderBy("pos"))) if by else candidates.orderBy("pos").limit(FALLBACK)
-    if by:
-        first = first.where(F.col("__n") <= FALLBACK).drop("__n")
     lonely = sources.join(near.select(*by, "source").distinct(), [*by, "source"], "left_anti")
-    # at most FALLBACK candidates a source: a bounded expansion
-    rest = (lonely.join(first, by) if by else lonely.crossJoin(F.broadcast(first))).select(*by, "source", "candidate", "pos")
+    if by:
+        first = candidates.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("pos"))).where(F.col("__n") <= FALLBACK).drop("__n")
+        rest = lonely.join(first, by).select(*by, "source", "candidate", "pos")
+    else:
+        first = candidates.orderBy("pos").limit(FALLBACK).select("candidate", "pos").collect()  # at most FALLBACK rows
+        few = F.array(*[F.struct(F.lit(r[0]).alias("candidate"), F.lit(r[1]).alias("pos")) for r in first])
+        rest = lonely.select("source", F.explode(few).alias("c")).select("source", "c.candidate", "c.pos") if first else near.limit(0)
     scored = near.unionByName(rest).withColumn("score", closeness(F.col("source"), F.col("candidate"))).where("score IS NOT NULL")
     best = scored.groupBy(*by, "source").agg(F.max(F.struct("score", (-F.col("pos")).alias("__p"), "candidate")).alias("__b"))
     return best.select(*by, "source", F.col("__b.candidate").alias("candidate"), F.col("__b.score").alias("score"), half_up(10 * (1 - F.col("__b.score"))).alias("distance"))
@@ -82,12 +84,25 @@ def search_score(query: Column | str, name: Column | str) -> Column:
     )
 
 
-def search(queries: DataFrame, items: DataFrame, top: int = 3) -> DataFrame:
+def search(queries: DataFrame, items: DataFrame, top: int = 3, block: int = 500) -> DataFrame:
     """The ``top`` items (name, pos) of each stated query (query), by score, then position.
 
-    The queries are a stated set, each held against all items in one pass over them; a heap per
-    query and task keeps the shuffle at ``top`` rows of each.
+    The queries are a stated set; blocks of them become a literal that each item is held
+    against where it is read, and only hits are shuffled. Spark keeps ``top`` rows of a query in each
+    task before the shuffle.
     """
-    scored = items.crossJoin(F.broadcast(queries.select("query").distinct())).withColumn("score", search_score("query", "name")).where("score > 0")
-    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "pos")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query", "rank", "name", "score")
+    out, held = None, []
+
+    def run(part: list[str]) -> DataFrame:
+        scored = items.withColumn("query", F.explode(F.array(*[F.lit(q) for q in part]))).withColumn("score", search_score("query", "name")).where("score > 0")
+        best = Window.partitionBy("query").orderBy(F.col("score").desc(), "pos")
+        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query", "rank", "name", "score")
+
+    for row in queries.select("query").where("query IS NOT NULL").distinct().toLocalIterator():
+        held.append(row[0])
+        if len(held) == block:
+            out, held = (run(held) if out is None else out.unionByName(run(held))), []
+    if held or out is None:
+        last = run(held or [""]) if held else items.select(F.lit("").alias("query"), F.lit(0).alias("rank"), "name", F.lit(0).alias("score")).limit(0)
+        out = last if out is None else out.unionByName(last)
+    return out

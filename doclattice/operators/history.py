@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import documented_share, half_up, sparkline, week_start
+from .predicates import side_by_side
 
 
 def snapshot(exports: DataFrame, issues: DataFrame) -> DataFrame:
     """One row: exports, documented ones (description or tag), issues, coverage (100 if empty)."""
-    return exports.agg(F.count("*").alias("exports"), F.count_if("documented").alias("documented")).crossJoin(issues.agg(F.count("*").alias("issues"))).withColumn("coverage", documented_share())  # one row each
+    return side_by_side(exports.agg(F.count("*").alias("exports"), F.count_if("documented").alias("documented")), issues.agg(F.count("*").alias("issues"))).withColumn("coverage", documented_share())
 
 
 def trend(history: DataFrame, window: int = 10) -> DataFrame:

@@ -79,6 +79,14 @@ def last_wins(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return first_wins(df, keys, *[F.col(o).desc() for o in order])
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Results of one row each as one row: a union and an aggregation, so nothing is joined."""
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out.agg(*[F.max(F.col(f"`{c}`")).alias(c) for r in rows for c in r.columns])
+
+
 # ---------------------------------------------------------------- selecting exports
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import col, half_up, percent
-from .predicates import CATEGORIES, category, documented, is_external
+from .predicates import CATEGORIES, category, documented, is_external, side_by_side
 
 REQUIREMENTS = {
     "minimal": {"description": True, "params": False, "returns": False, "examples": False},
@@ -163,6 +163,6 @@ def release_readiness(coverage: DataFrame, issues: DataFrame, undocumented: Data
     c = coverage.agg(percent(F.sum("documented"), F.sum("exports")).alias("coverage"))
     i = issues.agg(F.count("*").alias("issues"))
     names = undocumented.orderBy("name").limit(10).agg(F.array_sort(F.collect_list("name")).alias("undocumented"))
-    df = c.crossJoin(i).crossJoin(names)  # one row each
+    df = side_by_side(c, i, names)
     reasons = F.array_compact(F.array(F.when(F.col("coverage") < minimum, F.concat(F.lit("coverage "), F.col("coverage").cast("string"), F.lit(f" below {minimum}"))), F.when(F.col("issues") > 0, F.concat(F.col("issues").cast("string"), F.lit(" issues")))))
     return df.withColumns({"reasons": reasons, "ready": F.size(reasons) == 0})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up, present
 from .fuzzy import rename_score
-from .predicates import last_wins
+from .predicates import last_wins, side_by_side
 
 SEVERITY = {"function": "high", "class": "high", "interface": "medium", "type": "medium", "enum": "medium", "variable": "low"}
 
@@ -76,12 +76,12 @@ def coverage_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     mean = lambda df, n: df.agg(F.coalesce(half_up(F.avg(F.coalesce(F.col("score").cast("double"), F.lit(0.0)))), F.lit(0)).alias(n))
     both = old.select("id", F.col("score").alias("a")).join(new.select("id", F.col("score").alias("b")), "id")
     moved = both.agg(F.count_if(F.col("b") > F.col("a")).alias("improved"), F.count_if(F.col("b") < F.col("a")).alias("regressed"))
-    df = mean(old, "old_coverage").crossJoin(mean(new, "new_coverage")).crossJoin(moved)  # one row each
+    df = side_by_side(mean(old, "old_coverage"), mean(new, "new_coverage"), moved)
     return df.withColumn("delta", F.col("new_coverage") - F.col("old_coverage"))
 
 
 def issue_delta(old: DataFrame, new: DataFrame) -> DataFrame:
-    df = old.agg(F.count("*").alias("old_issues")).crossJoin(new.agg(F.count("*").alias("new_issues")))  # one row each
+    df = side_by_side(old.agg(F.count("*").alias("old_issues")), new.agg(F.count("*").alias("new_issues")))
     return df.withColumns({"introduced": F.greatest(F.lit(0), F.col("new_issues") - F.col("old_issues")), "resolved": F.greatest(F.lit(0), F.col("old_issues") - F.col("new_issues"))})
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import escape_data, escape_property
+from ..operators.predicates import side_by_side
 from ..operators.versions import next_version
 
 KINDS = ("function", "class", "interface", "type", "enum", "variable")
@@ -61,7 +62,7 @@ def pull_request_comment(packages: DataFrame, breaking: DataFrame, marker: str =
     table = packages.agg(_listed(row, "spec_id").alias("rows"))
     changes = breaking.agg(_listed(F.concat(F.lit("- "), F.col("id"), F.lit(" ("), F.col("severity"), F.lit(")")), "rank", "id").alias("changes"))
     head = "| Package | Coverage | Issues | State |\n|---|---|---|---|\n"
-    return table.crossJoin(changes).select(F.concat(F.lit(marker + "\n" + head), F.col("rows"), F.when(F.length("changes") > 0, F.concat(F.lit("\n\n### Breaking\n\n"), F.col("changes"))).otherwise(F.lit(""))).alias("value"))  # one row each
+    return side_by_side(table, changes).select(F.concat(F.lit(marker + "\n" + head), F.col("rows"), F.when(F.length("changes") > 0, F.concat(F.lit("\n\n### Breaking\n\n"), F.col("changes"))).otherwise(F.lit(""))).alias("value"))
 
 
 def context_markdown(packages: DataFrame, undocumented: DataFrame, worst: int = 3, listed: int = 10) -> DataFrame:
@@ -69,7 +70,7 @@ def context_markdown(packages: DataFrame, undocumented: DataFrame, worst: int =
     table = packages.agg(_listed(F.concat(F.lit("| "), F.col("spec_id"), F.lit(" | "), F.col("score").cast("string"), F.lit("% | "), F.col("issues").cast("string"), F.lit(" |")), "spec_id").alias("packages"))
     top = packages.orderBy(F.col("issues").desc(), "spec_id").limit(worst).agg(_listed(F.concat(F.lit("- "), F.col("spec_id"), F.lit(": "), F.col("issues").cast("string"), F.lit(" issues")), (-F.col("issues")).alias("__n"), "spec_id").alias("attention"))
     names = undocumented.orderBy("name", "export_key").limit(listed).agg(_listed(F.concat(F.lit("- "), F.col("name")), "name", "export_key").alias("names"))
-    return table.crossJoin(top).crossJoin(names).select(F.concat(F.lit("# Documentation state\n\n| Package | Coverage | Issues |\n|---|---|---|\n"), F.col("packages"), F.lit("\n\n## Attention\n\n"), F.col("attention"), F.lit("\n\n## Undocumented\n\n"), F.col("names")).alias("value"))  # one row each
+    return side_by_side(table, top, names).select(F.concat(F.lit("# Documentation state\n\n| Package | Coverage | Issues |\n|---|---|---|\n"), F.col("packages"), F.lit("\n\n## Attention\n\n"), F.col("attention"), F.lit("\n\n## Undocumented\n\n"), F.col("names")).alias("value"))
 
 
 def write_text(df: DataFrame, path: str) -> None:
