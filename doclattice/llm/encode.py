@@ -24,9 +24,8 @@ _SPACE = r"\t-\r \x85\xa0"
 _PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Characters for which the classes above are those of the library.
 _OTHER = re.compile("[^\x00-ɏ‐-‧‰-⁞€]")
-_WORD = re.compile(rf" [{_LETTER}]+")
-#: Pieces kept by a worker, some 250 bytes each; beyond, it starts anew.
-KEPT_PIECES = 700_000
+#: Pieces kept by a worker, some 250 bytes each; those met later are encoded for their batch only.
+KEPT_PIECES = 600_000
 
 
 class Encoder:
@@ -53,21 +52,26 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        words = [x for x in new if _WORD.fullmatch(x)]
-        for i in range(0, len(words), 4096):  # joined, they split into themselves
-            part = words[i : i + 4096]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, self.dtype)
-            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(x.encode()) for x in part])) + 1
-            raw, k, a = ids.tobytes(), self.dtype.itemsize, 0
-            for x, b in zip(part, ends.tolist()):
-                self.pieces[x] = raw[a * k : b * k]
-                a = b
-        rest = [x for x in new if not _WORD.fullmatch(x)]
+    def _learn(self, new: list[str], known: dict[str, bytes]) -> None:
+        """Encode pieces that are new; runs of letters go joined, as the split takes them apart again."""
+        spaced, bare, rest = [], [], []
+        for x in new:
+            (spaced if x[0] == " " and x[1:].isalpha() else bare if x.isalpha() else rest).append(x)
+        for words, gap in ((spaced, ""), (bare, "\n")):
+            for i in range(0, len(words), 8192):
+                part = words[i : i + 8192]
+                ids = np.array(self.tokenizer.encode_batch_fast([gap.join(part)], add_special_tokens=False)[0].ids, self.dtype)
+                sizes = np.fromiter((len(x.encode()) for x in part), np.int64, len(part))
+                ends = np.cumsum(sizes + len(gap)) - len(gap)
+                first = np.concatenate([[0], ends[:-1] + len(gap)])
+                to = np.cumsum(self.length[ids])
+                a, b = np.searchsorted(to, first, "right").tolist(), (np.searchsorted(to, ends) + 1).tolist()
+                raw, k = ids.tobytes(), self.dtype.itemsize
+                known.update((x, raw[p * k : q * k]) for x, p, q in zip(part, a, b))
         for i in range(0, len(rest), 4096):
             part = rest[i : i + 4096]
             for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.pieces[x] = np.array(e.ids, self.dtype).tobytes()
+                known[x] = np.array(e.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty)."""
@@ -76,25 +80,34 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not self.split or _OTHER.search(text) or any(s in text for s in self.special):
+            if not self.split or (not text.isascii() and _OTHER.search(text)) or any(s in text for s in self.special):
                 out[i] = self._whole(text)
             else:
                 split.append((i, _PIECE.findall(text)))
-        new = list(set().union(*(p for _, p in split)).difference(self.pieces))
-        if new:
-            if len(self.pieces) + len(new) > KEPT_PIECES:
-                self.pieces.clear()
-                new = list(set().union(*(p for _, p in split)))
-            self._learn(new)
-        get = self.pieces.__getitem__
+        get, missing, late = self.pieces.get, set(), []
         for i, p in split:
-            out[i] = b"".join(map(get, p))
+            ids = list(map(get, p))
+            if None in ids:
+                gaps, k = [], -1
+                for _ in range(ids.count(None)):
+                    k = ids.index(None, k + 1)
+                    gaps.append(k)
+                missing.update([p[k] for k in gaps])
+                late.append((i, p, ids, gaps))
+            else:
+                out[i] = b"".join(ids)
+        if missing:
+            known = self.pieces if len(self.pieces) + len(missing) <= KEPT_PIECES else {}
+            self._learn(list(missing), known)
+            for i, p, ids, gaps in late:
+                for k in gaps:
+                    ids[k] = known[p[k]]
+                out[i] = b"".join(ids)
         return out
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """The worker's encoder; it lives as long as the worker."""
+def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
