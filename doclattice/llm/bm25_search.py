@@ -15,8 +15,8 @@ of each block of ``BLOCK`` documents.
    memory). A query whose terms' greatest contributions don't reach the threshold together skips the shard. As in
    block-max WAND, the long lists of common terms propose no documents: the short lists are
    added up, and a document goes on only if that sum and the long lists' maxima in its block could
-   reach the threshold; so blocks are skipped without reading their postings. Those that go on are
-   scored exactly, in the order of terms that all shards share.
+   reach the threshold; so blocks are skipped without reading their postings. Those that go on and whose
+   long lists' contributions keep them there are scored exactly, in the order of terms that all shards share.
 4. What reaches the threshold is merged: the k best by score, then id.
 
 The number of queries grows with the table, and each must be held against every shard; the
@@ -121,16 +121,17 @@ class Index:
         some = np.flatnonzero(count)
         if len(some):
             self.t_max[some] = np.maximum.reduceat(self.weight, self.begin[some])
-        # long lists have the greatest contribution in each block of documents
+        # long lists are rows of a matrix, with the greatest contribution in each block of documents
         self.n_blocks = -(-self.n // BLOCK)
         self.block = np.arange(self.n) // BLOCK
         long = np.flatnonzero(count * LONG > self.n)
         self.long = np.full(len(terms), -1)
         self.long[long] = np.arange(len(long))
-        self.b_max = np.zeros((len(long), self.n_blocks))
+        self.dense = np.zeros((len(long), self.n_blocks * BLOCK), np.float32)
         for k, t in enumerate(long.tolist()):
             own = slice(self.bounds[t], self.bounds[t + 1])
-            np.maximum.at(self.b_max[k], self.doc[own] // BLOCK, self.weight[own])
+            self.dense[k, self.doc[own]] = self.weight[own]
+        self.b_max = self.dense.reshape(len(long), self.n_blocks, BLOCK).max(2)
         self.asked = np.zeros(len(terms), bool)
 
     @staticmethod
@@ -160,19 +161,18 @@ class Index:
         """Documents with a score of at least ``level`` > 0, and the scores."""
         none = np.zeros(0, np.int64), np.zeros(0)
         query = query[self.t_max[query] > 0]
-        slack = level * (1 - 1e-9)  # sums in another order may differ in the last digits
+        slack = level * (1 - 1e-5)  # bounds are added in another order and in single precision
         if self.t_max[query].sum() < slack:
             return none
         long = self.long[query]
-        common, rare = query[long >= 0], query[long < 0]
-        bound = self.b_max[long[long >= 0]].sum(0)
-        partial = self._sums(rare)
+        rows = long[long >= 0]
+        bound = self.b_max[rows].sum(0)
+        partial = self._sums(query[long < 0])
         docs = np.flatnonzero((partial + bound[self.block] >= slack) & (partial + bound[self.block] > 0))
         if not len(docs):
             return none
-        if 3 * len(docs) * (self.d_begin[-1] / self.n) > (self.begin[common + 1] - self.begin[common]).sum():
-            full = partial + self._sums(common)  # cheaper than reading so many documents
-            docs = docs[full[docs] >= slack]
+        full = self.dense[rows].sum(0)[docs] if 4 * len(docs) > self.n else self.dense[np.ix_(rows, docs)].sum(0)
+        docs = docs[partial[docs] + full >= slack]
         scores = self.exact(query, docs)
         good = scores >= level
         return self.order[docs[good]], scores[good]
