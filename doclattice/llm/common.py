@@ -106,14 +106,6 @@ def load_array(uri: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=dtype)
 
 
-def unique_name(columns: list[str], wanted: str) -> str:
-    """``wanted``, or a variant of it that clashes with none of ``columns`` in any case."""
-    taken = {c.lower() for c in columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
-
-
 # ---------------------------------------------------------------- worker memory
 
 #: What a worker keeps between tasks of one operator; tasks of others drop it.
@@ -269,9 +261,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def clashes(df: DataFrame) -> bool:
+    """Whether columns differ in nothing but case, so that Spark can't tell them apart by name."""
+    return len({c.lower() for c in df.columns}) < len(df.columns)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns under names that can't clash."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def map_rows(docs: DataFrame, run) -> DataFrame:
+    """``mapInArrow`` that keeps the columns, whatever their names."""
+    own = numbered(docs)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
+
+
 def from_files(df: DataFrame) -> bool:
     """Whether rows can be told apart by the file and row that they come from."""
-    if "_metadata" in map(str.lower, df.columns):
+    if "_metadata" in map(str.lower, df.columns) or clashes(df):
         return False
     try:
         return bool(df.select("_metadata.file_path", "_metadata.row_index").columns)
@@ -281,4 +289,6 @@ def from_files(df: DataFrame) -> bool:
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, whatever else the table carries."""
+    if clashes(docs):
+        return numbered(docs).select(*[F.col(f"c{docs.columns.index(c)}").alias(c) for c in columns])
     return docs.select(*[F.col(f"`{c}`") for c in columns])

@@ -239,4 +239,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, t
                 keep[i:j] = total[first[1:]] == total[first[:-1]]
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return c.map_rows(docs, run)

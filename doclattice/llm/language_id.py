@@ -142,6 +142,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
 
 def fit(labelled: DataFrame, max_rows_per_label: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
     """Learn from rows that have text and a label, at most about ``max_rows_per_label`` of each label."""
+    labelled = c.keyed(labelled, id_col, text_col, label_col)
     rows = labelled.where(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(F.col(f"`{label_col}`").alias("label")).count().orderBy("label").toLocalIterator()}
     labels = sorted(sizes)
@@ -276,4 +277,4 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, penal
             langs, share, _ = label_batch(_load(root, labels), part.column(at), penalty)
             yield part.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(langs, share)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return c.map_rows(docs, run)

@@ -395,7 +395,8 @@ def group(docs: DataFrame, percent: int = 70, id_col: str = "doc_id", text_col:
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 70, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of the rows of ``docs`` whose id is the smallest of its group (one row of each repeated id's group stays whole)."""
-    name = c.unique_name(docs.columns, "gone")
-    gone = group(docs, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    gone = group(docs, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col(f"`{id_col}`").cast("bigint") == F.col(name), "left_anti")
+    own = c.numbered(docs)
+    kept = own.join(F.broadcast(gone) if small else gone, F.col(f"c{docs.columns.index(id_col)}").cast("bigint") == F.col("gone"), "left_anti")
+    return kept.toDF(*docs.columns)

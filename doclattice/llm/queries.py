@@ -25,7 +25,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 def language_model(documents: DataFrame) -> language_id.Model:
     """Fitted on the documents that are not held out."""
-    return language_id.fit(documents.where(~F.coalesce(held_out(), F.lit(False))))
+    return language_id.fit(c.keyed(documents, "doc_id", "text", "lang").where(~F.coalesce(held_out(), F.lit(False))))
 
 
 #: (host, path prefix, block)

@@ -193,4 +193,4 @@ def redact(docs: DataFrame, vocabulary: str, mark: str = "[SECRET]", min_length:
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return c.map_rows(docs, run)

@@ -131,7 +131,7 @@ def write(docs: DataFrame, tokenizer: str, place: str, end: int = 2, shards: int
     """Encode ``docs`` and write them below ``place``; returns (shard, documents, ids) in id order."""
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"))
+    ids = c.keyed(docs, id_col).toDF("doc_id").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     cuts = ids.stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
     bounds = np.unique(np.array(cuts, np.float64)).astype(np.int64)
     lowest = np.iinfo(np.int64).min

@@ -144,8 +144,7 @@ def _table(root: str) -> Table:
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str, bool]], listed: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: host, path, the rule that decides (or null), verdict."""
     root = store(pages.sparkSession, rules, listed)
-    url = F.col(f"`{url_col}`")
-    parts = pages.select(F.col(f"`{id_col}`").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    parts = c.keyed(pages, id_col, url_col).toDF("page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
