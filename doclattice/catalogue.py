@@ -51,7 +51,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---------------------------------------------------------------- coverage and health
+# -- coverage and health
 
 
 @query("doc_coverage_by_package", f"SELECT spec_id, count(*) AS exports, count(*) FILTER ({_DOC}) AS documented, {_PCT.format(p=f'count(*) FILTER ({_DOC})', w='count(*)')} AS score FROM exports WHERE {_NOT_EXTERNAL} GROUP BY spec_id", "exports")
@@ -190,7 +190,7 @@ def _(spark, sf):
     return scoring.surface_completeness(r, x, r.where("name LIKE 'r%'").select("name").distinct())
 
 
-# ---------------------------------------------------------------- detectors
+# -- detectors
 
 _F = "export_key, type, target, expected, actual, suggestion"
 _NORM = "trim(regexp_replace(regexp_replace(regexp_replace({x}, '\\s+', ' ', 'g'), '\\s*<\\s*', '<', 'g'), '\\s*>', '>', 'g'))"
@@ -316,7 +316,7 @@ def _(spark, sf):
     return findings.near_deprecation(spans, l).select("path", "start", "end")
 
 
-# ---------------------------------------------------------------- names
+# -- names
 
 _WORDS = "list_filter(regexp_split_to_array(lower(regexp_replace({x}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[\\s_-]+'), lambda w: w <> '')"
 _CLOSE = f"""
@@ -349,7 +349,7 @@ def _(spark, sf):
     return fuzzy.search(spark.createDataFrame([(x,) for x in ("bolt", "smallring", "redwidgat", "blu", "ring")], "query string"), items)
 
 
-# ---------------------------------------------------------------- versions
+# -- versions
 
 _OLD = "SELECT * FROM exports WHERE export_pos % 10 <> 1"
 _NEW = "SELECT export_pos, export_key, kind, CASE WHEN export_pos % 7 = 0 THEN concat(name, '2') ELSE name END AS name, CASE WHEN export_pos % 3 = 0 THEN concat(coalesce(description, ''), '!') ELSE description END AS description, spec_id FROM exports WHERE export_pos % 10 <> 0"
@@ -437,7 +437,7 @@ def _(spark, sf):
     return versions.undocumented_names(derive(spark, sf, "exports"), words)
 
 
-# ---------------------------------------------------------------- registry and closure
+# -- registry and closure
 
 
 @query("registry_members", "WITH p AS (SELECT member, class, bool_or(version_key % 2 = 0) AS d FROM members GROUP BY 1, 2) SELECT member, count(*) AS owners, count(*) FILTER (d) AS deprecated_in, count(*) = count(*) FILTER (d) AS deprecated_everywhere FROM p GROUP BY member", "members")
@@ -464,7 +464,7 @@ def _(spark, sf):
     return registry.reachable(edges, spark.createDataFrame([("r1",)], "node string"), spark.createDataFrame([("n3",)], "node string"))
 
 
-# ---------------------------------------------------------------- keys
+# -- keys
 
 _KEYS = """code AS (SELECT p_brand AS page, concat('k', CAST(p_size AS {s})) AS key, max(p_partkey % 5 = 0) AS deprecated, max(concat('use k', CAST(p_size % 10 AS {s}), ' instead')) AS reason FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1, 2), doc AS (SELECT DISTINCT p_brand AS page, concat('k', CAST(p_size + CASE WHEN p_partkey % 17 = 0 THEN 40 ELSE 0 END AS {s})) AS key FROM part WHERE p_partkey % 3 <> 1), men AS (SELECT DISTINCT p_brand AS page, concat('k', CAST(p_size AS {s})) AS key FROM part WHERE p_partkey % 11 = 0)"""
 _COVERED = """cov AS (SELECT page, key, CASE WHEN c.key IS NOT NULL AND d.key IS NOT NULL THEN 'documented' WHEN c.key IS NULL AND key IN (SELECT key FROM code) THEN 'other-type' WHEN c.key IS NULL THEN 'ghost' WHEN m.key IS NOT NULL THEN 'prose-documented' WHEN deprecated THEN 'deprecated' ELSE 'user-facing' END AS status, coalesce(deprecated, false) AS deprecated, regexp_extract(reason, 'use (k[0-9]+)', 1) AS replacement
@@ -507,7 +507,7 @@ def _(spark, sf):
     return keys.page_candidates(doc, code.select(F.col("page").alias("type"), "key"))
 
 
-# ---------------------------------------------------------------- history
+# -- history
 
 
 @query("history_trend", """WITH r AS (SELECT *, lag(coverage) OVER (PARTITION BY package ORDER BY date, seq) AS prev, row_number() OVER (PARTITION BY package ORDER BY date DESC, seq DESC) AS age FROM history)
@@ -568,7 +568,7 @@ def _(spark, sf):
     return history.retained(derive(spark, sf, "history")).withColumn("n", F.row_number().over(w))
 
 
-# ---------------------------------------------------------------- filters
+# -- filters
 
 
 @query("filter_visibility", "SELECT spec_id, export_key, name FROM exports WHERE CASE WHEN internal THEN 'internal' WHEN size % 5 = 0 THEN 'beta' ELSE 'public' END IN ('public', 'beta')", "exports")
@@ -590,7 +590,7 @@ def _(spark, sf):
     return predicates.changed_packages(p.select(F.col("p_brand").alias("dir")).distinct(), files)
 
 
-# ---------------------------------------------------------------- sources and renderings
+# -- sources and renderings
 
 
 def _rest_docs(spark, sf) -> DataFrame:
@@ -651,7 +651,7 @@ def _(spark, sf):
     return markdown.documented_keys(files, "(?i)^options$").select("path", "key").distinct()
 
 
-@query("surface_markdown", f"""WITH l AS (SELECT spec_id, kind, list_position(['function', 'class', 'interface', 'type', 'enum', 'variable'], kind) AS r, string_agg(concat('- `', name, '`', CASE WHEN length(trim(description)) > 0 THEN concat(': ', trim(description)) ELSE '' END), chr(10) ORDER BY name, export_key) AS body FROM exports GROUP BY 1, 2)
+@query("surface_markdown", f"""WITH l AS (SELECT spec_id, kind, list_position({list(render.KINDS)}, kind) AS r, string_agg(concat('- `', name, '`', CASE WHEN length(trim(description)) > 0 THEN concat(': ', trim(description)) ELSE '' END), chr(10) ORDER BY name, export_key) AS body FROM exports GROUP BY 1, 2)
 SELECT spec_id, concat('# ', spec_id, chr(10), chr(10), string_agg(concat('## ', upper(kind[1]), kind[2:], chr(10), chr(10), body), concat(chr(10), chr(10)) ORDER BY r)) AS value FROM l GROUP BY spec_id""", "exports")
 def _(spark, sf):
     return render.surface_markdown(derive(spark, sf, "exports"))

@@ -15,7 +15,7 @@ MODES = ("presence", "typecheck", "run")
 
 @dataclass
 class DocsConfig:
-    include: list[str] = field(default_factory=lambda: ["README.md", "docs/**/*.md", "docs/**/*.mdx", "content/**/*.md", "content/**/*.mdx"])
+    include: list[str] = field(default_factory=lambda: ["README.md", *(f"{folder}/**/*.{kind}" for folder in ("docs", "content") for kind in ("md", "mdx"))])
     exclude: list[str] = field(default_factory=list)
     map: str | None = None
 

@@ -17,7 +17,7 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# ---------------------------------------------------------------- numbers
+# -- numbers
 
 
 def half_up(x: Column | str) -> Column:
@@ -35,7 +35,7 @@ def documented_share(documented: str = "documented", exports: str = "exports") -
     return percent(documented, exports)
 
 
-# ---------------------------------------------------------------- text
+# -- text
 
 
 def trim(x: Column | str) -> Column:
@@ -60,7 +60,7 @@ def found(x: Column | str, pattern: str, group: int = 1) -> Column:
 
 def camel_words(x: Column | str) -> Column:
     """Lower-case words of an identifier in camel, Pascal, snake or kebab case; runs of capitals are one word."""
-    spaced = F.regexp_replace(F.regexp_replace(col(x), r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
+    spaced = F.regexp_replace(col(x), r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
     return F.filter(F.split(F.lower(spaced), r"[\s_\-]+"), lambda w: w != "")
 
 
@@ -87,7 +87,7 @@ def content_hash(x: Column | str, length: int = 16) -> Column:
     return F.substring(F.sha2(col(x), 256), 1, length)
 
 
-# ---------------------------------------------------------------- types
+# -- types
 
 
 def normalize_type(x: Column | str) -> Column:
@@ -132,7 +132,7 @@ def template_tag(x: Column | str) -> Column:
     return F.when(t.rlike(r"^\{[^}]*\}\s*\w+"), braced).otherwise(named)
 
 
-# ---------------------------------------------------------------- examples and comments
+# -- examples and comments
 
 
 def assertions(code: Column | str) -> Column:
@@ -172,13 +172,13 @@ def render_links(x: Column | str) -> Column:
 
 def parse_replacement(reason: Column | str) -> Column:
     """The name in ``use X instead``."""
-    return found(reason, r"(?i)\buse\s+`?([A-Za-z_$][\w$.]*)`?\s+instead")
+    return found(reason, r"(?i)\buse\s+[`]*((?:\w|\$)[\w.$]*)[`]*\s+instead\b")
 
 
 def key_token(x: Column | str) -> Column:
     """Identifier before the first dot, null for anything else."""
     head = F.substring_index(trim(x), ".", 1)
-    return F.when(head.rlike(r"^[A-Za-z_$][\w$]*$"), head)
+    return F.when(head.rlike(r"^(?:[A-Za-z_]|\$)[\w$]*$"), head)
 
 
 def context_snippet(code: Column | str, name: Column | str) -> Column:
@@ -189,7 +189,7 @@ def context_snippet(code: Column | str, name: Column | str) -> Column:
     return F.when(at > 0, F.array_join(F.slice(all_, begin, at - begin + 2), "\n")).otherwise(F.substring(col(code), 1, 100))
 
 
-# ---------------------------------------------------------------- rendering
+# -- rendering
 
 
 def _bars(values: Column, index) -> Column:
@@ -234,7 +234,7 @@ def summary_line(counts: dict[str, Column]) -> Column:
     return F.coalesce(F.nullif(F.concat_ws(", ", *parts), F.lit("")), F.lit("no issues"))
 
 
-# ---------------------------------------------------------------- places and times
+# -- places and times
 
 
 def week_start(d: Column | str) -> Column:

@@ -121,7 +121,7 @@ def broken_links(texts: DataFrame, names: DataFrame, modules: DataFrame | None =
     return _finding(lost, "broken-link", F.col("target"))
 
 
-# ---------------------------------------------------------------- examples
+# -- examples
 
 
 def runtime_failures(examples: DataFrame, results: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def unknown_identifiers(facts: DataFrame, names: DataFrame, builtins: DataFrame)
     return _finding(hit, "example-identifier", F.col("name"), suggestion=F.col("candidate"))
 
 
-# ---------------------------------------------------------------- all together
+# -- all together
 
 
 def all_findings(exports: DataFrame, parts: list[DataFrame], gated: bool = True) -> DataFrame:

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.scalars import col, present, trim, truthy
 
 EXTERNAL = "<external>"
-CATEGORIES = {
-    "param-mismatch": "structural", "param-type-mismatch": "structural", "return-type-mismatch": "structural", "optionality-mismatch": "structural", "generic-constraint-mismatch": "structural", "property-type-mismatch": "structural", "async-mismatch": "structural",
-    "deprecated-mismatch": "semantic", "visibility-mismatch": "semantic", "broken-link": "semantic",
-    "example-identifier": "example", "example-syntax": "example", "example-runtime": "example", "example-assertion": "example",
-    "prose-import": "prose", "prose-member": "prose", "prose-deprecated": "prose",
-}
+_KINDS = {
+    "structural": "generic-constraint-mismatch property-type-mismatch async-mismatch optionality-mismatch return-type-mismatch param-mismatch param-type-mismatch",
+    "semantic": "broken-link deprecated-mismatch visibility-mismatch",
+    "example": "example-assertion example-identifier example-runtime example-syntax",
+    "prose": "prose-deprecated prose-import prose-member",
+}
+#: Category of each type of finding.
+CATEGORIES = {kind: group for group, kinds in _KINDS.items() for kind in kinds.split()}
 EXECUTABLE = ("ts", "typescript", "tsx", "js", "javascript", "jsx", "mts", "mjs", "cts", "cjs", "ts-twoslash", "node")
 
 
@@ -67,7 +69,7 @@ def gate(health: Column | str, minimum: Column | str, docs_pass: Column | str |
     return (col(health) >= col(minimum)) & (F.coalesce(col(docs_pass), F.lit(True)) if docs_pass is not None else F.lit(True))
 
 
-# ---------------------------------------------------------------- first and last of equal keys
+# -- first and last of equal keys
 
 
 def first_wins(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -87,7 +89,7 @@ def side_by_side(*rows: DataFrame) -> DataFrame:
     return out.agg(*[F.max(F.col(f"`{c}`")).alias(c) for r in rows for c in r.columns])
 
 
-# ---------------------------------------------------------------- selecting exports
+# -- selecting exports
 
 
 def select_exports(exports: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None, visibility: list[str] | None = None) -> DataFrame:
@@ -134,3 +136,10 @@ def changed_packages(packages: DataFrame, files: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     parents = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("dir")).distinct()
     return packages.join(parents, "dir", "left_semi")
+
+
+def page(df: DataFrame, number: int, per_page: int, *order: str) -> DataFrame:
+    """One page of an ordered list; a number outside is clamped to the first or last page."""
+    pages = max(1, -(-df.count() // per_page))
+    at = min(max(1, number), pages)
+    return df.orderBy(*order).offset((at - 1) * per_page).limit(per_page)

@@ -21,7 +21,7 @@ def requirements(style: str = "minimal", **overrides: bool | None) -> dict[str,
     return REQUIREMENTS[style] | {k: v for k, v in overrides.items() if v is not None}
 
 
-# ---------------------------------------------------------------- one export
+# -- one export
 
 
 def export_score(df: DataFrame, required: dict[str, bool] | None = None) -> DataFrame:
@@ -51,7 +51,7 @@ def export_score(df: DataFrame, required: dict[str, bool] | None = None) -> Data
     return df.withColumns({"score": percent(points, total), "missing": missing})
 
 
-# ---------------------------------------------------------------- overloads and packages
+# -- overloads and packages
 
 
 def overload_rollup(scored: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def initial_threshold(coverage: DataFrame) -> DataFrame:
     return coverage.agg(F.greatest(F.lit(0), F.min("score") - 5).alias("threshold"))
 
 
-# ---------------------------------------------------------------- health
+# -- health
 
 
 def health_by_issues(coverage, exports, issues, passed=None, examples=None) -> dict[str, Column]:
@@ -127,7 +127,7 @@ def stored_coverage(exports: DataFrame) -> DataFrame:
     return exports.agg(F.coalesce(half_up(F.avg(F.coalesce(F.col("stored_score").cast("double"), F.when(documented(), 100.0).otherwise(0.0)))), F.lit(100)).alias("coverage"))
 
 
-# ---------------------------------------------------------------- issue counts
+# -- issue counts
 
 
 def issue_pivot(findings: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def cache_state(checks: dict[str, Column]) -> Column:
     return out.otherwise("valid")
 
 
-# ---------------------------------------------------------------- documentation of a change
+# -- documentation of a change
 
 
 def export_references(facts: DataFrame, names: DataFrame) -> DataFrame:

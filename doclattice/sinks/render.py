@@ -82,3 +82,12 @@ def write_spec(exports: DataFrame, path: str) -> None:
     inner = [c for c in exports.columns if c != "spec_id"]
     order = F.array_sort(F.collect_list(F.struct("export_pos", *[c for c in inner if c != "export_pos"])))
     exports.groupBy("spec_id").agg(order.alias("exports")).select(F.struct(F.col("spec_id").alias("name")).alias("meta"), "exports").write.mode("overwrite").json(path)
+
+
+def package_list(packages: DataFrame, most: int = 10) -> DataFrame:
+    """The first public packages (name, private) by name, and a line with how many more there are."""
+    public = packages.where(~F.coalesce("private", F.lit(False)))
+    total = public.agg(F.count("*").alias("n"))
+    first = public.orderBy(F.collate("name", "UNICODE")).limit(most).agg(_listed(F.concat(F.lit("- "), F.col("name")), "name").alias("first"))
+    more = F.when(F.col("n") > most, F.concat(F.lit("\n… and "), (F.col("n") - most).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    return side_by_side(total, first).select(F.concat(F.col("first"), more).alias("value"))

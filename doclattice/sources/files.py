@@ -125,3 +125,30 @@ def source_kind(lang: Column, spec: Column, abi: Column, entry: Column) -> Colum
     """The kind of a source by its options: an explicit language, a document, an interface, else TypeScript."""
     known = lang.isin("typescript", "clarity", "openapi")
     return F.when(lang.isNotNull() & ~known, F.raise_error(F.concat(F.lit("unknown language "), lang))).when(known, lang).when(spec.isNotNull(), "openapi").when(abi.isNotNull() | F.coalesce(entry.endswith(".clar"), F.lit(False)), "clarity").otherwise("typescript")
+
+
+def workspace_globs(manifest: dict | None, pnpm_yaml: str | None = None, lerna: dict | None = None) -> list[str]:
+    """Folders of a workspace: from the manifest, else the pnpm file, else lerna; ``packages/*`` always counts."""
+    globs: list[str] = []
+    own = (manifest or {}).get("workspaces")
+    if own:
+        globs = list(own.get("packages", []) if isinstance(own, dict) else own)
+    elif pnpm_yaml:
+        inside = False
+        for line in pnpm_yaml.splitlines():
+            text = line.split("#", 1)[0].rstrip()
+            if not text.strip():
+                continue
+            if not text[0].isspace() and not text.startswith("-"):
+                inside = text.strip() == "packages:"
+            elif inside and text.strip().startswith("-"):
+                globs.append(text.strip()[1:].strip().strip("'\""))
+    elif lerna:
+        globs = list(lerna.get("packages", []))
+    return [*dict.fromkeys([*globs, "packages/*"])]
+
+
+def write_docs_map(pages: DataFrame, path: str) -> None:
+    """A docs map (page, type, baseline) as one JSON document, pages in order: a scaffold, or lowered baselines."""
+    rows = pages.select("page", "type", F.col("baseline").cast("int").alias("baselineGaps"))
+    rows.agg(F.array_sort(F.collect_list(F.struct("page", "type", "baselineGaps"))).alias("pages")).select(F.lit(1).alias("version"), "pages").coalesce(1).write.mode("overwrite").json(path)

@@ -82,3 +82,15 @@ def mentions(files: DataFrame) -> DataFrame:
     """(path, key): code words outside fences."""
     rows = doc_lines(files).where("NOT inside AND NOT fence")
     return rows.select("path", F.explode(F.regexp_extract_all("text", F.lit("`([^`]+)`"), 1)).alias("w")).select("path", key_token("w").alias("key")).where("key IS NOT NULL").distinct()
+
+
+def changelog_entries(files: DataFrame) -> DataFrame:
+    """(path, pos, version, section, item): bullets of a changelog by ``##`` version and ``###`` section; commit references go."""
+    rows = doc_lines(files)
+    up = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heading = lambda marks: F.nullif(trim(F.regexp_extract("text", rf"^{marks}\s+(.+)$", 1)), F.lit(""))
+    rows = rows.withColumn("v", heading("##")).withColumn("version", F.last("v", ignorenulls=True).over(up))
+    here = Window.partitionBy("path", "version").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("section", F.last(heading("###"), ignorenulls=True).over(here))
+    item = trim(F.regexp_replace(F.regexp_extract("text", r"^\s*[-*]\s+(.*)$", 1), r"^(?:\[?[0-9a-f]{7,40}\]?(?:\([^)]*\))?:?\s*)+", ""))
+    return rows.withColumn("item", item).where("version IS NOT NULL AND NOT inside AND item <> '' AND item NOT RLIKE '^Updated dependencies'").select("path", F.col("line").alias("pos"), "version", "section", "item")

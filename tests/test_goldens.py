@@ -17,7 +17,7 @@ def one(spark, **columns):
     return spark.range(1).select(*[v.alias(k) for k, v in columns.items()]).first()
 
 
-# ---------------------------------------------------------------- scores
+# -- scores
 
 
 @pytest.mark.parametrize(("coverage", "exports", "issues", "score", "accuracy"), [(85, 24, 4, 78, 92), (70, 20, 2, 67, 95), (50, 20, 10, 38, 75), (40, 20, 3, 37, 93), (80, 12, 100, 40, 50), (100, 5, 20, 50, 50)])
@@ -41,7 +41,7 @@ def test_rounding_goes_up(spark):
     assert [r.x for r in spark.createDataFrame([(-2.5,), (2.5,), (-0.4,)], "v double").select(S.half_up("v").alias("x")).collect()] == [-2, 3, 0]
 
 
-# ---------------------------------------------------------------- text
+# -- text
 
 
 def test_camel_words(spark):
@@ -58,7 +58,7 @@ def test_scalars(spark):
     assert (r.q, r.r, r.s, str(r.t), r.u) == ("x", False, "▁▅█", "2024-01-07", "a\nfoo()\nb")
 
 
-# ---------------------------------------------------------------- names
+# -- names
 
 
 @pytest.mark.parametrize(("source", "candidates", "want"), [("fetchUser", ["fetchUserData", "createUser", "deleteData"], "fetchUserData"), ("getUserById", ["getUserByName", "setUserById"], "getUserByName"), ("createUsr", ["createUser"], None), ("foo", ["foo"], None), ("foo", [], None)])
@@ -74,7 +74,7 @@ def test_search_scores(spark):
     assert got == [100, 90, 70, 40, 0]
 
 
-# ---------------------------------------------------------------- versions
+# -- versions
 
 OLD = [("add", "function", "s", "d"), ("multiply", "function", "s", "d"), ("Point", "interface", "s", "d")]
 NEW = [("add", "function", "s", "d"), ("subtract", "function", "s", "d"), ("Point", "interface", "s", "e")]
@@ -102,7 +102,7 @@ def test_member_diff_suggests_a_rename(spark):
     assert got == {("getUser", "removed", "fetchUser"), ("fetchUser", "added", None), ("changed", "signature-changed", None)}
 
 
-# ---------------------------------------------------------------- keys and Markdown
+# -- keys and Markdown
 
 PAGE = """# Page
 `mentioned` here
@@ -155,7 +155,7 @@ def test_code_blocks(spark):
     assert [(r.lang, r.meta, r.code, r.line_start, r.line_end) for r in got] == [("ts", "title", "x\ny", 2, 5), ("js", "", "z", 9, 11)]
 
 
-# ---------------------------------------------------------------- code
+# -- code
 
 SNIPPET = """import def, { a as b, type T } from 'pkg'
 import * as ns from "other"
@@ -207,13 +207,24 @@ def test_doc_comments(spark):
     assert r[1].c.description is None and [t.name for t in c.tags][-1] == "deprecated"
 
 
-# ---------------------------------------------------------------- documents
+# -- documents
 
-REST = {
-    "openapi": "3.1.0",
-    "paths": {"/pets": {"parameters": [{"in": "query", "name": "limit", "required": True}], "get": {"summary": "List", "description": "All pets", "parameters": [{"in": "query", "name": "limit", "schema": {"type": "integer"}}], "responses": {"204": {}, "200": {"content": {"text/json": {"schema": {"type": "array"}}}}}}, "post": {"operationId": "add", "requestBody": {"content": {"application/json": {"schema": {"type": "object", "required": ["name"], "properties": {"name": {"type": "string"}, "age": {"type": "integer"}}}}}}, "responses": {"default": {}}}}},
-    "components": {"schemas": {"Pet": {"type": "object", "properties": {"owner": {"$ref": "#/components/schemas/Owner"}, "self": {"$ref": "#/components/schemas/Pet"}}}, "Owner": {"type": "object"}}},
-}
+
+
+def obj(**properties):
+    return {"type": "object", "properties": properties}
+
+
+def content(media, schema):
+    return {"content": {media: {"schema": schema}}}
+
+
+REF = "#/components/schemas/"
+PET = obj(owner={"$ref": REF + "Owner"}, self={"$ref": REF + "Pet"})
+BODY = obj(name={"type": "string"}, age={"type": "integer"}) | {"required": ["name"]}
+LIST = {"summary": "List", "description": "All pets", "parameters": [{"in": "query", "name": "limit", "schema": {"type": "integer"}}], "responses": {"204": {}, "200": content("text/json", {"type": "array"})}}
+ADD = {"operationId": "add", "requestBody": content("application/json", BODY), "responses": {"default": {}}}
+REST = {"openapi": "3.1.0", "paths": {"/pets": {"parameters": [{"in": "query", "name": "limit", "required": True}], "get": LIST, "post": ADD}}, "components": {"schemas": dict(Pet=PET, Owner=obj())}}
 
 
 def test_rest_document(spark):
@@ -226,10 +237,10 @@ def test_rest_document(spark):
     assert params == {("limit", False, "query"), ("limit", True, "query"), ("name", True, "body"), ("age", False, "body")}
     assert {(r.code, r.schema_json) for r in rest_documents.responses(ops).collect()} == {("200", '{"type":"array"}'), ("default", '"void"')}
     types = {r.name: json.loads(r.schema_json) for r in rest_documents.types(parsed).collect()}
-    assert types["Pet"]["properties"]["owner"]["title"] == "Owner" and types["Pet"]["properties"]["self"] == {"$ref": "#/components/schemas/Pet"}
+    assert types["Pet"]["properties"]["owner"]["title"] == "Owner" and types["Pet"]["properties"]["self"] == PET["properties"]["self"]
     refs = spark.createDataFrame([("a", "#/components/schemas/Owner"), ("a", "#/components/schemas/Nope")], "doc string, ref string")
     assert {r.ref[-4:]: r.node_json is not None for r in rest_documents.resolve(refs, rest_documents.pointers(parsed)).collect()} == {"wner": True, "Nope": False}
-    assert rest_documents.display_type({"anyOf": [{"type": "array", "items": {"$ref": "#/x/Pet"}}, {"type": "null"}]}) == "Pet[] | null"
+    assert rest_documents.display_type({"anyOf": [dict(type="array", items=PET["properties"]["self"]), {"type": "null"}]}) == "Pet[] | null"
 
 
 def test_contract_types():
@@ -238,7 +249,7 @@ def test_contract_types():
     assert contracts.type_schema({"x": 1, "y": 2}) == "unknown"
 
 
-# ---------------------------------------------------------------- the rest
+# -- the rest
 
 
 def test_closure_ends_on_cycles(spark):
@@ -273,7 +284,7 @@ def test_log_reader_and_ratchet(spark, tmp_path):
 
 
 def test_docs_map_errors(spark, tmp_path):
-    (tmp_path / "m.json").write_text(json.dumps({"version": 1, "pages": [{"page": "a", "type": "T", "baselineGaps": 1}, {"page": "", "type": "T", "baselineGaps": -1, "annotations": {"x": "odd"}}]}))
+    (tmp_path / "m.json").write_text(json.dumps(dict(version=1, pages=[dict(page="a", type="T", baselineGaps=1), dict(page="", type="T", baselineGaps=-1, annotations={"x": "odd"})])))
     got = files.docs_map(spark, str(tmp_path / "m.json")).orderBy("page_pos").collect()
     assert got[0].errors == [] and got[1].errors == ["page is missing", "baselineGaps is negative", "unknown annotation"]
 

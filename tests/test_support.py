@@ -6,9 +6,9 @@ import json
 
 import pytest
 from doclattice import api, cache, config
-from doclattice.operators import scoring, validation
+from doclattice.operators import predicates, scoring, validation
 from doclattice.sinks import render
-from doclattice.sources import versions
+from doclattice.sources import files, markdown, versions
 from doclattice.streaming import runs
 from pyspark.sql import functions as F
 
@@ -91,3 +91,27 @@ def test_result_checks(spark):
     bad = validation.check_analysis(good.withColumns({"score": F.lit(101), "missing": F.array(F.lit("odd"))})).first()
     assert bad.errors == ["score is out of range", "unknown rule"]
     assert scoring.spec_totals(good).first().score == 50
+
+
+def test_lists_and_pages(spark):
+    packages = spark.createDataFrame([(f"p{k:02d}", k == 3) for k in range(14)], "name string, private boolean")
+    text = render.package_list(packages).first().value
+    assert text.startswith("- p00\n- p01\n- p02\n- p04") and text.endswith("… and 3 more")
+    at = lambda n: [r.name for r in predicates.page(packages, n, 5, "name").collect()]
+    assert at(2) == ["p05", "p06", "p07", "p08", "p09"] and at(99) == at(3) and at(0)[0] == "p00"
+    assert predicates.page(packages.limit(0), 1, 5, "name").collect() == []
+
+
+def test_workspaces():
+    assert files.workspace_globs({"workspaces": {"packages": ["a/*"]}}) == ["a/*", "packages/*"]
+    assert files.workspace_globs({}, "packages:\n  - 'apps/*' # x\n  - packages/*\ncatalog:\n  - no\n") == ["apps/*", "packages/*"]
+    assert files.workspace_globs(None, None, {"packages": ["l/*"]}) == ["l/*", "packages/*"]
+
+
+def test_changelog_and_docs_map(spark, tmp_path):
+    text = "# Log\n## 1.1.0\n### Minor\n- abc1234: Adds x\n- Updated dependencies\n## 1.0.0\n- First\n"
+    got = markdown.changelog_entries(spark.createDataFrame([("c.md", text)], "path string, content string")).orderBy("pos").collect()
+    assert [(r.version, r.section, r.item) for r in got] == [("1.1.0", "Minor", "Adds x"), ("1.0.0", None, "First")]
+    files.write_docs_map(spark.createDataFrame([("b", "T", 1), ("a", "U", 0)], "page string, type string, baseline int"), str(tmp_path / "map"))
+    back = files.docs_map(spark, str(tmp_path / "map")).orderBy("page_pos").collect()
+    assert [(r.page, r.type, r.baselineGaps, r.errors) for r in back] == [("a", "U", 0, []), ("b", "T", 1, [])]
