@@ -50,7 +50,7 @@ QUERY_TERM = np.dtype([("row", "<u8"), ("query", "<i8"), ("term", "<u8"), ("df",
 LEVEL = np.dtype([("row", "<u8"), ("level", "<f8")])
 
 
-# ---------------------------------------------------------------- a shard
+# -- a shard
 
 
 class Shard:
@@ -184,7 +184,7 @@ class Index:
         return self.order[top], self.exact(query, top)
 
 
-# ---------------------------------------------------------------- over a corpus
+# -- over a corpus
 
 
 def _zip(x: np.ndarray) -> bytes:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 
 
-# ---------------------------------------------------------------- storage
+# -- storage
 
 #: Stand-in for the shared folder by application, single-JVM sessions only.
 _LOCAL: dict[str, str] = {}
@@ -106,7 +106,7 @@ def load_array(uri: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=dtype)
 
 
-# ---------------------------------------------------------------- worker memory
+# -- worker memory
 
 #: What a worker keeps between tasks of one operator; tasks of others drop it.
 CACHES: list = []
@@ -127,7 +127,7 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
-# ---------------------------------------------------------------- Arrow text
+# -- Arrow text
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +165,7 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
-# ---------------------------------------------------------------- hashing and words
+# -- hashing and words
 
 _RNG = np.random.default_rng(20240117)
 BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)

@@ -58,7 +58,7 @@ _Q = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k, 2**64)) for k in range(SHINGLE)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-# ---------------------------------------------------------------- sets and signatures
+# -- sets and signatures
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +171,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-# ---------------------------------------------------------------- verification
+# -- verification
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
         return c.materialize(both.mapInArrow(lambda it: _confirm(it, percent), "a bigint, b bigint"), "links")
 
 
-# ---------------------------------------------------------------- union-find
+# -- union-find
 
 
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +280,7 @@ def components(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
         seen = state
 
 
-# ---------------------------------------------------------------- buckets
+# -- buckets
 
 
 def _open_rows(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -345,7 +345,7 @@ def _block_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-# ---------------------------------------------------------------- the operator
+# -- the operator
 
 
 def group(docs: DataFrame, percent: int = 70, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -60,7 +60,7 @@ ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("th", "<u8"), ("pos", "<i8"),
 RANGE = np.dtype([("uid", "<u8"), ("start", "<i8"), ("end", "<i8")])
 
 
-# ---------------------------------------------------------------- anchors
+# -- anchors
 
 
 def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +155,7 @@ def _rows(name: str, bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[
         yield int(bucket[own[0]]), tuple(x[own] for x in arrays)
 
 
-# ---------------------------------------------------------------- step 2: repeated anchors
+# -- step 2: repeated anchors
 
 
 def _anchor_entries(buckets: int):
@@ -293,7 +293,7 @@ def _among(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
 
 
-# ---------------------------------------------------------------- step 3: contents
+# -- step 3: contents
 
 
 def _content_hash(content: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -541,7 +541,7 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["home", "blob"])
 
 
-# ---------------------------------------------------------------- step 4: removal
+# -- step 4: removal
 
 
 def _whole_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 LENGTH, ROWS_PER_BATCH = 1024, 1024
 
 
-# ---------------------------------------------------------------- the format
+# -- the format
 
 
 class ShardWriter:
@@ -124,7 +124,7 @@ class ShardReader:
             yield doc, start, have[start - begin : start - begin + n]
 
 
-# ---------------------------------------------------------------- over a corpus
+# -- over a corpus
 
 
 def write(docs: DataFrame, tokenizer: str, place: str, end: int = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:

@@ -29,7 +29,7 @@ def ids_of(tokenizer, text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
 
 
-# ---------------------------------------------------------------- encoding
+# -- encoding
 
 
 @settings(max_examples=200, deadline=None)
@@ -50,7 +50,7 @@ def test_encoder_beyond_its_memory(monkeypatch):
     assert len(own.pieces) <= 20 + 200
 
 
-# ---------------------------------------------------------------- token files
+# -- token files
 
 
 def test_token_files(spark, tokenizer):
@@ -89,7 +89,7 @@ def test_shard_round_trip(tmp_path):
     assert not ids.flags.owndata and pa.types.is_fixed_size_list(reader.file.schema.field("tokens").type)
 
 
-# ---------------------------------------------------------------- packing
+# -- packing
 
 
 def check_packing(rows, ids, capacity):
@@ -147,7 +147,7 @@ def test_fullest_is_fullest(lengths, capacity):
     assert (bins >= 0).all() and np.bincount(bins, lengths).max() <= capacity
 
 
-# ---------------------------------------------------------------- near-dedup
+# -- near-dedup
 
 
 def test_near_dedup(spark):
@@ -207,7 +207,7 @@ def test_signatures_match_the_sequential_method():
         assert g.tolist() == h
 
 
-# ---------------------------------------------------------------- search
+# -- search
 
 
 def brute_search(docs, k=10, every=50):
@@ -251,7 +251,7 @@ def test_search_in_blocks_of_queries(spark, monkeypatch):
     assert sorted([(r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in got], key=str) == brute_search(docs, 5)
 
 
-# ---------------------------------------------------------------- repeated passages
+# -- repeated passages
 
 
 def brute_repeats(docs):

@@ -16,7 +16,7 @@ from .cases import documents, frame, prose, words8
 VOCABULARY = queries.vocabulary("byte_bpe_50k.tiktoken")
 
 
-# ---------------------------------------------------------------- URL filter
+# -- URL filter
 
 
 def judged(spark, urls, rules=queries.URL_RULES, listed=None):
@@ -55,7 +55,7 @@ def test_url_empty_tables(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id bigint, url string"), queries.URL_RULES).collect() == []
 
 
-# ---------------------------------------------------------------- language ID
+# -- language ID
 
 
 def test_language(spark):
@@ -114,7 +114,7 @@ def test_script_narrows(spark):
     assert langs == ["ru", "en"]
 
 
-# ---------------------------------------------------------------- licenses
+# -- licenses
 
 
 def test_licenses(spark):
@@ -147,7 +147,7 @@ def test_alignment_matches_brute_force():
         assert matched >= best - 1e-9 and (matched == 0 or 0 <= first <= last < len(x))
 
 
-# ---------------------------------------------------------------- secrets
+# -- secrets
 
 
 def brute_base(text: str | None) -> list[tuple[int, int, str, int]]:
@@ -193,7 +193,7 @@ def test_redaction(spark):
     assert secret_scan.scan(docs.limit(0), VOCABULARY).collect() == []
 
 
-# ---------------------------------------------------------------- decontamination
+# -- decontamination
 
 
 def brute_decontaminate(docs, items, window=10):
@@ -237,7 +237,7 @@ def test_pattern_blocks(spark):
     assert items[0] >= {"3", "39"}
 
 
-# ---------------------------------------------------------------- parts
+# -- parts
 
 
 @settings(max_examples=300, deadline=None)
