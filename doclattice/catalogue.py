@@ -343,7 +343,7 @@ def _(spark, sf):
 
 @query("fuzzy_search_top3", """WITH q AS (SELECT unnest(['bolt', 'smallring', 'redwidgat', 'blu', 'ring']) AS query), i AS (SELECT name, min(export_pos) AS pos FROM exports GROUP BY name),
 s AS (SELECT query, name, pos, CASE WHEN lower(name) = query THEN 100 WHEN starts_with(lower(name), query) THEN 90 WHEN contains(lower(name), query) THEN 70 WHEN abs(length(query) - length(name)) <= 3 AND levenshtein(query, lower(name)) <= 2 THEN 50 - 10 * levenshtein(query, lower(name)) ELSE 0 END AS score FROM q, i),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, pos) AS rank FROM s WHERE score > 0) SELECT query, rank, name, score FROM r WHERE rank <= 3""", "exports")
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, pos) AS rank FROM s WHERE score > 0) SELECT query, CAST(rank AS INT) AS rank, name, CAST(score AS INT) AS score FROM r WHERE rank <= 3""", "exports")
 def _(spark, sf):
     items = derive(spark, sf, "exports").groupBy("name").agg(F.min("export_pos").alias("pos"))
     return fuzzy.search(spark.createDataFrame([(x,) for x in ("bolt", "smallring", "redwidgat", "blu", "ring")], "query string"), items)
@@ -501,7 +501,7 @@ def _(spark, sf):
     return keys.page_gate(keys.key_coverage(code, doc, code.select("key"), men), base)
 
 
-@query("docs_map_candidates", f"""WITH {_KEYS.format(s='VARCHAR')}, l AS (SELECT page FROM doc GROUP BY page HAVING count(*) >= 3), o AS (SELECT d.page, c.page AS type, count(*) AS overlap FROM doc d JOIN code c USING (key) WHERE d.page IN (SELECT page FROM l) GROUP BY 1, 2 HAVING count(*) >= 3) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY overlap DESC, type) AS rank FROM o) t WHERE rank <= 3""")
+@query("docs_map_candidates", f"""WITH {_KEYS.format(s='VARCHAR')}, l AS (SELECT page FROM doc GROUP BY page HAVING count(*) >= 3), o AS (SELECT d.page, c.page AS type, count(*) AS overlap FROM doc d JOIN code c USING (key) WHERE d.page IN (SELECT page FROM l) GROUP BY 1, 2 HAVING count(*) >= 3) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY page ORDER BY overlap DESC, type) AS INT) AS rank FROM o) t WHERE rank <= 3""")
 def _(spark, sf):
     code, doc, _ = _key_tables(spark, sf)
     return keys.page_candidates(doc, code.select(F.col("page").alias("type"), "key"))
@@ -562,7 +562,7 @@ def _(spark, sf):
     return history.extremes(derive(spark, sf, "history"))
 
 
-@query("history_retained", "SELECT * FROM (SELECT seq, date, package, coverage, lint, row_number() OVER (PARTITION BY package ORDER BY date DESC, seq DESC) AS n FROM history) t WHERE n <= 100", "history")
+@query("history_retained", "SELECT * FROM (SELECT seq, date, package, coverage, lint, CAST(row_number() OVER (PARTITION BY package ORDER BY date DESC, seq DESC) AS INT) AS n FROM history) t WHERE n <= 100", "history")
 def _(spark, sf):
     w = Window.partitionBy("package").orderBy(F.col("date").desc(), F.col("seq").desc())
     return history.retained(derive(spark, sf, "history")).withColumn("n", F.row_number().over(w))
