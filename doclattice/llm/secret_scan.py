@@ -8,10 +8,13 @@ Base kinds (leftmost, non-overlapping per kind, on whole texts):
 
 The method adds ``random`` spans: runs of ``[A-Za-z0-9+/_=-]`` of ``min_length`` or more
 characters are split by a tiktoken vocabulary, and a run with few characters per token is
-taken for a random string, as text, names and code compress to longer tokens. Known
-digests (hexadecimal runs of digest lengths), UUIDs, identifiers (words joined by ``_`` or
-``-``, camel case, letters with a trailing number) and runs without both letters and digits
-are left out first; so are runs that a base span covers.
+taken for a random string, as text, names and code compress to longer tokens. Every run is
+held against the vocabulary, whatever characters it has, but for known digests (hexadecimal
+runs of digest lengths), UUIDs, groups of at most 8 digits, single letters joined by marks,
+marks alone and a unit of up to 4 characters over and over. In runs shaped like identifiers
+(words joined by marks, with trailing numbers) the marks count neither as characters nor as
+tokens, as they cost short words a token each, and words in capitals count in lower case,
+as vocabularies know them. Runs that a base span covers are left out.
 
 The keyword search is a substring test on the lower-cased bytes, so the regular expression
 runs on the few texts that can match; candidate runs are found by numpy on the bytes.
@@ -47,13 +50,14 @@ _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 _RUN = np.zeros(256, bool)
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[list(b"0123456789")] = True
 
 _UUID = re.compile(rb"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 _ANYHEX = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
 _DIGESTS = {32, 40, 48, 56, 64, 96, 128}
-#: Words of letters with few digits at their ends, joined by one mark each.
+_WORD = re.compile(rb"[A-Za-z0-9]+")
+#: Groups of digits, single letters, marks alone, a short unit repeated.
+_PLAIN = re.compile(rb"[_/+=-]*[0-9]{1,8}(?:[_/+=-]+[0-9]{1,8})*[_/+=-]*|[_/+=-]*[A-Za-z](?:[_/+=-]+[A-Za-z])*[_/+=-]*|[_/+=-]+|(.{1,4}?)\1{4,}")
+#: Words of letters with few digits at their ends, joined by marks.
 _IDENTIFIER = re.compile(rb"[A-Za-z]{2,}[0-9]{0,4}(?:[_/+=-]+(?:[A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,4}))*[_/+=-]*")
 
 
@@ -68,11 +72,11 @@ def _encoding(path: str):
 
 def is_random(run: bytes, vocabulary: str, max_ratio: float) -> bool:
     """Whether a run of key characters has few characters per token and is no digest or identifier."""
-    if not (any(48 <= b <= 57 for b in run) and any(b > 64 and b != 95 for b in run)):
+    if _UUID.fullmatch(run) or _PLAIN.fullmatch(run) or (_ANYHEX.fullmatch(run) and len(run) in _DIGESTS):
         return False
-    if _UUID.fullmatch(run) or _IDENTIFIER.fullmatch(run) or (_ANYHEX.fullmatch(run) and len(run) in _DIGESTS):
-        return False
-    return len(run) <= max_ratio * len(_encoding(vocabulary).encode_ordinary(run.decode("ascii")))
+    words = [x.lower() if x.isupper() else x for x in _WORD.findall(run)] if _IDENTIFIER.fullmatch(run) else [run]
+    own = _encoding(vocabulary)
+    return sum(map(len, words)) <= max_ratio * sum(len(own.encode_ordinary(x.decode("ascii"))) for x in words)
 
 
 def _runs(mask: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,10 +114,6 @@ def find_spans(data: np.ndarray, off: np.ndarray, vocabulary: str, min_length: i
             if m.end() - m.start() >= 16:
                 out.setdefault(r, []).append((m.start(), 1, m.end()))
     for kind, (s, e) in ((2, _runs(_HEX[data], off, 32)), (3, _runs(_RUN[data], off, min_length))):
-        if kind == 3 and len(s):  # runs without a digit can't be random strings
-            digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-            some = digits[e] > digits[s]
-            s, e = s[some], e[some]
         for a, b, r in zip(s.tolist(), e.tolist(), (np.searchsorted(off, s, "right") - 1).tolist()):
             base = bounds[r]
             own = out.get(r, ())

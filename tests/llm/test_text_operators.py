@@ -193,6 +193,20 @@ def test_redaction(spark):
     assert secret_scan.scan(docs.limit(0), VOCABULARY).collect() == []
 
 
+def test_random_strings_without_digits(spark):
+    rng = np.random.default_rng(11)
+    letters = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8)
+    keys = [rng.choice(x, k).tobytes().decode() for x in (letters, letters[:26], letters[26:]) for k in (20, 32, 44) for _ in range(10)]
+    keys += [f"{a[:10]}-{a[10:]}" for a in keys[:10]]
+    caught = [secret_scan.is_random(k.encode(), VOCABULARY, 2.0) for k in keys]
+    assert sum(caught) >= 0.95 * len(keys)
+    names = "some_long_identifier_name IO_ERR_NO_SUCH_DEV_ID getHTTPResponseCodeForURLString usr/local/lib/python3/dist-packages Donaudampfschifffahrtsgesellschaft a-b-c-d-e-f-g-h-i-j-k =-=-=-=-=-=-=-=-=-=-= 2024-01-28/2024-02-03-12".split()
+    assert [n for n in names if secret_scan.is_random(n.encode(), VOCABULARY, 2.0)] == []
+    text = "é key " + keys[0] + " and " + " ".join(names)
+    assert [r.spans for r in secret_scan.scan(frame(spark, [(1, text)]), VOCABULARY).collect()] == ["random:6:26"]
+    assert [r.text for r in secret_scan.redact(frame(spark, [(1, text)]), VOCABULARY).collect()] == [text.replace(keys[0], "[SECRET]")]
+
+
 # -- decontamination
 
 
