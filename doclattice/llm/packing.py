@@ -8,10 +8,11 @@ as the pieces allow, and the next bin is filled. The program sees a histogram of
 (at most ``capacity`` entries), never the pieces.
 
 Packing is done where the pieces are: each task packs its own rows, encoded in the same
-pass, and keeps the bins that are full. What can't fill a bin, at most ``CARRY`` pieces of a
-task, goes on to the next level, whose tasks get 64 * CARRY pieces each, and so on to one
-task that packs all of the rest. No such task ever gets more pieces, no piece moves
-that has its place, and the result wastes about as little as one packing of all pieces.
+pass, and keeps the bins that are full. Pieces that fill no bin among those of their task,
+however many they are, are counted by length; the histogram of all tasks (at most
+``capacity`` counters) is planned as one packing, and a piece finds its bin by its rank
+among the pieces of its length. So no bin is closed with room left before all pieces are
+known, and no task or driver holds more than its own pieces and the plan.
 
 Defined results: null and empty texts are documents of the end id alone; repeated rows
 are packed each for itself; very long texts are cut into as many pieces as they need;
@@ -26,14 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from . import common as c
 from .encode import encoder
 
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-#: Pieces that a task may hand on to the next level.
+_LEVEL = SCHEMA + ", part int, place bigint"
+#: Tasks that place what fills no bin of its own task get about FAN_IN * CARRY pieces.
 CARRY = 4096
 FAN_IN = 64
 
@@ -68,20 +71,31 @@ def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
     return chosen
 
 
-def fill(lengths: np.ndarray, capacity: int, carry: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and place of every piece; bin -1 for at most ``carry`` pieces that are handed on."""
+def plan(counts: dict[int, int], capacity: int, full_only: bool = False) -> Iterator[tuple[dict[int, int], int]]:
+    """Combinations and how many bins get each; ``full_only`` leaves out the pieces that fill no bin."""
+    counts = {x: n for x, n in counts.items() if n > 0}
+    while counts:
+        chosen = fullest(counts, capacity)
+        if full_only and sum(x * k for x, k in chosen.items()) < capacity:
+            del counts[max(counts)]  # fewer pieces later fill no bin either
+            continue
+        times = min(counts[x] // k for x, k in chosen.items())
+        yield chosen, times
+        for x, k in chosen.items():
+            counts[x] -= k * times
+            if not counts[x]:
+                del counts[x]
+
+
+def fill(lengths: np.ndarray, capacity: int, full_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and place of every piece; with ``full_only`` bin -1 for pieces that fill none."""
     n = len(lengths)
     bins, places = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     order = np.argsort(lengths, kind="stable")
     values, first, number = np.unique(lengths[order], return_index=True, return_counts=True)
     at = dict(zip(values.tolist(), first.tolist()))
-    counts = dict(zip(values.tolist(), number.tolist()))
-    left, next_bin = n, 0
-    while left:
-        chosen = fullest(counts, capacity)
-        if sum(x * k for x, k in chosen.items()) < capacity and left <= carry:
-            break
-        times = min(counts[x] // k for x, k in chosen.items())
+    next_bin = 0
+    for chosen, times in plan(dict(zip(values.tolist(), number.tolist())), capacity, full_only):
         ids, place = next_bin + np.arange(times), 0
         for x, k in chosen.items():
             for _ in range(k):
@@ -89,14 +103,47 @@ def fill(lengths: np.ndarray, capacity: int, carry: int) -> tuple[np.ndarray, np
                 bins[own], places[own] = ids, place
                 at[x] += times
                 place += x
-            counts[x] -= k * times
-            if not counts[x]:
-                del counts[x]
-        left -= times * sum(chosen.values())
         next_bin += times
     return bins, places
 
 
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """Number of each entry among the equal ones."""
+    order = np.argsort(values, kind="stable")
+    _, first, number = np.unique(values[order], return_index=True, return_counts=True)
+    out = np.zeros(len(values), np.int64)
+    out[order] = np.arange(len(values)) - np.repeat(first, number)
+    return out
+
+
+def _layout(counts: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
+    """The plan of all pieces, by length: rows (first rank, bins, first bin, place of the first copy)."""
+    rows: dict[int, list[tuple[int, int, int, int]]] = {}
+    at = dict.fromkeys(counts, 0)
+    next_bin = 0
+    for chosen, times in plan(counts, capacity):
+        place = 0
+        for x, k in chosen.items():
+            rows.setdefault(x, []).append((at[x], times, next_bin, place))
+            at[x] += k * times
+            place += k * x
+        next_bin += times
+    return {x: np.array(r, np.int64) for x, r in rows.items()}
+
+
+def _look_up(layout: dict[int, np.ndarray], lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and place of pieces by length and rank."""
+    bins, places = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    order = np.argsort(lengths, kind="stable")
+    values, first = np.unique(lengths[order], return_index=True)
+    for x, own in zip(values.tolist(), np.split(order, first[1:])):
+        rows = layout[x]
+        start, times, base, place = rows[np.searchsorted(rows[:, 0], ranks[own], "right") - 1].T
+        copy, number = np.divmod(ranks[own] - start, times)
+        bins[own], places[own] = base + number, place + copy * x
+    return bins, places
+
+
 def _cut(ids: list[int | None], tokens: list[bytes], dtype: np.dtype, end: int, capacity: int) -> list[np.ndarray]:
     """Columns of the pieces of a batch, unplaced."""
     total = np.array([len(x) // dtype.itemsize + 1 for x in tokens], np.int64)
@@ -117,20 +164,23 @@ def _cut(ids: list[int | None], tokens: list[bytes], dtype: np.dtype, end: int,
     return [np.array(row), piece.astype(np.int32), start, length, crc]
 
 
-def _place(table: pa.Table, capacity: int, carry: int, level: int) -> Iterator[pa.RecordBatch]:
-    """Give the pieces of a task their bins; those of a full sequence have one each."""
+def _place(table: pa.Table, capacity: int) -> Iterator[pa.RecordBatch]:
+    """Give the pieces of a task that fill bins their places, full sequences one bin each, and the others a rank by length."""
     length = table.column("length").to_numpy()
     part = np.flatnonzero(length < capacity)
     bins, places = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-    got, at = fill(length[part], capacity, carry)
+    got, at = fill(length[part], capacity, True)
     places[part] = at
     used = int(got.max()) + 1 if len(got) else 0
     bins[part] = got
     whole = np.flatnonzero(length >= capacity)
     bins[whole] = used + np.arange(len(whole))
-    base = (level << 58) | (TaskContext.get().partitionId() << 32)
+    split = TaskContext.get().partitionId()
     none = bins < 0
-    out = table.select(NAMES[:5]).append_column("sequence_id", pa.array(base + bins, mask=none)).append_column("offset", pa.array(places, mask=none))
+    ranks = np.zeros(len(length), np.int64)
+    ranks[none] = _ranks(length[none])
+    out = table.select(NAMES[:5]).append_column("sequence_id", pa.array((split << 32) + bins, mask=none)).append_column("offset", pa.array(places, mask=none))
+    out = out.append_column("part", pa.array(np.full(len(length), split, np.int32))).append_column("place", pa.array(ranks))
     yield from out.to_batches(max_chunksize=50_000)
 
 
@@ -147,27 +197,24 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, id
                 columns = _cut(None, own.encode(part.column(1).to_pylist()), own.dtype, end, capacity)
                 tables.append(pa.table([part.column(0).cast(pa.int64()).take(pa.array(columns[0])), *map(pa.array, columns[1:])], names=NAMES[:5]))
         if tables:
-            yield from _place(pa.concat_tables(tables), capacity, CARRY, 0)
-
-    level = c.materialize(c.keyed(docs, id_col, text_col).mapInArrow(first, SCHEMA), "pieces")
-    done = [level.where("sequence_id IS NOT NULL")]
-    depth = 1
-    while True:
-        rest = level.where("sequence_id IS NULL")
-        tasks = -(-rest.count() // (FAN_IN * CARRY))
-        carry = CARRY if tasks > 1 else 0
-
-        def again(batches: Iterator[pa.RecordBatch], carry: int = carry, depth: int = depth) -> Iterator[pa.RecordBatch]:
-            tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-            if tables:
-                yield from _place(pa.concat_tables(tables), capacity, carry, depth)
-
-        level = c.materialize(rest.repartition(max(1, tasks), "doc_id", "piece").mapInArrow(again, SCHEMA), "pieces")
-        done.append(level.where("sequence_id IS NOT NULL"))
-        if tasks <= 1:
-            break
-        depth += 1
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+            yield from _place(pa.concat_tables(tables), capacity)
+
+    level = c.materialize(c.keyed(docs, id_col, text_col).mapInArrow(first, _LEVEL), "pieces")
+    done = level.where("sequence_id IS NOT NULL").select(*NAMES)
+    rest = level.where("sequence_id IS NULL")
+    counts = c.materialize(rest.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    if not histogram:
+        return done
+    layout = _layout(histogram, capacity)
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    tasks = -(-sum(histogram.values()) // (FAN_IN * CARRY))
+    ranked = rest.repartition(tasks, "length", "part").join(starts, ["length", "part"]).select(*NAMES[:5], (F.col("place") + F.col("before")).alias("place"))
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins, places = _look_up(layout, batch.column("length").to_numpy(), batch.column("place").to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array((1 << 58) + bins), pa.array(places)], names=NAMES)
+
+    return done.unionByName(c.materialize(ranked.mapInArrow(last, SCHEMA), "pieces"))

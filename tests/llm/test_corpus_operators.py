@@ -132,6 +132,26 @@ def test_packing_in_levels(spark, tokenizer, monkeypatch):
     check_packing(rows, {i: ids_of(tokenizer, t) for i, t in docs}, 100)
 
 
+def test_packing_fills_bins_across_splits(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CARRY", 3)
+    monkeypatch.setattr(packing, "FAN_IN", 2)
+    long, short = " the" * 59, " the" * 39
+    assert (len(ids_of(tokenizer, long)), len(ids_of(tokenizer, short))) == (60, 40)
+    docs = [(k, long if k < 40 else short) for k in range(80)]
+    rows = packing.pack(frame(spark, docs), TOKENIZER, capacity=100).collect()
+    assert check_packing(rows, {i: ids_of(tokenizer, t) for i, t in docs}, 100) == 40
+
+
+def test_packing_many_pieces_of_two_lengths():
+    lengths = np.repeat([600, 424], 5000)
+    layout = packing._layout({600: 5000, 424: 5000}, 1024)
+    bins, places = packing._look_up(layout, lengths, packing._ranks(lengths))
+    assert len(set(bins.tolist())) == 5000 and (np.bincount(bins, lengths) == 1024).all()
+    assert len(set(zip(bins.tolist(), places.tolist()))) == 10000
+    for split in (lengths[:5000], lengths[5000:]):
+        assert (packing.fill(split, 1024, True)[0] == -1).all()  # all go on, none is closed with room left
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=12), st.integers(20, 30))
 def test_fullest_is_fullest(lengths, capacity):
