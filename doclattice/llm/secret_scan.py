@@ -14,7 +14,12 @@ runs of digest lengths), UUIDs, groups of at most 8 digits, single letters joine
 marks alone and a unit of up to 4 characters over and over. In runs shaped like identifiers
 (words joined by marks, with trailing numbers) the marks count neither as characters nor as
 tokens, as they cost short words a token each, and words in capitals count in lower case,
-as vocabularies know them. Runs that a base span covers are left out.
+as vocabularies know them.
+
+Of a run that base spans cover in part, what they leave is tested by itself, without the
+marks next to them. Where that is shorter than ``min_length``, it is taken if the whole run
+is random and the rest neither names something (letters with few digits and few tokens) nor
+has less than 4 characters. Runs that base spans cover as a whole are left out.
 
 The keyword search is a substring test on the lower-cased bytes, so the regular expression
 runs on the few texts that can match; candidate runs are found by numpy on the bytes.
@@ -54,6 +59,7 @@ _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _UUID = re.compile(rb"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 _ANYHEX = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
 _DIGESTS = {32, 40, 48, 56, 64, 96, 128}
+_MARKS = b"_/+=-"
 _WORD = re.compile(rb"[A-Za-z0-9]+")
 #: Groups of digits, single letters, marks alone, a short unit repeated.
 _PLAIN = re.compile(rb"[_/+=-]*[0-9]{1,8}(?:[_/+=-]+[0-9]{1,8})*[_/+=-]*|[_/+=-]*[A-Za-z](?:[_/+=-]+[A-Za-z])*[_/+=-]*|[_/+=-]+|(.{1,4}?)\1{4,}")
@@ -79,6 +85,26 @@ def is_random(run: bytes, vocabulary: str, max_ratio: float) -> bool:
     return sum(map(len, words)) <= max_ratio * sum(len(own.encode_ordinary(x.decode("ascii"))) for x in words)
 
 
+def _rests(run: bytes, base: list[tuple[int, int]], vocabulary: str, min_length: int, max_ratio: float) -> list[tuple[int, int]]:
+    """Random stretches of a run that the base spans leave uncovered."""
+    found, pos = [], 0
+    for a, b in [*sorted(base), (len(run), len(run))]:
+        if a > pos:
+            rest, x, y = run[pos:a], pos, a
+            if pos:
+                x = a - len(rest.lstrip(_MARKS))
+            if a < len(run):
+                y = pos + len(rest.rstrip(_MARKS))
+            rest = run[x:y]
+            if len(rest) >= min_length:
+                if is_random(rest, vocabulary, max_ratio):
+                    found.append((x, y))
+            elif len(rest) > 3 and is_random(rest, vocabulary, max_ratio) and is_random(run, vocabulary, max_ratio):
+                found.append((x, y))
+        pos = max(pos, b)
+    return found
+
+
 def _runs(mask: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, _ = c.word_spans(mask.view(np.uint8), off, np.array([True, False] + [True] * 254))
     keep = ends - starts >= least
@@ -118,7 +144,12 @@ def find_spans(data: np.ndarray, off: np.ndarray, vocabulary: str, min_length: i
             base = bounds[r]
             own = out.get(r, ())
             if kind == 3:
-                if any(x[1] < 3 and x[0] < b - base and a - base < x[2] for x in own) or not is_random(raw[a:b], vocabulary, max_ratio):
+                covered = [(x[0] + base - a, x[2] + base - a) for x in own if x[1] < 3 and x[0] < b - base and a - base < x[2]]
+                if covered:
+                    for x, y in _rests(raw[a:b], covered, vocabulary, min_length, max_ratio):
+                        out[r].append((a - base + x, kind, a - base + y))
+                    continue
+                if not is_random(raw[a:b], vocabulary, max_ratio):
                     continue
             out.setdefault(r, []).append((a - base, kind, b - base))
     for spans in out.values():
