@@ -2,10 +2,11 @@
 
 Templates and texts are word sequences (letters and digits, lower-cased). Of a template's
 hashed word trigrams, winnowing keeps the least of every ``WINDOW`` in a row, all of them
-for templates too short for a window; an inverted index leads from a fingerprint to
+for templates of at most ``SHORT`` words; templates under 6 words have shorter grams, so
+that one survives a changed word. An inverted index leads from a fingerprint to
 (template, position). Every trigram of a text is looked up, so a copy of ``GRAM + WINDOW - 1``
-words in a row is never missed. Hits of one template on near diagonals make a candidate
-region, in which a banded alignment (matches count 1, mismatches and gaps cost 1/2, free ends in the text)
+words in a row is never missed. Hits of one template on near diagonals make candidate
+regions, one for each diagonal, and what a match leaves of a region is searched again. There a banded alignment (matches count 1, mismatches and gaps cost 1/2, free ends in the text)
 finds how many template words are matched and where. A match is reported if it
 covers ``min_coverage`` of the template; of overlapping matches the one with most matched
 words stays, then the one with better coverage, then the name that sorts first.
@@ -17,6 +18,7 @@ tables give empty results; templates without words are ignored.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame
 from . import common as c
 
 GRAM, WINDOW, BAND = 3, 4, 8
+#: Templates up to this many words keep all grams: one changed word may leave no run of GRAM + WINDOW - 1 others.
+SHORT = 2 * (GRAM + WINDOW - 1)
 SCHEMA = "doc_id bigint, n_matches bigint, licenses array<string>, matches array<struct<license:string,coverage:double,start:bigint,end:bigint>>"
 _MATCH = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -95,12 +99,13 @@ class Index:
             if not words:
                 continue
             hashes = _word_hashes(words)
-            size = min(GRAM, len(words))
+            size = GRAM if len(words) >= 2 * GRAM else max(1, len(words) // 2)
             found = grams(hashes, size)
             self.names.append(name)
             self.words.append(hashes)
             self.size.append(size)
-            entries += [(int(found[p]), len(self.names) - 1, int(p)) for p in winnow(found, WINDOW)]
+            chosen = winnow(found, WINDOW) if len(words) > SHORT else range(len(found))
+            entries += [(int(found[p]), len(self.names) - 1, int(p)) for p in chosen]
         self.tables = {}
         for size in sorted(set(self.size)):
             own = sorted(e for e in entries if self.size[e[1]] == size)
@@ -162,17 +167,26 @@ def find(words: np.ndarray, index: Index, hits: list[tuple[int, int, int]], min_
         while k < len(hits) and hits[k][0] == t and hits[k][1] - diagonal <= BAND:
             k += 1
         m = len(index.words[t])
-        at = hits[(group + k - 1) // 2][1]
-        lo, hi = max(0, at - BAND), min(len(words), at + m + BAND)
-        matched, first, last = _aligned(index.words[t].tobytes(), words[lo:hi].tobytes(), at - lo)
-        if matched >= min_coverage * m:
-            found.append((matched, t, lo + first, lo + last))
-    found.sort(key=lambda x: (-x[0], -x[0] / len(index.words[x[1]]), x[1], x[2]))
-    kept: list[tuple[int, int, int, int]] = []
+        own = [x[1] for x in hits[group:k]]
+        # the middle diagonal stands for hits shifted by edits; occurrences close together have diagonals of their own
+        for at in dict.fromkeys([own[len(own) // 2], *own]):
+            lo, hi = max(0, at - BAND), min(len(words), at + m + BAND)
+            todo = [(lo, hi)]
+            while todo:  # what an accepted match leaves of the region is aligned again
+                a, b = todo.pop()
+                if b - a < min_coverage * m:
+                    continue
+                matched, first, last = _aligned(index.words[t].tobytes(), words[a:b].tobytes(), at - a)
+                if matched and matched >= min_coverage * m:
+                    found.append((matched, t, a + first, a + last))
+                    todo += [(a, a + first), (a + last + 1, b)]
+    found = sorted(set(found), key=lambda x: (-x[0], -x[0] / len(index.words[x[1]]), x[1], x[3] - x[2], x[2]))
+    kept: list[tuple[int, int, int, int]] = []  # in order of the text, none overlaps another
     for x in found:
-        if all(x[3] < y[2] or y[3] < x[2] for y in kept):
-            kept.append(x)
-    return [(t, matched / len(index.words[t]), a, b) for matched, t, a, b in sorted(kept, key=lambda x: x[2])]
+        place = bisect.bisect_right(kept, x[3], key=lambda y: y[2])
+        if not place or kept[place - 1][3] < x[2]:
+            kept.insert(place, x)
+    return [(t, matched / len(index.words[t]), a, b) for matched, t, a, b in kept]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

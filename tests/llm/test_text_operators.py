@@ -131,6 +131,17 @@ def test_licenses(spark):
     assert license_scan.scan(frame(spark, [])).collect() == []
 
 
+def test_licenses_on_successive_lines_and_edited(spark):
+    names = sorted(license_scan.TEMPLATES)
+    edits = [("MIT notice", "Released under zzz MIT License"), ("CC-BY-NC-4.0 notice", "Licensed zzz CC BY-NC 4.0."), ("LGPL notice", "licensed under the zzz Lesser General Public License")]
+    rows = [(k, "\n".join([license_scan.TEMPLATES[n]] * 6)) for k, n in enumerate(names)] + [(100 + k, t) for k, (_, t) in enumerate(edits)]
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, rows)).collect()}
+    for k, n in enumerate(names):
+        size = len(license_scan.TEMPLATES[n]) + 1
+        assert [m.license for m in got[k].matches] == [n] * 6 and [m.start // size for m in got[k].matches] == list(range(6))
+    assert [got[100 + k].licenses for k in range(len(edits))] == [[n] for n, _ in edits]
+
+
 def test_alignment_matches_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(60):
