@@ -13,7 +13,7 @@ from doclattice.llm import common, decontaminate, language_id, near_dedup, packi
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without one (no letters, or no language with half of the text) go."""
+    """Documents in known languages, one or several; those without letters go."""
     common.prepare(spark)
     return language_id.keep_identified(docs, queries.language_model(docs))
 

@@ -268,13 +268,13 @@ def detect(docs: DataFrame, model: Model, penalty: float = 12.0, id_col: str = "
     return c.keyed(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
-def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, penalty: float = 12.0, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` whose text has a language with at least ``min_score`` of its bytes."""
+def keep_identified(docs: DataFrame, model: Model, penalty: float = 12.0, text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` whose text has words in learned languages, one or several."""
     root, labels, at = _store(docs.sparkSession, model), tuple(model.labels), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _portions(batches, at, len(labels)):
-            langs, share, _ = label_batch(_load(root, labels), part.column(at), penalty)
-            yield part.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(langs, share)], pa.bool_()))
+            langs, _, _ = label_batch(_load(root, labels), part.column(at), penalty)
+            yield part.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
 
     return c.map_rows(docs, run)

@@ -81,6 +81,16 @@ def test_language(spark):
     assert language_id.detect(tests.limit(0), model).collect() == []
 
 
+def test_mixed_languages_are_kept(spark):
+    words = {"en": "the and with river stone there", "de": "und der nicht straße über eine", "fr": "les vous être avec pourquoi jamais"}
+    rows = [(k, " ".join([words[n]] * 5), n) for k, n in enumerate([*words] * 20)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    mixed = frame(spark, [(1, " ".join(" ".join([w] * 10) for w in words.values())), (2, "12 !?")])
+    found = {r.doc_id: r for r in language_id.detect(mixed, model).collect()}
+    assert {s.lang for s in found[1].spans} == set(words) and found[1].score < 0.5
+    assert [r.doc_id for r in language_id.keep_identified(mixed, model).collect()] == [1]
+
+
 def brute_viterbi(scores, penalty):
     best, back = scores[0].copy(), []
     for s in scores[1:]:
