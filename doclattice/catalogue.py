@@ -665,10 +665,11 @@ def _(spark, sf):
 
 @query("history_stream")
 def _(spark, sf):
-    """The log as a stream (an extension): finished weeks are appended as they close."""
+    """The log as a stream (an extension): weeks are appended as they close, those still open at its end are added."""
     root = f"{storage.shared_root(spark)}/stream-{uuid.uuid4().hex[:12]}"
     log = table(spark, sf, "events").select("ts", F.col("event_type").alias("package"), F.least(F.lit(100.0), F.floor("value")).cast("int").alias("coverage"), (F.col("user_id") % 4).cast("int").alias("lint"))
     log.write.json(f"{root}/log")
     done = history_stream.write_weekly(history_stream.weekly_rollup(history_stream.read_log(spark, f"{root}/log"), "1 day"), f"{root}/weeks", f"{root}/state")
     done.awaitTermination()
-    return spark.read.schema("week date, package string, average int, best int, snapshots bigint").parquet(f"{root}/weeks")
+    weeks = spark.read.schema("week date, package string, average int, best int, snapshots bigint").parquet(f"{root}/weeks")
+    return history_stream.finished(weeks, spark.read.schema(history_stream.SCHEMA).json(f"{root}/log").where("ts IS NOT NULL"))

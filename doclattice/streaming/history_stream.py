@@ -20,6 +20,11 @@ def weekly_rollup(stream: DataFrame, lateness: str = "14 days") -> DataFrame:
     return stream.withWatermark("ts", lateness).groupBy(week, "package").agg(F.avg("coverage").alias("average"), F.max("coverage").alias("best"), F.count("*").alias("snapshots")).select(F.to_date("window.start").alias("week"), "package", F.floor(F.col("average") + 0.5).cast("int").alias("average"), "best", "snapshots")
 
 
+def finished(weeks: DataFrame, log: DataFrame, columns: tuple[str, ...] = ("week", "package")) -> DataFrame:
+    """Weeks that a stream appended and, as its log has ended, a batch rollup of those it left open."""
+    return weeks.unionByName(weekly_rollup(log).join(weeks.select(*columns), list(columns), "left_anti"))
+
+
 def alerts(stream: DataFrame, minimum: int) -> DataFrame:
     return stream.where((F.col("coverage") < minimum) | (F.col("lint") > 0))
 
