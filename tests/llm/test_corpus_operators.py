@@ -186,17 +186,75 @@ def test_near_dedup(spark):
     assert near_dedup.group(frame(spark, [])).collect() == []
 
 
-def test_residual_buckets_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 0)
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    docs = [(k, prose(5, 80) + " " + prose(100 + k, k % 30)) for k in range(30)] + [(50 + k, prose(6, 80) + " " + prose(200 + k, 3 + k % 20)) for k in range(20)]
-    buckets = spark.createDataFrame([(1, k, k) for k, _ in docs] + [(2, 7, 7)], "key bigint, doc_id bigint, root bigint")
-    nodes = frame(spark, docs).select("doc_id", "text").mapInArrow(near_dedup._sign, "doc_id bigint, n_shingles bigint, lo bigint, hi bigint, sig binary, bands array<bigint>")
-    rows = buckets.join(buckets.groupBy("key").count().withColumnRenamed("count", "size"), "key")
-    pairs = {tuple(sorted(r)) for r in near_dedup._block_pairs(rows, nodes).collect()}
-    sig = {r.doc_id: np.frombuffer(r.sig, np.uint8) for r in nodes.collect()}
-    want = {(a, b) for a in sig for b in sig if a < b and (sig[a] == sig[b]).mean() >= near_dedup.MIN_ESTIMATE}
-    assert pairs == want
+def test_near_dedup_of_ids_with_different_texts(spark):
+    x, y = prose(1, 60), prose(2, 60)
+    docs = [(1, x), (5, x), (5, y), (9, y + " end"), (10, prose(3, 60)), (10, prose(4, 60)), (11, prose(4, 60) + " end"), (12, prose(3, 60)), (20, ""), (20, prose(5, 60)), (21, prose(5, 60)), (30, prose(6, 60)), (30, prose(6, 60)), (7, prose(7, 40)), (6, prose(7, 40)), (7, prose(8, 40)), (8, prose(8, 40) + " a")]
+    want = {1: 1, 5: 1, 9: 1, 10: 10, 11: 10, 12: 10, 20: 20, 21: 20, 30: 30, 6: 6, 7: 6, 8: 6}
+    for tasks in (1, 5):
+        got = near_dedup.group(frame(spark, docs).repartition(tasks)).collect()
+        assert len(got) == len(docs) and all(r.component_id == want[r.doc_id] and r.kept == (want[r.doc_id] == r.doc_id) for r in got)
+
+
+def similar(k: int, core: int, own: int) -> str:
+    """Texts that share ``core`` shingles and have ``own`` shingles of their own."""
+    return " ".join([f"c{i}" for i in range(core + 4)] + [f"u{k}x{i}" for i in range(own)])
+
+
+def test_near_dedup_emits_nothing_below_the_threshold(spark, monkeypatch):
+    emitted = []
+    blocks = near_dedup._block_links
+
+    def counted(*args):
+        emitted.append(blocks(*args))
+        return emitted[-1]
+
+    monkeypatch.setattr(near_dedup, "_block_links", counted)
+    monkeypatch.setattr(near_dedup, "BLOCK", 100)
+    docs = [(k, similar(k, 75, 25)) for k in range(300)]  # each pair has similarity 75 / 125
+    got = near_dedup.group(frame(spark, docs)).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(emitted) == 1 and emitted[0].count() == 0
+    docs += [(1000 + k, similar(k, 75, 25) + " end") for k in range(0, 300, 3)]
+    got = near_dedup.group(frame(spark, docs).repartition(4)).collect()
+    assert all(r.component_id == r.doc_id % 1000 for r in got) and emitted[-1].count() <= len(docs)
+
+
+@pytest.mark.parametrize("size,shingles", [(4, 1 << 20), (1024, 400), (1024, 1 << 20)])
+def test_residual_buckets_are_compared_in_blocks(spark, monkeypatch, size, shingles):
+    monkeypatch.setattr(near_dedup, "BLOCK", size)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+    docs = [(k, prose(5, 80) + " " + prose(100 + k, k % 30)) for k in range(30)] + [(50 + k, prose(6, 80) + " " + prose(200 + k, 3 + k % 20)) for k in range(20)] + [(90, prose(9, 8))]
+    rows = spark.createDataFrame([(1, k, k) for k, _ in docs] + [(2, 7, 7)], "key bigint, doc_id bigint, root bigint")
+    sets = frame(spark, docs).select("doc_id", "text").mapInArrow(near_dedup._set_bytes, "doc_id bigint, elements binary")
+    links = [tuple(r) for r in near_dedup._block_links(rows, sets, 70).collect()]
+    want = components(docs)
+    nodes, roots = near_dedup.union_find(*np.array(links).T)
+    found = dict(zip(nodes.tolist(), roots.tolist()))
+    assert {k: found.get(k, k) for k, _ in docs} == {k: want[k][1] for k, _ in docs}
+    assert size == 4 or shingles == 400 or len(links) < len(docs)
+
+
+def test_overlaps_and_forest():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 90, n, dtype=np.uint64)) for n in rng.integers(0, 80, 120)]
+    got = near_dedup.overlaps(sets[:50], sets[50:])
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[50:]] for a in sets[:50]]
+    assert near_dedup.overlaps([], sets).shape == (0, 120) and not near_dedup.overlaps(sets[:0] or [sets[0][:0]], [sets[0][:0]]).any()
+    good = rng.random((40, 40)) < 0.03
+    good |= good.T
+    edges = near_dedup.forest(good)
+    a, b = np.nonzero(good)
+    if len(a):
+        assert {x: y for x, y in zip(*map(np.ndarray.tolist, near_dedup.union_find(a, b)))} == {x: y for x, y in zip(*map(np.ndarray.tolist, near_dedup.union_find(*np.array(edges).T)))}
+    assert len(edges) < 40 and all(good[x, y] for x, y in edges)
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAST_HOT", 3)
+    monkeypatch.setattr(near_dedup, "MOST_HOT", 40)
+    docs = [(k, prose(5, 80) + " " + prose(100 + k, k % 30)) for k in range(40)] + [(60 + k, prose(5, 80)) for k in range(20)] + [(90 + k, prose(9 + k, 30)) for k in range(6)]
+    got = near_dedup.group(frame(spark, docs)).collect()
+    want = components(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
 @pytest.mark.parametrize("local", [0, 10**6])
