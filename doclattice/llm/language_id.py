@@ -16,7 +16,8 @@ best path advances all documents of a batch together, one numpy step per word po
 Defined results: null text or text without a letter gives ``und`` with score 0 and no
 spans; words in a script that no label has are scored alike for all labels; ties go to
 the label that sorts first; an empty training set gives ``und`` for all; repeated rows are
-judged alike; extra columns are kept by ``keep_identified``.
+judged alike; extra columns are kept by ``keep_identified``. Any number of labels is learned; a
+label takes 1 MB of the model, so a worker holds some 300 MB for 300 of them.
 """
 
 from __future__ import annotations
@@ -107,15 +108,16 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     order = np.argsort(-counts, kind="stable")
     begin, counts = first[:-1][order], counts[order]
     n_words, n_labels = scores.shape
-    labels = np.zeros(n_words, np.uint8)
+    small = np.min_scalar_type(max(n_labels - 1, 0))  # the least type that holds every label
+    labels = np.zeros(n_words, small)
     if not n_words or n_labels == 1:
         return labels
     steps = int(counts[0])
     active = np.searchsorted(-counts, -np.arange(steps), "left")  # rows with more than t words
-    back = np.empty((n_words, n_labels), np.uint8)
+    back = np.empty((n_words, n_labels), small)
     final = np.zeros((len(counts), n_labels), np.float32)
     best = final
-    own = np.arange(n_labels, dtype=np.uint8)
+    own = np.arange(n_labels, dtype=small)
     for t in range(steps):
         n = active[t]
         at = begin[:n] + t
@@ -123,14 +125,14 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
             v = best[:n]
             top = v.argmax(1)
             reach = v[np.arange(n), top][:, None] - np.float32(penalty)
-            back[at] = np.where(v >= reach, own, top[:, None].astype(np.uint8))
+            back[at] = np.where(v >= reach, own, top[:, None].astype(small))
             v = np.maximum(v, reach)
             v -= reach
             best = v + scores[at]
         else:
             best = scores[at]
         final[:n] = best
-    state = final.argmax(1).astype(np.uint8)
+    state = final.argmax(1).astype(small)
     for t in range(steps - 1, -1, -1):
         n = active[t]
         at = begin[:n] + t
