@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common as c
+from .license_texts import TEXTS
 
 GRAM, WINDOW, BAND = 3, 4, 8
 #: Templates up to this many words keep all grams: one changed word may leave no run of GRAM + WINDOW - 1 others.
@@ -34,8 +35,8 @@ SHORT = 2 * (GRAM + WINDOW - 1)
 SCHEMA = "doc_id bigint, n_matches bigint, licenses array<string>, matches array<struct<license:string,coverage:double,start:bigint,end:bigint>>"
 _MATCH = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
-#: Notices by which texts name their terms.
-TEMPLATES = {
+#: Short licenses as a whole, and notices by which texts name their terms.
+TEMPLATES = TEXTS | {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "MIT notice": "Released under the MIT License.",
