@@ -11,8 +11,9 @@ equal digests are compared as full strings, so a collision never decides.
 The longest fitting rule decides, by the length of its string, then block before allow.
 A URL that no rule fits is blocked if it is listed whole (host and path), else allowed.
 
-The list is built without the driver holding it where it comes as a table: digests are
-sorted by Spark and appended to the files in order, row by row.
+The list is written by the executors: entries are partitioned by ranges of their digests and
+sorted, each task writes the arrays of its range, and the driver learns the ranges' bounds
+alone, one row for some ``PART_ROWS`` entries. A probe finds the range, then the digest.
 
 Defined results: null URLs and URLs without ``://`` have an empty host and path, fit no
 rule and are allowed; repeated rows are judged alike; extra columns are ignored; with an
@@ -27,6 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ from . import common as c
 
 SCHEMA = "page_id bigint, host string, path string, rule string, verdict string"
 ALLOW, BLOCK, LISTED = 0, 1, 2
+#: Entries of a range of digests, about.
+PART_ROWS = 2_000_000
 
 
 def digest(text: bytes) -> int:
@@ -51,58 +55,75 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def store(spark: SparkSession, rules: Iterable[tuple[str, str, bool]], listed: DataFrame | None = None) -> str:
+def store(spark: SparkSession, rules: Iterable[tuple[str, str, bool]], listed: DataFrame | None = None, part_rows: int = PART_ROWS) -> str:
     """Write the digest array of rules (host, path, block) and of the ``url`` column of ``listed``.
 
     A string that is both a rule's and listed, or listed twice, is kept once for each role.
     """
     rows = sorted({((host.lower() + path).encode(), BLOCK if block else ALLOW, len(path.encode())) for host, path, block in rules})
-    mine = spark.createDataFrame([(t.decode(), k, n) for t, k, n in rows], "entry string, role int, path int")
+    mine = spark.createDataFrame([(t.decode(), k) for t, k, _ in rows], "entry string, role int")
+    parts = 1
     if listed is not None:
         url = F.col("url")
-        own = listed.select(F.concat(host_of(url), path_of(url)).alias("entry"), F.lit(LISTED).alias("role"), F.octet_length(path_of(url)).cast("int").alias("path")).where("entry <> ''")
+        own = listed.select(F.concat(host_of(url), path_of(url)).alias("entry"), F.lit(LISTED).alias("role")).where("entry <> ''")
         mine = mine.unionByName(own)
-    # Spark's xxhash64 of a string is the xxhash64 of its bytes with seed 42
-    sorted_ = mine.distinct().select((F.xxhash64("entry")).alias("h"), "entry", "role", "path").orderBy((F.col("h") < 0).cast("int"), "h", "entry", "role", "path")
+        parts = -(-mine.count() // part_rows)
+    # Spark's xxhash64 of a string is the xxhash64 of its bytes with seed 42; the changed sign bit makes its order that of unsigned numbers
+    order = F.xxhash64("entry").bitwiseXOR(F.lit(-(2**63)))
+    ranges = mine.distinct().withColumn("h", order).repartitionByRange(max(1, parts), "h").sortWithinPartitions("h", "entry", "role")
     root = c.scratch(spark, "digests")
-    fs, path = c.open_fs(root)
-    fs.create_dir(path, recursive=True)
-    lengths, at = set(), 0
-    with fs.open_output_stream(f"{path}/digests") as d, fs.open_output_stream(f"{path}/offsets") as o, fs.open_output_stream(f"{path}/roles") as r, fs.open_output_stream(f"{path}/strings") as s:
-        o.write(np.uint64(0).tobytes())
-        for h, text, role, n in sorted_.toLocalIterator():
-            raw = text.encode()
-            at += len(raw)
-            d.write(np.int64(h).tobytes())
-            o.write(np.uint64(at).tobytes())
-            r.write(bytes([role]))
-            s.write(raw)
-            if role != LISTED:
-                lengths.add(n)
-    c.save_array(f"{root}/lengths", np.array(sorted(lengths), np.int64))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = [b for b in batches if b.num_rows]
+        if not table:
+            return
+        part = f"{root}/{TaskContext.get().partitionId():06d}"
+        whole = pa.Table.from_batches(table)
+        data, off = c.text_buffers(whole.column("entry"))
+        digests = whole.column("h").to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+        c.save_array(f"{part}/digests", digests)
+        c.save_array(f"{part}/offsets", off.astype("u8"))
+        c.save_array(f"{part}/roles", whole.column("role").to_numpy().astype("u1"))
+        c.save_array(f"{part}/strings", data)
+        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([whole.column("h")[0].as_py()])], names=["part", "least"])
+
+    found = sorted(ranges.select("h", "entry", "role").mapInArrow(write, "part string, least bigint").collect(), key=lambda r: r.least)
+    c.save_array(f"{root}/least", np.array([r.least for r in found], np.int64).view(np.uint64) ^ np.uint64(1 << 63))
+    c.save_array(f"{root}/parts", np.frombuffer("\n".join(r.part for r in found).encode(), np.uint8))
+    c.save_array(f"{root}/lengths", np.array(sorted({n for _, _, n in rows}), np.int64))
     return root
 
 
 class Table:
-    """A mapped digest array."""
+    """A mapped digest array, in ranges of digests that are opened as they are needed."""
 
     def __init__(self, root: str):
-        self.digests = c.load_array(f"{root}/digests", "u8")
-        self.offsets = c.load_array(f"{root}/offsets", "u8")
-        self.roles = c.load_array(f"{root}/roles", "u1")
-        self.strings = c.load_array(f"{root}/strings", "u1")
+        self.least = np.array(c.load_array(f"{root}/least", "u8"))
+        self.parts = c.load_array(f"{root}/parts", "u1").tobytes().decode().split("\n")
         self.lengths = c.load_array(f"{root}/lengths", "i8").tolist()
+        self.open: dict[int, tuple[np.ndarray, ...]] = {}
+
+    def part(self, k: int) -> tuple[np.ndarray, ...]:
+        if k not in self.open:
+            if len(self.open) > 64:
+                self.open.clear()
+            self.open[k] = tuple(c.load_array(f"{self.parts[k]}/{name}", dtype) for name, dtype in (("digests", "u8"), ("offsets", "u8"), ("roles", "u1"), ("strings", "u1")))
+        return self.open[k]
 
     def probe(self, texts: list[bytes], digests: np.ndarray | None = None) -> list[list[int]]:
         """Roles under which each text is listed."""
         if digests is None:
             digests = np.fromiter((digest(t) for t in texts), np.uint64, len(texts))
-        a, b = np.searchsorted(self.digests, digests, "left"), np.searchsorted(self.digests, digests, "right")
         out: list[list[int]] = [[] for _ in texts]
-        for k in np.flatnonzero(b > a).tolist():
-            for e in range(int(a[k]), int(b[k])):
-                if self.strings[int(self.offsets[e]) : int(self.offsets[e + 1])].tobytes() == texts[k]:
-                    out[k].append(int(self.roles[e]))
+        home = np.searchsorted(self.least, digests, "right") - 1
+        for p in np.unique(home[home >= 0]).tolist():
+            own = np.flatnonzero(home == p)
+            table, offsets, roles, strings = self.part(p)
+            a, b = np.searchsorted(table, digests[own], "left"), np.searchsorted(table, digests[own], "right")
+            for k in np.flatnonzero(b > a).tolist():
+                for e in range(int(a[k]), int(b[k])):
+                    if strings[int(offsets[e]) : int(offsets[e + 1])].tobytes() == texts[own[k]]:
+                        out[own[k]].append(int(roles[e]))
         return out
 
     def judge(self, hosts: list[str], paths: list[str]) -> tuple[list[str | None], list[str]]:
