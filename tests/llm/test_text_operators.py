@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from doclattice.llm import common, decontaminate, language_id, license_scan, queries, secret_scan, suffix_array, url_filter
 from hypothesis import given, settings
@@ -45,9 +46,26 @@ def test_listed_urls_and_collisions(spark):
     assert [g[3] for g in got] == ["block", "allow", "allow"]  # a rule comes before the list
     root = url_filter.store(spark, [("a", "/b", True), ("c", "/d", False)])
     table = url_filter.Table(root)
-    same = np.full(2, table.digests[0], np.uint64)  # digests that collide don't decide
-    names = [table.strings[int(a) : int(b)].tobytes() for a, b in zip(table.offsets[:-1], table.offsets[1:])]
-    assert table.probe([names[0], b"other"], same) == [[int(table.roles[0])], []]
+    digests, offsets, roles, strings = table.part(0)
+    same = np.full(2, digests[0], np.uint64)  # digests that collide don't decide
+    names = [strings[int(a) : int(b)].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+    assert table.probe([names[0], b"other"], same) == [[int(roles[0])], []]
+
+
+def test_long_lists_are_written_by_ranges(spark):
+    listed = spark.range(1_000_000).selectExpr("concat('http://h', id % 1000, '.org/p/', id) AS url")
+    root = url_filter.store(spark, queries.URL_RULES, listed, part_rows=120_000)
+    table = url_filter.Table(root)
+    digests = [table.part(k)[0] for k in range(len(table.parts))]
+    assert len(digests) > 4 and sum(map(len, digests)) == 1_000_005
+    whole = np.concatenate(digests)
+    assert (whole[1:] >= whole[:-1]).all() and table.least.tolist() == [int(d[0]) for d in digests]
+    texts = [f"h{k % 1000}.org/p/{k}".encode() for k in range(0, 1_000_000, 9973)]
+    assert table.probe(texts) == [[url_filter.LISTED]] * len(texts)
+    assert table.probe([t + b"x" for t in texts]) == [[]] * len(texts)
+    urls = [f"https://H{k % 7}.org/p/{k}" for k in range(40)]
+    got = judged(spark, urls, listed=listed)
+    assert [g[3] for g in got] == ["block" if k % 1000 == k % 7 else "allow" for k in range(40)]
 
 
 def test_url_empty_tables(spark):
@@ -117,6 +135,53 @@ def test_viterbi_matches_brute_force():
             assert value(got[a:b].tolist()) == pytest.approx(value(want), abs=1e-3)
 
 
+def brute_language(model, text, penalty=12.0):
+    """Language, score and spans of a text, word by word and slot by slot."""
+    raw = (text or "").encode().translate(bytes(common.LOWER))
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[a-z\x80-\xff]+", raw)]
+    if not words or not any(ch.isalpha() for ch in text):
+        return "und", 0.0, []
+    rows = []
+    for a, b in words:
+        row = np.zeros(len(model.labels))
+        for p in range(a, b):
+            gram = [raw[q] if 0 <= q < len(raw) and (97 <= raw[q] <= 122 or raw[q] >= 128) else 32 if 0 <= q < len(raw) else 0 for q in (p - 1, p, p + 1)]
+            row += model.trigrams[(((gram[0] << 16 | gram[1] << 8 | gram[2]) * 2654435761) % 2**32) >> (32 - language_id.BITS)]
+        word = np.frombuffer(raw[a:b], np.uint8)
+        row += model.words[int(common.span_hash(common.prefix_hash(word), np.array([0]), np.array([b - a]))[0]) >> (64 - language_id.BITS)]
+        point = ord(raw[a:b].decode()[0])
+        row += model.barred[language_id.SCRIPT_NAMES.index([s for first, s in language_id.SCRIPTS if first <= point][-1])]
+        rows.append(row)
+    path = brute_viterbi(np.array(rows), penalty)
+    size = {}
+    for (a, b), k in zip(words, path):
+        size[k] = size.get(k, 0) + b - a
+    best = min(size, key=lambda k: (-size[k], k))
+    spans = []
+    for (a, b), k in zip(words, path):
+        if spans and spans[-1][2] == model.labels[k]:
+            spans[-1] = (spans[-1][0], b, spans[-1][2])
+        else:
+            spans.append((a, b, model.labels[k]))
+    return model.labels[best], size[best] / sum(size.values()), spans
+
+
+@pytest.mark.parametrize("labels", [3, 300])
+def test_language_matches_brute_force(spark, labels):
+    vocabulary = [[f"{prose(1000 * k + w, 1)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for w in range(8)] for k in range(labels)]
+    say = lambda k, seed, n: " ".join(vocabulary[k][(seed * 5 + i * i) % 8] for i in range(n))
+    rows = [(k, say(k % labels, k // labels, 30), f"l{k % labels:03d}") for k in range(5 * labels)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.labels) == labels
+    some = range(0, labels, max(1, labels // 12))
+    texts = [say(k, 7, 40) for k in some] + [say(k, 3, 40) + ". " + say((k + 1) % labels, 4, 30) for k in some] + ["", None, "12 — !", "日本語 слово", say(labels - 1, 1, 1)]
+    got = {r.doc_id: r for r in language_id.detect(frame(spark, list(enumerate(texts))), model).collect()}
+    for k, t in enumerate(texts):
+        lang, score, spans = brute_language(model, t)
+        assert (got[k].lang_pred, [(s.start, s.end, s.lang) for s in got[k].spans]) == (lang, spans) and got[k].score == pytest.approx(score)
+    assert [got[i].lang_pred for i in range(len(some))] == [f"l{k:03d}" for k in some]
+
+
 def test_script_narrows(spark):
     rows = [(k, "слово другое" if k % 2 else "word other", "ru" if k % 2 else "en") for k in range(20)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
@@ -127,6 +192,49 @@ def test_script_narrows(spark):
 # -- licenses
 
 
+def brute_licenses(text, templates, coverage=0.8):
+    """Matches by alignment of every template with the whole text, without index, fingerprints or bands."""
+    raw = text.encode().translate(bytes(common.LOWER))
+    spans = [(m.start(), m.end()) for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", raw)]
+    words = license_scan._word_hashes([raw[a:b] for a, b in spans]) if spans else np.zeros(0, np.uint64)
+    found = []
+    for name, template in templates.items():
+        own = license_scan._word_hashes(license_scan._words(template))
+        todo = [(0, len(words))]
+        while todo:
+            a, b = todo.pop()
+            if b - a < coverage * len(own):
+                continue
+            matched, first, last = license_scan.align(own, words[a:b], 0, band=len(words) + len(own))
+            if matched and matched >= coverage * len(own):
+                found.append((-matched, -matched / len(own), name, a + first, a + last))
+                todo += [(a, a + first), (a + last + 1, b)]
+    kept = []
+    for x in sorted(found):
+        if all(x[4] < y[3] or y[4] < x[3] for y in kept):
+            kept.append(x)
+    return sorted((x[2], round(-x[1], 6), len(raw[: spans[x[3]][0]].decode()), len(raw[: spans[x[4]][1]].decode())) for x in kept)
+
+
+def test_licenses_match_brute_force(spark):
+    t = license_scan.TEMPLATES
+    mit = t["MIT"].split()
+    texts = [
+        "ÜÜ " + t["MIT"] + "\n\n" + prose(1, 20), " ".join(mit[:60] + ["inserted", "words"] + mit[60:120] + mit[123:]), t["ISC"].replace("software", "program") + " x " + t["BSD-2-Clause"], prose(2, 40) + " " + t["Zlib"].upper() + " " + t["MIT notice"],
+        " ".join(mit[: len(mit) // 2]), t["BSD-3-Clause"] + " " + t["BSD-3-Clause"], "", prose(3, 50), t["Apache-2.0 notice"] + " or " + t["CC-BY-NC-4.0 notice"], t["BSL-1.0"] + t["Unlicense"],
+    ]
+    got = {r.doc_id: r.matches for r in license_scan.scan(frame(spark, list(enumerate(texts)))).collect()}
+    for k, text in enumerate(texts):
+        assert sorted((m.license, round(m.coverage, 6), m.start, m.end) for m in got[k]) == brute_licenses(text, t), k
+    assert [m.license for m in got[0]] == ["MIT"] and [m.license for m in got[5]] == ["BSD-3-Clause"] * 2
+
+
+def test_license_ties(spark):
+    same = {"b": "one two three four five six", "a": "one two three four five six", "c": "one two three four five six seven"}
+    rows = [(1, "one two three four five six"), (2, "one two three four five six seven"), (2, "one two three four five six seven")]
+    got = sorted((r.doc_id, [m.license for m in r.matches]) for r in license_scan.scan(frame(spark, rows), same).collect())
+    assert got == [(1, ["a"]), (2, ["c"]), (2, ["c"])]  # most words, then coverage, then the first name; repeated rows alike
+
 def test_licenses(spark):
     long = license_scan.TEMPLATES["Apache-2.0 header"]
     rows = [(1, "Ünter text. " + license_scan.TEMPLATES["MIT notice"] + " more"), (2, long.replace("compliance", "accordance")), (3, "licensed under the moon"), (4, None), (5, ""), (6, "LICENSED under CC  BY-NC 4.0!\n" + prose(3, 5000) + " Licensed under CC BY-NC 4.0."), (7, prose(5, 30)), (1, "!!")]
@@ -274,13 +382,34 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontaminate.report(frame(spark, docs), benchmark.limit(0)).collect())
 
 
-def test_pattern_blocks(spark):
-    benchmark = spark.createDataFrame([(k, prose(k, 30)) for k in range(40)], "item_id bigint, text string")
-    places = decontaminate.store_patterns(benchmark, block_bytes=200)
-    assert len(places) > 1
-    text = np.frombuffer(("a " + prose(3, 30) + " b " + prose(39, 30)).encode(), np.uint8)
-    *_, items = decontaminate.search_texts(text, np.array([0, len(text)]), places)
-    assert items[0] >= {"3", "39"}
+def test_pattern_blocks(spark, monkeypatch):
+    items = [(k, prose(k, 30)) for k in range(40)] + [(50, prose(3, 30)), (51, "zebra")]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    places = {blocks: decontaminate.store_patterns(benchmark, block_bytes=-(-sum(len(t.encode()) for _, t in items) * 10 // blocks)) for blocks in (1, 10)}
+    assert [n for _, n in places[1]] == [1, 10] and len(places[10]) == 11
+    texts = ["a " + prose(3, 30) + " b " + prose(39, 30), "zebra " + prose(5, 9), None] + [prose(1000 + k, 60) for k in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    opened = []
+    load = decontaminate.Group.load.__func__
+    monkeypatch.setattr(decontaminate.Group, "load", classmethod(lambda cls, root, n: opened.append(root) or load(cls, root, n)))
+    monkeypatch.setattr(common, "CHUNK_BYTES", 4096)
+    for own in places.values():
+        opened.clear()
+        got = [s for i, j, _, found in decontaminate.search_batch(batch, 0, own) for s in found.items]
+        assert got[0] == {"3", "39", "50"} and got[1] == {"51"} and not any(got[2:])
+        assert len(opened) == len(own)  # each table once a batch, however many parts it has
+
+
+def test_patterns_that_share_their_ends():
+    middle = [prose(k, 6).encode() for k in range(400)]
+    patterns = sorted({b"what is " + m + b" of it" for m in middle if m.count(b" ") == 5})
+    group = decontaminate.Group.build(10, patterns, [[str(k)] for k in range(len(patterns))])
+    text = b" . ".join([patterns[7], b"what is the least of all that there is of it", patterns[-1]])
+    found = decontaminate.Found(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    at, pattern = group.candidates(found.words, found.first)
+    assert sorted(pattern.tolist()) == [7, len(patterns) - 1]  # one test string a place, not all of the suffix
+    found.search(group)
+    assert found.items == [{"7", str(len(patterns) - 1)}]
 
 
 # -- parts
