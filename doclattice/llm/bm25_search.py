@@ -1,27 +1,33 @@
-"""Exact BM25 top-k search by block-max pruning, shard by shard, with global statistics.
+"""Exact BM25 top-k search by block-max WAND, shard by shard, with global statistics.
 
 A query is the set of terms (lower-cased words of letters and digits) of a document; a
 document's score is the sum over the query's terms of
 ``ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length))``,
-with N, df and the mean length over all documents. A shard is one task's documents with an
-inverted index; postings are sorted by document, and long lists have the greatest contribution
-of each block of ``BLOCK`` documents.
-
-1. Document frequencies are counted in the tasks, shuffled as packed arrays by term, and go with
-   the queries' terms to one file per block of queries.
-2. Each shard scores its own queries in full; the k-th score is a threshold that the final
-   k-th score can't fall below.
-3. Every shard runs every block of queries (a stated query set, in blocks that bound the
-   memory). A query whose terms' greatest contributions don't reach the threshold together skips the shard. As in
-   block-max WAND, the long lists of common terms propose no documents: the short lists are
-   added up, and a document goes on only if that sum and the long lists' maxima in its block could
-   reach the threshold; so blocks are skipped without reading their postings. Those that go on and whose
-   long lists' contributions keep them there are scored exactly, in the order of terms that all shards share.
+with N, df and the mean length over all documents.
+
+1. *Index.* Each task cuts its documents into shards of bounded size and writes the inverted
+   index of each to the shared folder: postings by term, documents of like vocabulary and
+   length next to each other. Document frequencies are counted with it, shuffled as packed
+   arrays by term, and go with the queries' terms to one file per block of queries.
+2. *Thresholds.* Each shard scores its own queries; the k-th score is a threshold that the
+   final k-th score can't fall below.
+3. *Block-max WAND.* Every shard meets every block of queries (a stated query set, in blocks
+   that bound the memory). All lists are cut at the same documents, ``BLOCK`` to a block, and
+   have their greatest contribution in each. The sum of a query's maxima bounds every score
+   in a block; where it reaches the threshold the block is a pivot, and all others are passed
+   over without a look at their postings. In pivot blocks alone contributions are added up,
+   and what reaches the threshold is scored exactly, in the order of terms that all shards
+   share. The k-th score so far is the threshold of a task's next shard. All
+   queries of a block take these steps together: lists in many documents are rows of a
+   matrix, so bounds and scores of those are matrix products over the pivots.
 4. What reaches the threshold is merged: the k best by score, then id.
 
 The number of queries grows with the table, and each must be held against every shard; the
 pruning makes the step cheap, but its cost is proportional to queries times shards.
 
+Terms are told apart by 64-bit hashes: among 10^8 different terms two share one with a
+probability of 3e-4.
+
 Defined results: null and empty texts have no terms, are no results and as queries have no rows; documents
 with score 0 (no shared term) are no results, so a query may have fewer than k; ties go to
 the smaller id (null first); repeated rows are results of their own; extra columns are ignored; an
@@ -34,15 +40,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
 
 K1, B = 1.2, 0.75
-BLOCK = 16
-#: Terms in more than one of so many documents of a shard have long lists.
+#: Documents of a block: all lists have their greatest contribution in each.
+BLOCK = 64
+#: Terms in more than one of so many documents of a shard are rows of a matrix.
 LONG = 16
+#: A shard has at most so many documents and about so many bytes of text.
+SHARD_DOCS, SHARD_BYTES = 8192, 24 << 20
+#: Queries that take a step together.
+TOGETHER = 256
+#: Shards of a task, where there are more of them than partitions.
+SHARDS_PER_TASK = 4
 QUERIES_PER_BLOCK = 8192
 NO_ID = np.iinfo(np.int64).min
 SCHEMA = "query_id bigint, rank int, doc_id bigint, score double"
@@ -53,17 +67,22 @@ LEVEL = np.dtype([("row", "<u8"), ("level", "<f8")])
 # -- a shard
 
 
-class Shard:
-    """Postings of some documents: (document, term, frequency), sorted by term, then document."""
+def _spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges a..b, one after the other."""
+    n = b - a
+    return np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+class Builder:
+    """Postings of some documents: (document, term, frequency), by document, then term."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.ids: list[np.ndarray] = []
-        self.rows: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        self.n = 0
+        self.columns: list[tuple[np.ndarray, ...]] = []
+        self.n = self.bytes = 0
 
-    def add(self, ids: np.ndarray, rows: np.ndarray, data: np.ndarray, off: np.ndarray) -> None:
+    def add(self, data: np.ndarray, off: np.ndarray, *columns: np.ndarray) -> None:
+        """Texts and, for each, id, row, query flag, home and result flag."""
         data = np.frombuffer(data.tobytes().translate(c.LOWER.tobytes()), np.uint8)
         starts, ends, first = c.word_spans(data, off, c.NOT_ALNUM)
         words = c.span_hash(c.prefix_hash(data), starts, ends)
@@ -75,113 +94,167 @@ class Shard:
         new[1:] = (doc[1:] != doc[:-1]) | (words[1:] != words[:-1])
         at = np.flatnonzero(new)
         self.parts.append(((doc[at] + self.n).astype(np.int32), words[at], np.diff(np.append(at, len(doc))).astype(np.int32)))
-        self.ids.append(ids), self.rows.append(rows), self.sizes.append(size)
+        self.columns.append((*columns, size))
         self.n += len(size)
+        self.bytes += len(data)
 
-    def close(self) -> "Shard":
-        z = np.zeros(0, np.int64)
-        self.doc, self.word, self.tf = (np.concatenate([p[k] for p in self.parts]) if self.parts else z for k in range(3))
-        self.id, self.row, self.size = (np.concatenate(x) if x else z for x in (self.ids, self.rows, self.sizes))
-        del self.parts, self.ids, self.rows, self.sizes
-        return self
+    def close(self) -> None:
+        self.doc, self.word, self.tf = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
+        self.id, self.row, self.asked, self.home, self.result, self.size = (np.concatenate([x[k] for x in self.columns]) for k in range(6))
+        self.begin = np.searchsorted(self.doc, np.arange(self.n + 1))
 
-    def frequencies(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(self.word, return_counts=True)
+
+class Shard:
+    """The inverted index of some documents, in one file: what belongs to documents, then terms and their postings."""
+
+    ARRAYS = (("id", "<i8"), ("row", "<u8"), ("home", "<i4"), ("asked", "u1"), ("size", "<i8"), ("terms", "<u8"), ("begin", "<i8"), ("doc", "<u2"), ("tf", "<i4"))
+
+    @classmethod
+    def build(cls, b: Builder) -> "Shard":
+        own = cls()
+        docs = np.flatnonzero(b.result)
+        # like by like: by the most frequent term, then by length, which makes the maxima of blocks tight
+        count = np.diff(b.begin)
+        some = docs[count[docs] > 0]
+        top = np.zeros(b.n, np.uint64)
+        if len(some):
+            full = np.flatnonzero(count > 0)
+            most = np.zeros(b.n, np.int64)
+            most[full] = np.maximum.reduceat(b.tf, b.begin[full])
+            at = np.flatnonzero(b.tf == most[b.doc])
+            doc, first = np.unique(b.doc[at], return_index=True)
+            top[doc] = b.word[at[first]]
+        docs = docs[np.lexsort((b.size[docs], top[docs]))]
+        at = _spread(b.begin[docs], b.begin[docs + 1])
+        doc = np.repeat(np.arange(len(docs), dtype=np.uint16), count[docs])
+        order = np.argsort(b.word[at], kind="stable")
+        word = b.word[at][order]
+        cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+        own.id, own.row, own.home, own.asked, own.size = b.id[docs], b.row[docs], b.home[docs], b.asked[docs], b.size[docs]
+        own.terms, own.begin, own.doc, own.tf = word[cut], np.append(cut, len(word)), doc[order], b.tf[at][order]
+        own.n = len(docs)
+        return own
+
+    def save(self, uri: str) -> None:
+        arrays = [np.ascontiguousarray(getattr(self, name), dtype) for name, dtype in self.ARRAYS]
+        head = np.array([len(x) for x in arrays], np.int64)
+        c.save_array(uri, np.concatenate([x.view(np.uint8) for x in (head, *arrays)]))
+
+    @classmethod
+    def load(cls, uri: str) -> "Shard":
+        own, raw = cls(), c.load_array(uri, "u1")
+        at = 8 * len(cls.ARRAYS)
+        for (name, dtype), n in zip(cls.ARRAYS, np.frombuffer(raw[:at].tobytes(), np.int64).tolist()):
+            width = np.dtype(dtype).itemsize * n
+            setattr(own, name, np.frombuffer(raw, dtype, n, at))
+            at += width
+        own.n = len(own.id)
+        return own
 
 
 class Index:
     """The postings of a shard that some queries need, with contributions and block maxima."""
 
     def __init__(self, shard: Shard, terms: np.ndarray, df: np.ndarray, n_docs: int, mean: float):
-        at = np.minimum(np.searchsorted(terms, shard.word), len(terms) - 1)
-        keep = np.flatnonzero(terms[at] == shard.word)
-        term, doc, tf = at[keep], shard.doc[keep].astype(np.int64), shard.tf[keep].astype(float)
-        idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-        # documents of one length lie together, which makes the maxima of blocks tight
-        self.order = np.argsort(shard.size, kind="stable")
-        begin = np.searchsorted(doc, np.arange(shard.n + 1))
-        at = self._spread(begin[self.order], begin[self.order + 1])
-        rank = np.empty(shard.n, np.int64)
-        rank[self.order] = np.arange(shard.n)
-        term, doc, tf = term[at], rank[doc[at]], tf[at]
-        norm = K1 * (1 - B + B * shard.size[self.order] / max(mean, 1e-9))
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        # by document, then term: what exact scoring reads
-        self.d_term, self.d_weight = term, weight
-        self.d_begin = np.searchsorted(doc, np.arange(shard.n + 1))
-        # by term, then document
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        term = term[order]
-        self.n, self.n_terms = shard.n, len(terms)
-        self.begin = np.searchsorted(term, np.arange(len(terms) + 1))
-        self.bounds = self.begin.tolist()
-        self.t_max = np.zeros(len(terms))
-        count = np.diff(self.begin)
-        some = np.flatnonzero(count)
-        if len(some):
-            self.t_max[some] = np.maximum.reduceat(self.weight, self.begin[some])
-        # long lists are rows of a matrix, with the greatest contribution in each block of documents
+        at = np.minimum(np.searchsorted(terms, shard.terms), len(terms) - 1)
+        mine = np.flatnonzero(terms[at] == shard.terms)
+        self.slot = np.full(len(terms), -1)
+        self.slot[at[mine]] = np.arange(len(mine))
+        a, b = np.asarray(shard.begin)[mine], np.asarray(shard.begin)[mine + 1]
+        posting = _spread(a, b)
+        count = b - a
+        term = np.repeat(np.arange(len(mine)), count)
+        doc, tf = np.asarray(shard.doc)[posting].astype(np.int64), np.asarray(shard.tf)[posting].astype(float)
+        idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))[at[mine]]
+        norm = K1 * (1 - B + B * np.asarray(shard.size) / max(mean, 1e-9))
+        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        self.doc, self.n = doc, max(shard.n, 1)
+        self.key = term * self.n + doc  # ascending
+        # block maxima of all lists
         self.n_blocks = -(-self.n // BLOCK)
-        self.block = np.arange(self.n) // BLOCK
+        key = term * self.n_blocks + doc // BLOCK
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.e_begin = np.append(cut, len(key))
+        self.e_max = np.maximum.reduceat(self.weight, cut) if len(cut) else np.zeros(0)
+        self.e_block = key[cut] % self.n_blocks
+        self.t_entry = np.searchsorted(key[cut] // self.n_blocks, np.arange(len(mine) + 1))
+        # lists in many documents, as matrices by block: contributions, maxima
+        self.common = np.full(len(mine), -1)
         long = np.flatnonzero(count * LONG > self.n)
-        self.long = np.full(len(terms), -1)
-        self.long[long] = np.arange(len(long))
-        self.dense = np.zeros((len(long), self.n_blocks * BLOCK), np.float32)
-        for k, t in enumerate(long.tolist()):
-            own = slice(self.bounds[t], self.bounds[t + 1])
-            self.dense[k, self.doc[own]] = self.weight[own]
-        self.b_max = self.dense.reshape(len(long), self.n_blocks, BLOCK).max(2)
-        self.asked = np.zeros(len(terms), bool)
-
-    @staticmethod
-    def _spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The numbers of all ranges a..b, one after the other."""
-        n = b - a
-        return np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-
-    def exact(self, query: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Scores of the documents; contributions are added in the order of terms."""
-        a, b = self.d_begin[docs], self.d_begin[docs + 1]
-        at = self._spread(a, b)
+        self.common[long] = np.arange(len(long))
+        self.dense = np.zeros((self.n_blocks, len(long), BLOCK), np.float32)
+        self.b_max = np.zeros((len(long), self.n_blocks), np.float32)
+        own = np.flatnonzero(self.common[term] >= 0)
+        self.dense[doc[own] // BLOCK, self.common[term[own]], doc[own] % BLOCK] = self.weight[own]
+        own = _spread(self.t_entry[long], self.t_entry[long + 1])
+        self.b_max[np.repeat(np.arange(len(long)), self.t_entry[long + 1] - self.t_entry[long]), self.e_block[own]] = self.e_max[own]
+        self.pivots = self.blocks = 0
+
+    def exact(self, query: np.ndarray, docs: np.ndarray, terms: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Scores of pairs (query, document); contributions are added in the order of terms."""
+        a, b = begin[query], begin[query + 1]
         owner = np.repeat(np.arange(len(docs)), b - a)
-        self.asked[query] = True
-        on = self.asked[self.d_term[at]]
-        self.asked[query] = False
-        return np.bincount(owner[on], self.d_weight[at[on]], minlength=len(docs))
-
-    def _sums(self, terms: np.ndarray) -> np.ndarray:
-        """The terms' contributions to every document."""
-        spans = [(self.bounds[t], self.bounds[t + 1]) for t in terms.tolist()]
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), np.concatenate([self.weight[a:b] for a, b in spans]), minlength=self.n)
-
-    def reaching(self, query: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents with a score of at least ``level`` > 0, and the scores."""
-        none = np.zeros(0, np.int64), np.zeros(0)
-        query = query[self.t_max[query] > 0]
-        slack = level * (1 - 1e-5)  # bounds are added in another order and in single precision
-        if self.t_max[query].sum() < slack:
-            return none
-        long = self.long[query]
-        rows = long[long >= 0]
-        bound = self.b_max[rows].sum(0)
-        partial = self._sums(query[long < 0])
-        docs = np.flatnonzero((partial + bound[self.block] >= slack) & (partial + bound[self.block] > 0))
-        if not len(docs):
-            return none
-        full = self.dense[rows].sum(0)[docs] if 4 * len(docs) > self.n else self.dense[np.ix_(rows, docs)].sum(0)
-        docs = docs[partial[docs] + full >= slack]
-        scores = self.exact(query, docs)
-        good = scores >= level
-        return self.order[docs[good]], scores[good]
-
-    def best(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of the k best documents, the least of which is a threshold."""
-        scores = self._sums(query)
-        top = np.argpartition(-scores, min(k, len(scores)) - 1)[: min(k, len(scores))]
-        return self.order[top], self.exact(query, top)
+        slot = terms[_spread(a, b)]
+        want = slot * self.n + docs[owner]
+        at = np.minimum(np.searchsorted(self.key, want), max(len(self.key) - 1, 0))
+        on = np.flatnonzero((slot >= 0) & (self.key[at] == want))
+        return np.bincount(owner[on], self.weight[at[on]], minlength=len(docs)).astype(float, copy=False)
+
+    def reaching(self, begin: np.ndarray, terms: np.ndarray, levels: np.ndarray, k: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(queries, documents, scores) with a score of at least the query's level > 0, some queries at a time.
+
+        ``terms`` has positions of the queries' terms, by ``begin``. With ``k`` the levels are
+        first raised to the k-th best score of the most promising blocks.
+        """
+        if not len(self.key):
+            return
+        slots = self.slot[terms]
+        for i in range(0, len(begin) - 1, TOGETHER):
+            j = min(i + TOGETHER, len(begin) - 1)
+            m = j - i
+            slot = slots[begin[i] : begin[j]]
+            query = np.repeat(np.arange(m), np.diff(begin[i : j + 1]))
+            query, slot = query[slot >= 0], slot[slot >= 0]
+            row = self.common[slot]
+            asked = np.zeros((m, self.dense.shape[1]), np.float32)
+            asked[query[row >= 0], row[row >= 0]] = 1
+            query, slot = query[row < 0], slot[row < 0]
+            n = self.t_entry[slot + 1] - self.t_entry[slot]
+            entry, owner = _spread(self.t_entry[slot], self.t_entry[slot + 1]), np.repeat(query, n)
+            cell = owner * self.n_blocks + self.e_block[entry]
+            bound = asked @ self.b_max + np.bincount(cell, self.e_max[entry], minlength=m * self.n_blocks).reshape(m, -1)
+            level = levels[i:j].copy()
+            if k is not None:
+                best = np.zeros_like(bound, dtype=bool)
+                most = min(self.n_blocks, -(-k // BLOCK) + 1)
+                np.put_along_axis(best, np.argpartition(-bound, most - 1, 1)[:, :most], True, 1)
+                scores = self._scores(best, asked, owner, entry, cell)
+                if k <= scores.shape[1]:
+                    level = np.maximum(level, np.partition(scores, scores.shape[1] - k, 1)[:, -k] * (1 - 1e-5))
+            # sums of bounds are in another order and in single precision
+            pivot = (bound >= (level * (1 - 1e-5))[:, None]) & (bound > 0)
+            self.pivots += int(pivot.sum())
+            self.blocks += pivot.size
+            scores = self._scores(pivot, asked, owner, entry, cell)
+            q, d = np.nonzero((scores >= (level * (1 - 1e-5))[:, None]) & (scores > 0))
+            if not len(q):
+                continue
+            x = self.exact(q + i, d, slots, begin)
+            good = x >= levels[i:j][q]
+            yield q[good] + i, d[good], x[good]
+
+    def _scores(self, pivot: np.ndarray, asked: np.ndarray, owner: np.ndarray, entry: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Scores, in single precision, of the documents in each query's pivot blocks; 0 elsewhere."""
+        m, width = len(pivot), self.n_blocks * BLOCK
+        own = np.flatnonzero(pivot.ravel()[cell])
+        a, b = self.e_begin[entry[own]], self.e_begin[entry[own] + 1]
+        at = _spread(a, b)
+        scores = np.bincount(np.repeat(owner[own], b - a) * width + self.doc[at], self.weight[at], minlength=m * width).astype(float, copy=False).reshape(m, width)  # counts if empty
+        if asked.shape[1]:
+            for block in np.flatnonzero(pivot.any(0)).tolist():
+                rows = np.flatnonzero(pivot[:, block])
+                scores[rows, block * BLOCK : (block + 1) * BLOCK] += asked[rows] @ self.dense[block]
+        return scores
 
 
 # -- over a corpus
@@ -197,17 +270,24 @@ def _unzip(blob: bytes, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), dtype)
 
 
-def _shard(batches: Iterator[pa.RecordBatch]) -> tuple[Shard, np.ndarray, np.ndarray]:
-    """The shard of a task, with the query flag and home of its rows."""
-    shard, asked, home = Shard(), [np.zeros(0, bool)], [np.zeros(0, np.int32)]
+def _builders(batches: Iterator[pa.RecordBatch]) -> Iterator[Builder]:
+    """The documents of a task, cut into shards of bounded size."""
+    held = Builder()
     for batch in batches:
         ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-        row = batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        asked.append(batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
-        home.append(batch.column(3).to_numpy(zero_copy_only=False).astype(np.int32))
+        asked, home, row, result = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4, 5))
+        columns = ids, row.astype(np.int64).view(np.uint64), asked.astype(bool), home.astype(np.int32), result.astype(bool)
         for i, j, data, off in c.text_chunks(batch, 1):
-            shard.add(ids[i:j], row[i:j], data, off)
-    return shard.close(), np.concatenate(asked), np.concatenate(home)
+            for x in range(i, j, SHARD_DOCS):
+                y = min(j, x + SHARD_DOCS)
+                if held.n and (held.n + y - x > SHARD_DOCS or held.bytes > SHARD_BYTES):
+                    held.close()
+                    yield held
+                    held = Builder()
+                held.add(data[off[x - i] : off[y - i]], off[x - i : y - i + 1] - off[x - i], *(col[x:y] for col in columns))
+    if held.n:
+        held.close()
+        yield held
 
 
 def _query_terms(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -219,6 +299,31 @@ def _query_terms(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return terms, table["df"][first], table[["row", "query"]][cut], np.append(cut, len(table)), inverse
 
 
+class Best:
+    """The k best scores of each query so far."""
+
+    def __init__(self, n: int, k: int):
+        self.scores = np.zeros((n, k))
+
+    def add(self, query: np.ndarray, scores: np.ndarray) -> None:
+        k = self.scores.shape[1]
+        order = np.lexsort((-scores, query))
+        query, scores = query[order], scores[order]
+        new = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
+        place = np.arange(len(query)) - np.repeat(new, np.diff(np.append(new, len(query))))
+        some = query[new]
+        more = np.zeros((len(some), k))
+        top = place < k
+        more[np.repeat(np.arange(len(some)), np.diff(np.append(new, len(query))))[top], place[top]] = scores[top]
+        both = np.concatenate([self.scores[some], more], 1)
+        both.sort(1)
+        self.scores[some] = both[:, k:]
+
+    def level(self) -> np.ndarray:
+        """The k-th best score, 0 where there are fewer."""
+        return self.scores.min(1) if self.scores.size else np.zeros(len(self.scores))
+
+
 def search(docs: DataFrame, queries: DataFrame | None = None, k: int = 10, every: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The k best documents of every query; the queries are the documents whose id is divisible by ``every``.
 
@@ -244,41 +349,38 @@ def search(docs: DataFrame, queries: DataFrame | None = None, k: int = 10, every
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     root = c.scratch(spark, "bm25")
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags: list[np.ndarray] = []
-
-        def noted():
-            for batch in batches:
-                flags.append(batch.column(5).to_numpy(zero_copy_only=False).astype(bool))
-                yield batch
-
-        shard, asked, home = _shard(noted())
-        if not shard.n:
-            return
-        counted = np.concatenate(flags)
-        out: list[tuple[int, int, int, bytes]] = []
-        terms, df = np.unique(shard.word[counted[shard.doc]], return_counts=True)
-        for b in range(buckets):
-            own = np.flatnonzero(terms % np.uint64(buckets) == b)
-            if len(own):
-                out.append((b, 0, 0, _zip(np.concatenate([terms[own], df[own].astype(np.uint64)]))))
-        pick = np.flatnonzero(asked[shard.doc])
-        table = np.zeros(len(pick), QUERY_TERM)
-        table["row"], table["query"], table["term"] = shard.row[shard.doc[pick]], shard.id[shard.doc[pick]], shard.word[pick]
-        for h in np.unique(home[shard.doc[pick]]).tolist():
-            mine = table[home[shard.doc[pick]] == h]
-            for b in range(buckets):
-                own = mine[mine["term"] % np.uint64(buckets) == b]
-                if len(own):
-                    out.append((b, 1, h, _zip(own)))
-        out.append((0, 2, -1, np.array([counted.sum(), shard.size[counted].sum()], np.int64).tobytes()))
-        for i in range(0, len(out), 64):
-            part = out[i : i + 64]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "home", "blob"])
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(out: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(out), 64):
+                part = out[i : i + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "home", "blob"])
+
+        for number, b in enumerate(_builders(batches)):
+            out: list[tuple[int, int, int, bytes]] = []
+            if b.result.any():
+                shard, place = Shard.build(b), f"{root}/shard-{TaskContext.get().partitionId():06d}-{number:05d}"
+                shard.save(place)
+                out.append((number % buckets, 3, 0, place.encode()))
+                terms, df = shard.terms, np.diff(shard.begin)
+                for h in range(buckets):
+                    own = np.flatnonzero(terms % np.uint64(buckets) == h)
+                    if len(own):
+                        out.append((h, 0, 0, _zip(np.concatenate([terms[own], df[own].astype(np.uint64)]))))
+                out.append((0, 2, 0, np.array([shard.n, shard.size.sum()], np.int64).tobytes()))
+            pick = np.flatnonzero(b.asked[b.doc])
+            table = np.zeros(len(pick), QUERY_TERM)
+            table["row"], table["query"], table["term"] = b.row[b.doc[pick]], b.id[b.doc[pick]], b.word[pick]
+            for h in np.unique(b.home[b.doc[pick]]).tolist():
+                mine = table[b.home[b.doc[pick]] == h]
+                for k in range(buckets):
+                    own = mine[mine["term"] % np.uint64(buckets) == k]
+                    if len(own):
+                        out.append((k, 1, h, _zip(own)))
+            yield from send(out)
 
     def with_df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, counts, asked = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-        out: list[tuple[int, bytes]] = []
+        out: list[tuple[int, int, bytes]] = []
         for batch in batches:
             for kind, h, blob in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
                 if kind == 0:
@@ -287,59 +389,63 @@ def search(docs: DataFrame, queries: DataFrame | None = None, k: int = 10, every
                 elif kind == 1:
                     asked.append((h, _unzip(blob, QUERY_TERM)))
                 else:
-                    out.append((-1, blob))
+                    out.append((kind, 0, blob))
         names, inverse = np.unique(np.concatenate(terms), return_inverse=True)
         df = np.bincount(inverse, np.concatenate(counts), minlength=len(names)).astype(np.int64)
         for h, table in asked:
             table = table.copy()
             at = np.minimum(np.searchsorted(names, table["term"]), max(len(names) - 1, 0))
             table["df"] = np.where(names[at] == table["term"], df[at], 0) if len(names) else 0
-            out.append((h, _zip(table)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["home", "blob"])
+            out.append((1, h, _zip(table)))
+        for i in range(0, len(out), 64):
+            part = out[i : i + 64]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["kind", "home", "blob"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, n, words = [], 0, 0
-        home = -1
+        tables, home = [], -1
         for batch in batches:
-            for h, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if h < 0:
-                    more = np.frombuffer(blob, np.int64)
-                    n, words = n + int(more[0]), words + int(more[1])
-                else:
+            for kind, h, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if kind == 1:
                     home = h
                     tables.append(_unzip(blob, QUERY_TERM))
+                else:
+                    n, words = np.frombuffer(blob, np.int64).tolist() if kind == 2 else (0, 0)
+                    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([words]), pa.array([blob.decode() if kind == 3 else None], pa.string())], names=["n", "words", "shard"])
         if tables:
             table = np.concatenate(tables)
             c.save_array(f"{root}/queries-{home:06d}", table[np.lexsort((table["term"], table["row"]))])
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([words])], names=["n", "words"])
 
-    packed = rows.mapInArrow(frequencies, "bucket int, kind int, home int, blob binary").repartitionById(buckets, "bucket").mapInArrow(with_df, "home int, blob binary")
-    totals = packed.repartitionById(blocks + 1, F.col("home") + 1).mapInArrow(store, "n bigint, words bigint").agg(F.sum("n"), F.sum("words")).first()
+    packed = rows.mapInArrow(build, "bucket int, kind int, home int, blob binary").repartitionById(buckets, "bucket").mapInArrow(with_df, "kind int, home int, blob binary")
+    stored = c.materialize(packed.repartitionById(blocks, F.when(F.col("kind") == 1, F.col("home")).otherwise(F.pmod(F.xxhash64("blob"), F.lit(blocks)).cast("int"))).mapInArrow(store, "n bigint, words bigint, shard string"), "shards")
+    totals = stored.agg(F.sum("n"), F.sum("words"), F.count("shard")).first()
     n_docs, mean = int(totals[0] or 0), float(totals[1] or 0) / max(1, int(totals[0] or 0))
+    tasks = max(1, min(totals[2], max(buckets, totals[2] // SHARDS_PER_TASK)))
+    shards = stored.where("shard IS NOT NULL").select("shard").repartition(tasks)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> list[Shard]:
+        c.release()
+        return [Shard.load(place) for batch in batches for place in batch.column(0).to_pylist()]
 
     def load(kind: str, h: int, dtype: np.dtype) -> np.ndarray:
         fs, path = c.open_fs(f"{root}/{kind}-{h:06d}")
         return c.load_array(f"{root}/{kind}-{h:06d}", dtype) if fs.get_file_info(path).type.name == "File" else np.zeros(0, dtype)
 
-    def results_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(batch.column(5))
-
     def own_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, asked, home = _shard(results_only(batches))
-        for h in np.unique(home[asked]).tolist():
-            table = np.array(load("queries", h, QUERY_TERM))
-            table = table[np.isin(table["row"], shard.row[asked & (home == h)])]
-            if not len(table):
-                continue
-            terms, df, names, begin, at = _query_terms(table)
-            index = Index(shard, terms, df, n_docs, mean)
-            out = np.zeros(len(names), LEVEL)
-            out["row"] = names["row"]
-            for q in range(len(names)):
-                _, scores = index.best(at[begin[q] : begin[q + 1]], k)
-                out["level"][q] = scores.min() if len(scores) == k else 0.0
-            yield pa.RecordBatch.from_arrays([pa.array([h], pa.int32()), pa.array([_zip(out)], pa.binary())], names=["home", "blob"])
+        for shard in opened(batches):
+            asked = np.asarray(shard.asked) > 0
+            for h in np.unique(shard.home[asked]).tolist():
+                table = np.array(load("queries", h, QUERY_TERM))
+                table = table[np.isin(table["row"], shard.row[asked & (shard.home == h)])]
+                if not len(table):
+                    continue
+                terms, df, names, begin, at = _query_terms(table)
+                index = Index(shard, terms, df, n_docs, mean)
+                best = Best(len(names), k)
+                for query, _, scores in index.reaching(begin, at, np.full(len(names), 1e-12), k):
+                    best.add(query, scores)
+                out = np.zeros(len(names), LEVEL)
+                out["row"], out["level"] = names["row"], best.level()
+                yield pa.RecordBatch.from_arrays([pa.array([h], pa.int32()), pa.array([_zip(out)], pa.binary())], names=["home", "blob"])
 
     def store_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, home = [], -1
@@ -352,35 +458,33 @@ def search(docs: DataFrame, queries: DataFrame | None = None, k: int = 10, every
             c.save_array(f"{root}/levels-{home:06d}", table[np.argsort(table["row"], kind="stable")])
             yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32())], names=["home"])
 
-    rows.mapInArrow(own_levels, "home int, blob binary").repartitionById(blocks, "home").mapInArrow(store_levels, "home int").count()
+    shards.mapInArrow(own_levels, "home int, blob binary").repartitionById(blocks, "home").mapInArrow(store_levels, "home int").count()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, _, _ = _shard(results_only(batches))
-        if not shard.n:
-            return
-        order = np.lexsort((shard.id,))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        for h in range(blocks):
+        own = opened(batches)
+        for h in range(blocks if own else 0):
             table = load("queries", h, QUERY_TERM)
             if not len(table):
                 continue
             terms, df, names, begin, at = _query_terms(np.array(table))
-            levels = load("levels", h, LEVEL)
-            index = Index(shard, terms, df, n_docs, mean)
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for q in range(len(names)):
-                i = int(np.searchsorted(levels["row"], names["row"][q]))
-                level = float(levels["level"][i]) if i < len(levels) and levels["row"][i] == names["row"][q] else 0.0
-                docs, scores = index.reaching(at[begin[q] : begin[q + 1]], max(level, 1e-12))
-                if len(docs) > k:
-                    top = np.lexsort((place[docs], -scores))[:k]
-                    docs, scores = docs[top], scores[top]
-                for column, x in zip(out, (np.full(len(docs), names["row"][q]).view(np.int64), np.full(len(docs), names["query"][q]), shard.id[docs], scores)):
-                    column.append(x)
-            arrays = [np.concatenate(x) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(arrays[0]), pa.array(arrays[1]), pa.array(arrays[2], mask=arrays[2] == NO_ID), pa.array(arrays[3])], names=["row", "query_id", "doc_id", "score"])
-
-    found = rows.mapInArrow(find, "row bigint, query_id bigint, doc_id bigint, score double")
+            levels, start = load("levels", h, LEVEL), np.zeros(len(names))
+            if len(levels):
+                i = np.minimum(np.searchsorted(levels["row"], names["row"]), len(levels) - 1)
+                start = np.where(levels["row"][i] == names["row"], levels["level"][i], 0.0)
+            best = Best(len(names), k)
+            for shard in own:
+                index = Index(shard, terms, df, n_docs, mean)
+                level = np.maximum(np.maximum(start, best.level()), 1e-12)
+                for query, docs, scores in index.reaching(begin, at, level):
+                    ids = np.asarray(shard.id)[docs]
+                    order = np.lexsort((ids, -scores, query))  # the k best of each query
+                    query, ids, scores = query[order], ids[order], scores[order]
+                    new = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+                    top = np.arange(len(query)) - np.repeat(new, np.diff(np.append(new, len(query)))) < k
+                    query, ids, scores = query[top], ids[top], scores[top]
+                    best.add(query, scores)
+                    yield pa.RecordBatch.from_arrays([pa.array(names["row"][query].view(np.int64)), pa.array(names["query"][query]), pa.array(ids, mask=ids == NO_ID), pa.array(scores)], names=["row", "query_id", "doc_id", "score"])
+
+    found = shards.mapInArrow(find, "row bigint, query_id bigint, doc_id bigint, score double")
     order = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

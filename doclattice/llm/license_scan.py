@@ -177,6 +177,8 @@ def find(words: np.ndarray, index: Index, hits: list[tuple[int, int, int]], min_
                 a, b = todo.pop()
                 if b - a < min_coverage * m:
                     continue
+                if np.isin(words[a:b], index.words[t]).sum() < min_coverage * m:  # no alignment matches more words
+                    continue
                 matched, first, last = _aligned(index.words[t].tobytes(), words[a:b].tobytes(), at - a)
                 if matched and matched >= min_coverage * m:
                     found.append((matched, t, a + first, a + last))

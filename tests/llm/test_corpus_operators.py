@@ -329,6 +329,42 @@ def test_search_in_blocks_of_queries(spark, monkeypatch):
     assert sorted([(r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in got], key=str) == brute_search(docs, 5)
 
 
+def test_search_looks_at_pivot_blocks_only(monkeypatch):
+    monkeypatch.setattr(bm25_search, "BLOCK", 8)
+    topics = [prose(1000 + 31 * t, 60).split() for t in range(12)]
+    texts = [" ".join(f"{w}{k % 12}" for w in topics[k % 12][k % 7 : 30 + k % 23]) + f" river own{k}" for k in range(480)]
+    builder = bm25_search.Builder()
+    raw = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    n = len(texts)
+    builder.add(np.frombuffer(b"".join(raw), np.uint8), off, np.arange(n), np.arange(n, dtype=np.uint64), np.arange(n) % 10 == 0, np.zeros(n, np.int32), np.ones(n, bool))
+    builder.close()
+    shard = bm25_search.Shard.build(builder)
+    terms, df = shard.terms, np.diff(shard.begin)
+    asked = np.flatnonzero(np.arange(n) % 10 == 0)
+    own = [np.searchsorted(terms, builder.word[builder.begin[d] : builder.begin[d + 1]]) for d in asked]
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+    index = bm25_search.Index(shard, terms, df, n, float(shard.size.mean()))
+    want = sorted((k, int(i)) for k, d in enumerate(asked) for i in range(n))
+    full = bm25_search.Best(len(asked), 5)
+    for q, d, x in index.reaching(begin, np.concatenate(own), np.full(len(asked), 1e-12)):
+        full.add(q, x)
+    assert index.pivots > 0.5 * index.blocks and len(want) == len(asked) * n  # without thresholds every block with a term
+    index.pivots = index.blocks = 0
+    found = bm25_search.Best(len(asked), 5)
+    for q, d, x in index.reaching(begin, np.concatenate(own), full.level()):
+        found.add(q, x)
+    assert (found.scores == full.scores).all() and index.pivots < 0.25 * index.blocks
+
+
+def test_search_cuts_shards(spark, monkeypatch):
+    monkeypatch.setattr(bm25_search, "SHARD_DOCS", 7)
+    monkeypatch.setattr(bm25_search, "TOGETHER", 3)
+    docs = documents() + [(1000 + k, prose(k % 40, 20 + k % 60)) for k in range(160)]
+    got = bm25_search.search(frame(spark, docs).repartition(3), k=7).collect()
+    assert sorted([(r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in got], key=str) == brute_search(docs, 7)
+
+
 # -- repeated passages
 
 
