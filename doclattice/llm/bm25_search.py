@@ -203,8 +203,9 @@ class Index:
     def reaching(self, begin: np.ndarray, terms: np.ndarray, levels: np.ndarray, k: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(queries, documents, scores) with a score of at least the query's level > 0, some queries at a time.
 
-        ``terms`` has positions of the queries' terms, by ``begin``. With ``k`` the levels are
-        first raised to the k-th best score of the most promising blocks.
+        ``terms`` has positions of the queries' terms, by ``begin``. With ``k`` only the k best of
+        each query are wanted: the levels rise to the k-th best score of the most promising
+        blocks, then to that of all pivots.
         """
         if not len(self.key):
             return
@@ -229,13 +230,14 @@ class Index:
                 most = min(self.n_blocks, -(-k // BLOCK) + 1)
                 np.put_along_axis(best, np.argpartition(-bound, most - 1, 1)[:, :most], True, 1)
                 scores = self._scores(best, asked, owner, entry, cell)
-                if k <= scores.shape[1]:
-                    level = np.maximum(level, np.partition(scores, scores.shape[1] - k, 1)[:, -k] * (1 - 1e-5))
+                level = np.maximum(level, self._kth(scores, k))
             # sums of bounds are in another order and in single precision
             pivot = (bound >= (level * (1 - 1e-5))[:, None]) & (bound > 0)
             self.pivots += int(pivot.sum())
             self.blocks += pivot.size
             scores = self._scores(pivot, asked, owner, entry, cell)
+            if k is not None:
+                level = np.maximum(level, self._kth(scores, k))
             q, d = np.nonzero((scores >= (level * (1 - 1e-5))[:, None]) & (scores > 0))
             if not len(q):
                 continue
@@ -243,6 +245,12 @@ class Index:
             good = x >= levels[i:j][q]
             yield q[good] + i, d[good], x[good]
 
+    @staticmethod
+    def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+        """A level that the k-th best of each row surely reaches; 0 where there are fewer."""
+        n = scores.shape[1]
+        return np.partition(scores, n - k, 1)[:, n - k] * (1 - 1e-5) if k <= n else np.zeros(len(scores))
+
     def _scores(self, pivot: np.ndarray, asked: np.ndarray, owner: np.ndarray, entry: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """Scores, in single precision, of the documents in each query's pivot blocks; 0 elsewhere."""
         m, width = len(pivot), self.n_blocks * BLOCK
