@@ -50,9 +50,9 @@ K1, B = 1.2, 0.75
 #: Documents of a block: all lists have their greatest contribution in each.
 BLOCK = 64
 #: Terms in more than one of so many documents of a shard are rows of a matrix.
-LONG = 16
+LONG = 64
 #: A shard has at most so many documents and about so many bytes of text.
-SHARD_DOCS, SHARD_BYTES = 8192, 24 << 20
+SHARD_DOCS, SHARD_BYTES = 16384, 32 << 20
 #: Queries that take a step together.
 TOGETHER = 256
 #: Shards of a task, where there are more of them than partitions.
@@ -104,7 +104,28 @@ class Builder:
         self.begin = np.searchsorted(self.doc, np.arange(self.n + 1))
 
 
-class Shard:
+class Packed:
+    """Arrays in one file, which workers map."""
+
+    ARRAYS: tuple[tuple[str, str], ...] = ()
+
+    def save(self, uri: str) -> None:
+        arrays = [np.ascontiguousarray(getattr(self, name), dtype) for name, dtype in self.ARRAYS]
+        head = np.array([len(x) for x in arrays], np.int64)
+        c.save_array(uri, np.concatenate([x.view(np.uint8) for x in (head, *arrays)]))
+
+    @classmethod
+    def load(cls, uri: str):
+        own, raw = cls(), c.load_array(uri, "u1")
+        at = 8 * len(cls.ARRAYS)
+        for (name, dtype), n in zip(cls.ARRAYS, np.frombuffer(raw[:at].tobytes(), np.int64).tolist()):
+            width = np.dtype(dtype).itemsize * n
+            setattr(own, name, np.frombuffer(raw, dtype, n, at))
+            at += width
+        return own
+
+
+class Shard(Packed):
     """The inverted index of some documents, in one file: what belongs to documents, then terms and their postings."""
 
     ARRAYS = (("id", "<i8"), ("row", "<u8"), ("home", "<i4"), ("asked", "u1"), ("size", "<i8"), ("terms", "<u8"), ("begin", "<i8"), ("doc", "<u2"), ("tf", "<i4"))
@@ -132,23 +153,43 @@ class Shard:
         cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
         own.id, own.row, own.home, own.asked, own.size = b.id[docs], b.row[docs], b.home[docs], b.asked[docs], b.size[docs]
         own.terms, own.begin, own.doc, own.tf = word[cut], np.append(cut, len(word)), doc[order], b.tf[at][order]
-        own.n = len(docs)
         return own
 
-    def save(self, uri: str) -> None:
-        arrays = [np.ascontiguousarray(getattr(self, name), dtype) for name, dtype in self.ARRAYS]
-        head = np.array([len(x) for x in arrays], np.int64)
-        c.save_array(uri, np.concatenate([x.view(np.uint8) for x in (head, *arrays)]))
+    @property
+    def n(self) -> int:
+        return len(self.id)
+
+
+class Queries(Packed):
+    """A block of queries: distinct terms with df, and for each query row, id and the positions of its terms."""
+
+    ARRAYS = (("terms", "<u8"), ("df", "<i8"), ("row", "<u8"), ("query", "<i8"), ("begin", "<i8"), ("at", "<i8"))
 
     @classmethod
-    def load(cls, uri: str) -> "Shard":
-        own, raw = cls(), c.load_array(uri, "u1")
-        at = 8 * len(cls.ARRAYS)
-        for (name, dtype), n in zip(cls.ARRAYS, np.frombuffer(raw[:at].tobytes(), np.int64).tolist()):
-            width = np.dtype(dtype).itemsize * n
-            setattr(own, name, np.frombuffer(raw, dtype, n, at))
-            at += width
-        own.n = len(own.id)
+    def build(cls, table: np.ndarray) -> "Queries":
+        """From QUERY_TERM rows; queries with the same most common term, mostly of one language, follow each other."""
+        own = cls()
+        table = table[np.lexsort((table["term"], table["row"]))]
+        own.terms, first, at = np.unique(table["term"], return_index=True, return_inverse=True)
+        own.df = table["df"][first]
+        cut = np.flatnonzero(np.concatenate([[True], table["row"][1:] != table["row"][:-1]]))
+        begin = np.append(cut, len(table))
+        most = np.maximum.reduceat(table["df"], cut)
+        top = np.flatnonzero(table["df"] == np.repeat(most, np.diff(begin)))
+        top = table["term"][top[np.searchsorted(top, cut)]]
+        order = np.lexsort((np.diff(begin), top))
+        own.row, own.query = table["row"][cut][order], table["query"][cut][order]
+        own.at = at[_spread(begin[order], begin[order + 1])]
+        own.begin = np.concatenate([[0], np.cumsum(np.diff(begin)[order])])
+        return own
+
+    def some(self, which: np.ndarray) -> "Queries":
+        """These queries, with their terms alone."""
+        own = Queries()
+        at = np.asarray(self.at)[_spread(self.begin[which], self.begin[which + 1])]
+        used, own.at = np.unique(at, return_inverse=True)
+        own.terms, own.df, own.row, own.query = self.terms[used], self.df[used], self.row[which], self.query[which]
+        own.begin = np.concatenate([[0], np.cumsum(self.begin[which + 1] - self.begin[which])])
         return own
 
 
@@ -217,25 +258,27 @@ class Index:
             query = np.repeat(np.arange(m), np.diff(begin[i : j + 1]))
             query, slot = query[slot >= 0], slot[slot >= 0]
             row = self.common[slot]
-            asked = np.zeros((m, self.dense.shape[1]), np.float32)
+            columns, row[row >= 0] = np.unique(row[row >= 0], return_inverse=True)
+            asked = np.zeros((m, len(columns)), np.float32)
             asked[query[row >= 0], row[row >= 0]] = 1
             query, slot = query[row < 0], slot[row < 0]
             n = self.t_entry[slot + 1] - self.t_entry[slot]
             entry, owner = _spread(self.t_entry[slot], self.t_entry[slot + 1]), np.repeat(query, n)
             cell = owner * self.n_blocks + self.e_block[entry]
-            bound = asked @ self.b_max + np.bincount(cell, self.e_max[entry], minlength=m * self.n_blocks).reshape(m, -1)
+            shared = asked @ self.b_max[columns]
+            bound = shared + np.bincount(cell, self.e_max[entry], minlength=m * self.n_blocks).reshape(m, -1)
             level = levels[i:j].copy()
             if k is not None:
                 best = np.zeros_like(bound, dtype=bool)
                 most = min(self.n_blocks, -(-k // BLOCK) + 1)
                 np.put_along_axis(best, np.argpartition(-bound, most - 1, 1)[:, :most], True, 1)
-                scores = self._scores(best, asked, owner, entry, cell)
+                scores = self._scores(best, asked, columns, owner, entry, cell, None)
                 level = np.maximum(level, self._kth(scores, k))
             # sums of bounds are in another order and in single precision
             pivot = (bound >= (level * (1 - 1e-5))[:, None]) & (bound > 0)
             self.pivots += int(pivot.sum())
             self.blocks += pivot.size
-            scores = self._scores(pivot, asked, owner, entry, cell)
+            scores = self._scores(pivot, asked, columns, owner, entry, cell, (level * (1 - 1e-5))[:, None] - shared)
             if k is not None:
                 level = np.maximum(level, self._kth(scores, k))
             q, d = np.nonzero((scores >= (level * (1 - 1e-5))[:, None]) & (scores > 0))
@@ -251,17 +294,23 @@ class Index:
         n = scores.shape[1]
         return np.partition(scores, n - k, 1)[:, n - k] * (1 - 1e-5) if k <= n else np.zeros(len(scores))
 
-    def _scores(self, pivot: np.ndarray, asked: np.ndarray, owner: np.ndarray, entry: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """Scores, in single precision, of the documents in each query's pivot blocks; 0 elsewhere."""
+    def _scores(self, pivot: np.ndarray, asked: np.ndarray, columns: np.ndarray, owner: np.ndarray, entry: np.ndarray, cell: np.ndarray, needed: np.ndarray | None) -> np.ndarray:
+        """Scores, in single precision, of the documents in each query's pivot blocks; too low elsewhere.
+
+        Lists in few documents come first; where no document of a block has ``needed`` then, the
+        maxima of the others don't lift it to the threshold, and the block is passed over.
+        """
         m, width = len(pivot), self.n_blocks * BLOCK
         own = np.flatnonzero(pivot.ravel()[cell])
         a, b = self.e_begin[entry[own]], self.e_begin[entry[own] + 1]
         at = _spread(a, b)
         scores = np.bincount(np.repeat(owner[own], b - a) * width + self.doc[at], self.weight[at], minlength=m * width).astype(float, copy=False).reshape(m, width)  # counts if empty
-        if asked.shape[1]:
+        if needed is not None:
+            pivot = pivot & (scores.reshape(m, self.n_blocks, BLOCK).max(2) >= needed)
+        if len(columns):
             for block in np.flatnonzero(pivot.any(0)).tolist():
                 rows = np.flatnonzero(pivot[:, block])
-                scores[rows, block * BLOCK : (block + 1) * BLOCK] += asked[rows] @ self.dense[block]
+                scores[rows, block * BLOCK : (block + 1) * BLOCK] += asked[rows] @ self.dense[block][columns]
         return scores
 
 
@@ -298,15 +347,6 @@ def _builders(batches: Iterator[pa.RecordBatch]) -> Iterator[Builder]:
         yield held
 
 
-def _query_terms(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct terms and df; queries (row, id), begins, and positions of their terms."""
-    terms, first, inverse = np.unique(table["term"], return_index=True, return_inverse=True)
-    new = np.ones(len(table), bool)
-    new[1:] = table["row"][1:] != table["row"][:-1]
-    cut = np.flatnonzero(new)
-    return terms, table["df"][first], table[["row", "query"]][cut], np.append(cut, len(table)), inverse
-
-
 class Best:
     """The k best scores of each query so far."""
 
@@ -420,8 +460,7 @@ def search(docs: DataFrame, queries: DataFrame | None = None, k: int = 10, every
                     n, words = np.frombuffer(blob, np.int64).tolist() if kind == 2 else (0, 0)
                     yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([words]), pa.array([blob.decode() if kind == 3 else None], pa.string())], names=["n", "words", "shard"])
         if tables:
-            table = np.concatenate(tables)
-            c.save_array(f"{root}/queries-{home:06d}", table[np.lexsort((table["term"], table["row"]))])
+            Queries.build(np.concatenate(tables)).save(f"{root}/queries-{home:06d}")
 
     packed = rows.mapInArrow(build, "bucket int, kind int, home int, blob binary").repartitionById(buckets, "bucket").mapInArrow(with_df, "kind int, home int, blob binary")
     stored = c.materialize(packed.repartitionById(blocks, F.when(F.col("kind") == 1, F.col("home")).otherwise(F.pmod(F.xxhash64("blob"), F.lit(blocks)).cast("int"))).mapInArrow(store, "n bigint, words bigint, shard string"), "shards")
@@ -434,25 +473,26 @@ def search(docs: DataFrame, queries: DataFrame | None = None, k: int = 10, every
         c.release()
         return [Shard.load(place) for batch in batches for place in batch.column(0).to_pylist()]
 
-    def load(kind: str, h: int, dtype: np.dtype) -> np.ndarray:
+    def there(kind: str, h: int) -> bool:
         fs, path = c.open_fs(f"{root}/{kind}-{h:06d}")
-        return c.load_array(f"{root}/{kind}-{h:06d}", dtype) if fs.get_file_info(path).type.name == "File" else np.zeros(0, dtype)
+        return fs.get_file_info(path).type.name == "File"
 
     def own_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in opened(batches):
             asked = np.asarray(shard.asked) > 0
             for h in np.unique(shard.home[asked]).tolist():
-                table = np.array(load("queries", h, QUERY_TERM))
-                table = table[np.isin(table["row"], shard.row[asked & (shard.home == h)])]
-                if not len(table):
+                if not there("queries", h):
+                    continue
+                block = Queries.load(f"{root}/queries-{h:06d}")
+                block = block.some(np.flatnonzero(np.isin(block.row, shard.row[asked & (shard.home == h)])))
+                if not len(block.row):
                     continue
-                terms, df, names, begin, at = _query_terms(table)
-                index = Index(shard, terms, df, n_docs, mean)
-                best = Best(len(names), k)
-                for query, _, scores in index.reaching(begin, at, np.full(len(names), 1e-12), k):
+                index = Index(shard, block.terms, block.df, n_docs, mean)
+                best = Best(len(block.row), k)
+                for query, _, scores in index.reaching(block.begin, block.at, np.full(len(block.row), 1e-12), k):
                     best.add(query, scores)
-                out = np.zeros(len(names), LEVEL)
-                out["row"], out["level"] = names["row"], best.level()
+                out = np.zeros(len(block.row), LEVEL)
+                out["row"], out["level"] = block.row, best.level()
                 yield pa.RecordBatch.from_arrays([pa.array([h], pa.int32()), pa.array([_zip(out)], pa.binary())], names=["home", "blob"])
 
     def store_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,19 +511,19 @@ def search(docs: DataFrame, queries: DataFrame | None = None, k: int = 10, every
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = opened(batches)
         for h in range(blocks if own else 0):
-            table = load("queries", h, QUERY_TERM)
-            if not len(table):
+            if not there("queries", h):
                 continue
-            terms, df, names, begin, at = _query_terms(np.array(table))
-            levels, start = load("levels", h, LEVEL), np.zeros(len(names))
-            if len(levels):
-                i = np.minimum(np.searchsorted(levels["row"], names["row"]), len(levels) - 1)
-                start = np.where(levels["row"][i] == names["row"], levels["level"][i], 0.0)
-            best = Best(len(names), k)
+            block = Queries.load(f"{root}/queries-{h:06d}")
+            start = np.zeros(len(block.row))
+            if there("levels", h):
+                levels = c.load_array(f"{root}/levels-{h:06d}", LEVEL)
+                i = np.minimum(np.searchsorted(levels["row"], block.row), len(levels) - 1)
+                start = np.where(levels["row"][i] == block.row, levels["level"][i], 0.0)
+            best = Best(len(block.row), k)
             for shard in own:
-                index = Index(shard, terms, df, n_docs, mean)
+                index = Index(shard, block.terms, block.df, n_docs, mean)
                 level = np.maximum(np.maximum(start, best.level()), 1e-12)
-                for query, docs, scores in index.reaching(begin, at, level):
+                for query, docs, scores in index.reaching(block.begin, block.at, level):
                     ids = np.asarray(shard.id)[docs]
                     order = np.lexsort((ids, -scores, query))  # the k best of each query
                     query, ids, scores = query[order], ids[order], scores[order]
@@ -491,7 +531,7 @@ def search(docs: DataFrame, queries: DataFrame | None = None, k: int = 10, every
                     top = np.arange(len(query)) - np.repeat(new, np.diff(np.append(new, len(query)))) < k
                     query, ids, scores = query[top], ids[top], scores[top]
                     best.add(query, scores)
-                    yield pa.RecordBatch.from_arrays([pa.array(names["row"][query].view(np.int64)), pa.array(names["query"][query]), pa.array(ids, mask=ids == NO_ID), pa.array(scores)], names=["row", "query_id", "doc_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(block.row[query].view(np.int64)), pa.array(block.query[query]), pa.array(ids, mask=ids == NO_ID), pa.array(scores)], names=["row", "query_id", "doc_id", "score"])
 
     found = shards.mapInArrow(find, "row bigint, query_id bigint, doc_id bigint, score double")
     order = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first())
