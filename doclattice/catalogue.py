@@ -39,11 +39,18 @@ def query(name: str, sql: str | None = None, *derived: str) -> Callable[[Query],
     return register
 
 
+def _all() -> None:
+    """Register the queries of the other modules, too."""
+    from . import catalogue_files, catalogue_text  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 

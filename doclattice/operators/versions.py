@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up, present
 from .fuzzy import rename_score
-from .predicates import last_wins, side_by_side
+from .predicates import first_wins, last_wins, side_by_side
 
 SEVERITY = {"function": "high", "class": "high", "interface": "medium", "type": "medium", "enum": "medium", "variable": "low"}
 
@@ -141,3 +141,9 @@ def impact_stats(impact: DataFrame) -> DataFrame:
 def undocumented_names(names: DataFrame, doc_words: DataFrame) -> DataFrame:
     """Names that no page mentions as a word (word)."""
     return names.select("name").distinct().join(doc_words.select(F.col("word").alias("name")).distinct(), "name", "left_anti")
+
+
+def report_join(analysis: DataFrame, exports: DataFrame) -> DataFrame:
+    """Analyses (export_key, score, issues) with their export; of equal keys the first export counts, missing issues are none."""
+    first = first_wins(exports, ["export_key"], "export_pos")
+    return analysis.join(first.select("spec_id", "export_key", "export_pos", "name", "kind"), "export_key", "left").withColumn("issues", F.coalesce("issues", F.lit(0)))

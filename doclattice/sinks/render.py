@@ -78,10 +78,10 @@ def write_text(df: DataFrame, path: str) -> None:
 
 
 def write_spec(exports: DataFrame, path: str) -> None:
-    """Exports as one JSON document for each spec."""
+    """Exports as one JSON document, and file, for each spec."""
     inner = [c for c in exports.columns if c != "spec_id"]
     order = F.array_sort(F.collect_list(F.struct("export_pos", *[c for c in inner if c != "export_pos"])))
-    exports.groupBy("spec_id").agg(order.alias("exports")).select(F.struct(F.col("spec_id").alias("name")).alias("meta"), "exports").write.mode("overwrite").json(path)
+    exports.groupBy("spec_id").agg(order.alias("exports")).select(F.struct(F.col("spec_id").alias("name")).alias("meta"), "exports").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def package_list(packages: DataFrame, most: int = 10) -> DataFrame:
