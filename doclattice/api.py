@@ -172,6 +172,13 @@ def context(s: Surface, options: Options = Options()) -> DataFrame:
     return render.context_markdown(scan(s, options), s.exports.where(~predicates.documented()))
 
 
+def package_context(exports: DataFrame, issues: DataFrame) -> DataFrame:
+    """Issues of packages with a place: the finding's own (file, line), else that of its export."""
+    own = issues.select("export_key", "type", "target", *[F.col(c).alias(f"own_{c}") if c in issues.columns else F.lit(None).cast("string" if c == "file" else "int").alias(f"own_{c}") for c in ("file", "line")])
+    place = exports.select("spec_id", "export_key", "name", "source_file", "source_line")
+    return own.join(place, "export_key", "left").select("spec_id", "export_key", "name", "type", "target", F.coalesce("own_file", "source_file").alias("file"), F.coalesce("own_line", "source_line").alias("line"))
+
+
 def examples(exports: DataFrame, examples_: DataFrame, results: DataFrame, errors: DataFrame) -> dict[str, DataFrame]:
     """Presence, type errors and runs of examples."""
     return {"presence": scoring.example_presence(exports), "typecheck": scoring.example_counts(errors, examples_), "run": findings.runtime_failures(examples_, results).unionByName(findings.failed_assertions(examples_, results))}

@@ -23,6 +23,8 @@ from .streaming import history_stream
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+#: SQL without the derived tables, and their names.
+_RAW: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 _DOC = "coalesce(length(regexp_replace(description, '^\\s+|\\s+$', '', 'g')) > 0, false)"
 _NOT_EXTERNAL = "NOT (source_package IS NOT NULL AND source_file IS NULL)"
@@ -33,6 +35,7 @@ def query(name: str, sql: str | None = None, *derived: str) -> Callable[[Query],
     def register(f: Query) -> Query:
         _QUERIES[name] = f
         if sql is not None:
+            _RAW[name] = sql.strip(), derived
             _SQL[name] = with_derived(sql, *derived) if derived else sql.strip()
         return f
 
@@ -41,7 +44,7 @@ def query(name: str, sql: str | None = None, *derived: str) -> Callable[[Query],
 
 def _all() -> None:
     """Register the queries of the other modules, too."""
-    from . import catalogue_files, catalogue_text  # noqa: F401
+    from . import catalogue_code, catalogue_files, catalogue_text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -274,25 +277,6 @@ def _(spark, sf):
     return findings.broken_links(texts, words)
 
 
-@query("all_findings", f"""WITH d AS (
-SELECT 0 AS detector, export_key, 'optionality-mismatch' AS type, name AS target FROM (SELECT d.export_key, d.name FROM doc_params d JOIN ({_FIRST}) p ON p.export_key = d.export_key AND p.name = d.name WHERE d.optional <> (NOT p.required))
-UNION ALL SELECT 1, export_key, 'deprecated-mismatch', name FROM exports WHERE deprecated <> tag_deprecated)
-SELECT e.spec_id, d.export_key, d.type, d.target, d.detector, e.source_file AS file, e.source_line AS line FROM d JOIN exports e USING (export_key)""", "exports", "params", "doc_params")
-def _(spark, sf):
-    e = derive(spark, sf, "exports")
-    out = findings.all_findings(e, [findings.optionality(derive(spark, sf, "params"), derive(spark, sf, "doc_params")), findings.deprecation(e)])
-    return out.select("spec_id", "export_key", "type", "target", "detector", "file", "line")
-
-
-@query("issue_category_pivot", f"""SELECT e.spec_id, CAST(0 AS BIGINT) AS example, CAST(0 AS BIGINT) AS prose, count(*) FILTER (t = 'd') AS semantic, count(*) FILTER (t = 'o') AS structural, count(*) AS total FROM (
-SELECT export_key, 'd' AS t FROM exports WHERE deprecated <> tag_deprecated UNION ALL SELECT d.export_key, 'o' FROM doc_params d JOIN ({_FIRST}) p ON p.export_key = d.export_key AND p.name = d.name WHERE d.optional <> (NOT p.required)) x JOIN exports e USING (export_key) GROUP BY e.spec_id""", "exports", "params", "doc_params")
-def _(spark, sf):
-    e = derive(spark, sf, "exports")
-    return scoring.issue_pivot(findings.all_findings(e, [findings.optionality(derive(spark, sf, "params"), derive(spark, sf, "doc_params")), findings.deprecation(e)]))
-
-
-_CONV = "SELECT conv_id, turn, regexp_extract_all(text, '[^\\n]+') AS lines FROM conversations WHERE role = '{r}'"
-
 
 @query("assertion_zip", """WITH u AS (SELECT conv_id, turn, len(string_split(text, chr(10))) AS n, string_split(text, chr(10)) AS l FROM conversations WHERE role = 'user'),
 a AS (SELECT conv_id, turn - 1 AS turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS o FROM conversations WHERE role = 'assistant'),
@@ -638,13 +622,6 @@ def _(spark, sf):
     return markdown.code_blocks(_markdown(spark, sf)).select("path", "block", "lang", "meta", "code")
 
 
-@query("code_facts")
-def _(spark, sf):
-    e = table(spark, sf, "events")
-    code = F.concat(F.lit("import { "), F.col("event_type"), F.lit(" as use } from 'pkg'\nconst made = await use("), F.col("value").cast("string"), F.lit(")\nmade.run("), F.col("user_id").cast("string"), F.lit(") // "), F.col("props"))
-    return code_facts.facts(e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("path"), F.lit(1).alias("block"), code.alias("code"), F.lit(1).alias("line_start")))
-
-
 @query("prose_imports", "SELECT concat('e', event_id) AS path, 1 AS block, 1 AS line, 'prose-import' AS type, event_type AS target FROM events WHERE event_type NOT IN ('view', 'click')")
 def _(spark, sf):
     facts = code_facts.facts(table(spark, sf, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("path"), F.lit(1).alias("block"), F.concat(F.lit("import { "), F.col("event_type"), F.lit(" } from 'pkg/sub'\nimport x from 'other'")).alias("code"), F.lit(1).alias("line_start")))

@@ -6,14 +6,15 @@ keeps one shape; ``all_findings`` adds the order of the detectors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import assertions, braces_type, error_line, is_promise, lines, link_targets, normalize_type, present, trim, types_equivalent
+from ..functions.scalars import assertions, braces_type, error_line, has_plain_comment, is_promise, lines, link_targets, normalize_type, present, trim, truthy, types_equivalent
 from .fuzzy import closest
-from .predicates import first_wins
+from .predicates import first_wins, last_wins
 
 COLUMNS = ["export_key", "type", "target", "expected", "actual", "suggestion"]
 
@@ -131,9 +132,21 @@ def runtime_failures(examples: DataFrame, results: DataFrame) -> DataFrame:
     return _finding(bad, "example-runtime", F.concat(F.lit("example "), F.col("ex_pos").cast("string")), actual=F.when(late, "timeout").otherwise(error_line("stderr")))
 
 
-def failed_assertions(examples: DataFrame, results: DataFrame) -> DataFrame:
-    """The j-th ``// =>`` comment of an example against the j-th non-blank line that its run printed."""
-    said = examples.select("export_key", "ex_pos", F.posexplode(assertions("code")).alias("j", "a")).select("export_key", "ex_pos", "j", F.col("a.expected").alias("expected"), F.col("a.line").alias("line"))
+def string_examples(examples: DataFrame) -> DataFrame:
+    """Code of each example (export_key, examples as JSON texts): a text, or the code of an object; others are left out."""
+    code = lambda x: F.when(x.startswith('"'), F.from_json(F.concat(F.lit('{"c":'), x, F.lit("}")), "c string")["c"]).otherwise(F.get_json_object(x, "$.code"))
+    return examples.select("export_key", F.posexplode(F.filter(F.transform("examples", code), lambda v: v.isNotNull())).alias("ex_pos", "code"))
+
+
+def failed_assertions(examples: DataFrame, results: DataFrame, parser: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The j-th ``// =>`` comment of an example against the j-th non-blank line that its run printed.
+
+    ``parser`` gives an array of (line, expected) for examples that have comments but none of that form.
+    """
+    read = assertions("code")
+    if parser is not None:
+        read = F.when((F.size(read) == 0) & has_plain_comment("code"), parser(F.col("code"))).otherwise(read)
+    said = examples.select("export_key", "ex_pos", F.posexplode(read).alias("j", "a")).select("export_key", "ex_pos", "j", F.col("a.expected").alias("expected"), F.col("a.line").alias("line"))
     out = results.where("success").select("export_key", "ex_pos", F.posexplode(F.filter(F.transform(lines("stdout"), trim), lambda v: v != "")).alias("j", "actual"))
     ran = results.where("success").select("export_key", "ex_pos")
     bad = said.join(ran, ["export_key", "ex_pos"], "left_semi").join(out, ["export_key", "ex_pos", "j"], "left").where("actual IS NULL OR actual <> expected")
@@ -171,3 +184,47 @@ def near_deprecation(findings: DataFrame, doc_lines: DataFrame, reach: int = 5)
     spread = findings.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("start") - reach) / width), F.floor((F.col("end") + reach) / width))))
     near = spread.join(marks, ["path", "bucket"]).where(F.col("line").between(F.col("start") - reach, F.col("end") + reach)).select("path", "start", "end").distinct()
     return findings.join(near, ["path", "start", "end"], "left_anti")
+
+
+def lint_run(exports: DataFrame, by_tags: list[DataFrame], by_examples: list[DataFrame], by_text: list[DataFrame]) -> DataFrame:
+    """Every detector over whole surfaces: each runs for the exports that have what it reads.
+
+    ``by_tags`` run where an export has tags, ``by_examples`` where it has examples, ``by_text``
+    where it has a description (blank or not) or tags. The numbers of the detectors follow this
+    order. Of exports with one key the last counts.
+    """
+    last = last_wins(exports, ["spec_id", "export_key"], "export_pos")
+    tags, examples = F.coalesce("has_tags", F.lit(False)), F.coalesce("has_example", F.lit(False))
+    last = last.select("spec_id", "export_key", F.col("source_file").alias("file"), F.col("source_line").alias("line"), tags.alias("__tags"), examples.alias("__examples"), (truthy("description") | tags).alias("__text"))
+    gates = ["__tags"] * len(by_tags) + ["__examples"] * len(by_examples) + ["__text"] * len(by_text)
+    parts = [p.withColumns({"detector": F.lit(k), "gate": F.lit(g)}) for k, (p, g) in enumerate(zip([*by_tags, *by_examples, *by_text], gates))]
+    out = reduce(lambda a, b: a.unionByName(b), parts).join(last, "export_key")
+    passed = F.when(F.col("gate") == "__tags", F.col("__tags")).when(F.col("gate") == "__examples", F.col("__examples")).otherwise(F.col("__text"))
+    return out.where(passed).drop("gate", "__tags", "__examples", "__text")
+
+
+def with_issue(findings: DataFrame) -> DataFrame:
+    """Adds ``issue``, what a finding says to its reader."""
+    t, q = F.col("type"), F.concat(F.lit("`"), F.col("target"), F.lit("`"))
+    none = F.lit("nothing")
+    e, a = F.coalesce("expected", none), F.coalesce("actual", none)
+    says = {
+        "param-mismatch": F.concat(q, F.lit(" is documented, but no signature has it")),
+        "optionality-mismatch": F.concat(q, F.lit(" is documented as "), a, F.lit(", declared as "), e),
+        "param-type-mismatch": F.concat(q, F.lit(" is documented with type "), a, F.lit(", declared with "), e),
+        "return-type-mismatch": F.concat(F.lit("the documented result is "), a, F.lit(", the declared one "), e),
+        "generic-constraint-mismatch": F.when(F.col("expected").isNull(), F.concat(q, F.lit(" is constrained by its tag alone, to "), a)).when(F.col("actual").isNull(), F.concat(q, F.lit(" lacks its constraint, "), e)).otherwise(F.concat(q, F.lit(" is constrained to "), a, F.lit(", declared with "), e)),
+        "property-type-mismatch": F.concat(q, F.lit(" is tagged "), a, F.lit(", declared "), e),
+        "deprecated-mismatch": F.concat(q, F.lit(" is "), e, F.lit(" in code, "), a, F.lit(" in its tags")),
+        "visibility-mismatch": F.concat(q, F.lit(" is "), e, F.lit(" in code, "), a, F.lit(" in its tags")),
+        "async-mismatch": F.concat(F.lit("the code is "), e, F.lit(", its documentation "), a),
+        "broken-link": F.concat(q, F.lit(" leads nowhere")),
+        "example-runtime": F.concat(q, F.lit(" failed: "), a),
+        "example-assertion": F.when(F.col("actual").isNull(), F.concat(q, F.lit(" expects "), e, F.lit(" and there was no output"))).otherwise(F.concat(q, F.lit(" expects "), e, F.lit(", not "), a)),
+        "example-identifier": F.concat(q, F.lit(" isn't known")),
+    }
+    text = None
+    for kind, x in says.items():
+        text = F.when(t == kind, x) if text is None else text.when(t == kind, x)
+    hint = F.when(F.col("suggestion").isNotNull(), F.concat(F.lit(" ("), F.col("suggestion"), F.lit(")"))).otherwise(F.lit(""))
+    return findings.withColumn("issue", F.concat(text.otherwise(q), hint))

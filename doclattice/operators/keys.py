@@ -78,3 +78,9 @@ def page_candidates(documented: DataFrame, keys: DataFrame, least: int = 3, top:
     shared = pages.join(large, "page", "left_semi").join(keys.select("type", "key").distinct(), "key").groupBy("page", "type").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
     w = Window.partitionBy("page").orderBy(F.col("overlap").desc(), "type")
     return shared.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def ordered_keys(coverage: DataFrame) -> DataFrame:
+    """Keys of a page with their place in two orders: by code unit, and as people sort them."""
+    by = lambda k: Window.partitionBy("page").orderBy(k)
+    return coverage.select("page", "key").distinct().withColumns({"by_code": F.row_number().over(by(F.col("key"))), "by_name": F.row_number().over(Window.partitionBy("page").orderBy(F.collate("key", "UNICODE")))})

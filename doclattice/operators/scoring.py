@@ -166,3 +166,15 @@ def release_readiness(coverage: DataFrame, issues: DataFrame, undocumented: Data
     df = side_by_side(c, i, names)
     reasons = F.array_compact(F.array(F.when(F.col("coverage") < minimum, F.concat(F.lit("coverage "), F.col("coverage").cast("string"), F.lit(f" below {minimum}"))), F.when(F.col("issues") > 0, F.concat(F.col("issues").cast("string"), F.lit(" issues")))))
     return df.withColumns({"reasons": reasons, "ready": F.size(reasons) == 0})
+
+
+def probe(exports: DataFrame) -> DataFrame:
+    """One row for a single package: coverage, and the health that it has while no issue is known."""
+    c = exports.where(~is_external()).agg(F.count("*").alias("exports"), F.count_if(documented()).alias("documented")).withColumn("coverage", percent("documented", "exports"))
+    return c.withColumn("health", half_up(0.5 * F.col("coverage") + 50))
+
+
+def analysis_of(exports: DataFrame, analyses: DataFrame) -> DataFrame:
+    """Exports with their analysis (export_key, score, missing): full marks and nothing missing where there is none."""
+    none = F.array().cast("array<string>")
+    return exports.join(analyses, "export_key", "left").withColumns({"score": F.coalesce("score", F.lit(100)), "missing": F.coalesce("missing", none)}).withColumn("complete", F.size("missing") == 0)

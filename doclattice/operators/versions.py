@@ -147,3 +147,13 @@ def report_join(analysis: DataFrame, exports: DataFrame) -> DataFrame:
     """Analyses (export_key, score, issues) with their export; of equal keys the first export counts, missing issues are none."""
     first = first_wins(exports, ["export_key"], "export_pos")
     return analysis.join(first.select("spec_id", "export_key", "export_pos", "name", "kind"), "export_key", "left").withColumn("issues", F.coalesce("issues", F.lit(0)))
+
+
+def diff_with_docs(old: DataFrame, new: DataFrame, old_issues: DataFrame, new_issues: DataFrame) -> DataFrame:
+    """One row for two versions: changes by kind, coverage and issues on both sides, exports without a description that came with the new one.
+
+    Both sides have id, kind, shape, docs, score and description.
+    """
+    changes = semver_bump(spec_diff(old, new))
+    fresh = new_undocumented(old, new).agg(F.count("*").alias("new_undocumented"))
+    return side_by_side(changes, coverage_delta(old, new), issue_delta(old_issues, new_issues), fresh)

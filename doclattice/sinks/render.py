@@ -91,3 +91,40 @@ def package_list(packages: DataFrame, most: int = 10) -> DataFrame:
     first = public.orderBy(F.collate("name", "UNICODE")).limit(most).agg(_listed(F.concat(F.lit("- "), F.col("name")), "name").alias("first"))
     more = F.when(F.col("n") > most, F.concat(F.lit("\n… and "), (F.col("n") - most).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
     return side_by_side(total, first).select(F.concat(F.col("first"), more).alias("value"))
+
+
+def signatures(params: DataFrame, returns: DataFrame | None = None) -> DataFrame:
+    """Text of each signature (export_key, sig_pos, signature): ``(a: T, b?: U): R``, with ``void`` where nothing is returned.
+
+    ``params``: export_key, sig_pos, param_pos, name, type, required and, if there are any, rest.
+    """
+    rest = F.when(F.coalesce(F.col("rest"), F.lit(False)), "...").otherwise("") if "rest" in params.columns else F.lit("")
+    one = F.concat(rest, "name", F.when(F.col("required") == F.lit(False), "?").otherwise(""), F.lit(": "), F.coalesce("type", F.lit("unknown")))
+    inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("param_pos", one.alias("text")))), lambda s: s["text"]), ", ")
+    out = params.groupBy("export_key", "sig_pos").agg(inner.alias("inner"))
+    result = F.lit("void")
+    if returns is not None:
+        out = out.join(returns.select("export_key", "actual_type"), "export_key", "left")
+        result = F.coalesce("actual_type", F.lit("void"))
+    return out.select("export_key", "sig_pos", F.concat(F.lit("("), F.col("inner"), F.lit("): "), result).alias("signature"))
+
+
+def declaration(kind: Column | str = "kind", name: Column | str = "name", type_: Column | str = "type", base: Column | str = "base") -> Column:
+    """One line that declares an export, by its kind; functions are followed by their signature."""
+    k, n, t, b = (F.col(c) if isinstance(c, str) else c for c in (kind, name, type_, base))
+    known = F.coalesce(t, F.when(k.isin("interface", "type"), F.lit("{ ... }")).otherwise(F.lit("unknown")))
+    parent = F.when(b.isNotNull(), F.concat(F.lit(" extends "), b)).otherwise(F.lit(""))
+    return (
+        F.when(k == "class", F.concat(F.lit("class "), n, parent))
+        .when(k.isin("interface", "type"), F.concat(F.lit("type "), n, F.lit(" = "), known))
+        .when(k == "variable", F.concat(F.lit("const "), n, F.lit(": "), known))
+        .when(k == "enum", F.concat(F.lit("enum "), n, F.lit(" { ... }")))
+        .when(k == "function", F.concat(F.lit("function "), n, F.coalesce(t, F.lit("(): unknown"))))
+        .otherwise(F.concat(k, F.lit(" "), n))
+    )
+
+
+def display_params(params: DataFrame) -> DataFrame:
+    """Parameters of the first signature as people read them: name, type, whether it may be left out."""
+    first = params.groupBy("export_key").agg(F.min("sig_pos").alias("sig_pos"))
+    return params.join(first, ["export_key", "sig_pos"]).select("export_key", "param_pos", "name", F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce(~F.col("required"), F.lit(False)).alias("optional"))

@@ -9,7 +9,7 @@ rows, so that everything after it is joins.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +22,7 @@ _TOKEN = re.compile(
     r"""(?P<space>[ \t\r]+)|(?P<newline>\n)|(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`)|(?P<number>\d[\w.]*)|(?P<name>[A-Za-z_$][\w$]*)|(?P<op>=>|\?\.|\.\.\.|&&|\|\||\?\?|[=!]==?|[-+*/%&|^<>]=?|[{}()\[\];,.:?~@#!\\])|(?P<bad>['"`].*|.)""",
     re.S,
 )
+_LITERAL = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\n])*\]|[^/\\\n])+/[a-z]*")
 _CLOSE = {")": "(", "]": "[", "}": "{"}
 
 
@@ -30,7 +31,7 @@ def tokens(code: str) -> Iterator[tuple[str, str, int]]:
     line, pos, before = 0, 0, ""
     while pos < len(code):
         if code[pos] == "/" and code[pos : pos + 2] not in ("//", "/*") and (before in "=(,:[!&|?{};" or before in ("return", "=>", "")):
-            m = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\n])*\]|[^/\\\n])+/[a-z]*").match(code, pos)
+            m = _LITERAL.match(code, pos)
             if m:
                 yield "string", m[0], line
                 pos, before = m.end(), "x"
@@ -51,8 +52,12 @@ def tokens(code: str) -> Iterator[tuple[str, str, int]]:
 
 def syntax_error(code: str) -> str | None:
     """What is unbalanced, if anything."""
+    return _unbalanced(tokens(code))
+
+
+def _unbalanced(toks: Iterable[tuple[str, str, int]]) -> str | None:
     open_: list[str] = []
-    for kind, text, line in tokens(code):
+    for kind, text, line in toks:
         if kind == "bad" and text[0] in "'\"`":
             return f"unclosed string in line {line + 1}"
         if kind == "op" and text in "([{":
@@ -190,7 +195,7 @@ def snippet_facts(code: str) -> list[tuple[str, str, str | None, str | None, str
         elif word == "this" and text[i + 1] == "." and kind[i + 2] == "name" and text[i + 3] == "(":
             out.append(("method", text[i + 2], "this", None, None, toks[i + 2][2]))
         i += 1
-    bad = syntax_error(code)
+    bad = _unbalanced(toks)
     if bad:
         out.append(("error", bad, None, None, None, 0))
     return out
