@@ -210,7 +210,11 @@ class Index:
         norm = K1 * (1 - B + B * np.asarray(shard.size) / max(mean, 1e-9))
         self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         self.doc, self.n = doc, max(shard.n, 1)
-        self.key = term * self.n + doc  # ascending
+        # by document, then term: what exact scoring reads
+        order = np.argsort(doc.astype(np.uint16), kind="stable")
+        self.d_term, self.d_weight = term[order].astype(np.int32), self.weight[order]
+        self.d_begin = np.searchsorted(doc[order], np.arange(self.n + 1))
+        self.wanted = np.zeros(len(mine), bool)
         # block maxima of all lists
         self.n_blocks = -(-self.n // BLOCK)
         key = term * self.n_blocks + doc // BLOCK
@@ -231,15 +235,20 @@ class Index:
         self.b_max[np.repeat(np.arange(len(long)), self.t_entry[long + 1] - self.t_entry[long]), self.e_block[own]] = self.e_max[own]
         self.pivots = self.blocks = 0
 
-    def exact(self, query: np.ndarray, docs: np.ndarray, terms: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Scores of pairs (query, document); contributions are added in the order of terms."""
-        a, b = begin[query], begin[query + 1]
-        owner = np.repeat(np.arange(len(docs)), b - a)
-        slot = terms[_spread(a, b)]
-        want = slot * self.n + docs[owner]
-        at = np.minimum(np.searchsorted(self.key, want), max(len(self.key) - 1, 0))
-        on = np.flatnonzero((slot >= 0) & (self.key[at] == want))
-        return np.bincount(owner[on], self.weight[at[on]], minlength=len(docs)).astype(float, copy=False)
+    def exact(self, query: np.ndarray, docs: np.ndarray, slots: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Scores of pairs (query, document), by query; contributions are added in the order of terms."""
+        out = np.zeros(len(docs))
+        cut = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1], [True]]))
+        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            own = slots[begin[query[x]] : begin[query[x] + 1]]
+            own = own[own >= 0]
+            a, b = self.d_begin[docs[x:y]], self.d_begin[docs[x:y] + 1]
+            at = _spread(a, b)
+            self.wanted[own] = True
+            on = np.flatnonzero(self.wanted[self.d_term[at]])
+            self.wanted[own] = False
+            out[x:y] = np.bincount(np.repeat(np.arange(y - x), b - a)[on], self.d_weight[at[on]], minlength=y - x)
+        return out
 
     def reaching(self, begin: np.ndarray, terms: np.ndarray, levels: np.ndarray, k: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(queries, documents, scores) with a score of at least the query's level > 0, some queries at a time.
@@ -248,7 +257,7 @@ class Index:
         each query are wanted: the levels rise to the k-th best score of the most promising
         blocks, then to that of all pivots.
         """
-        if not len(self.key):
+        if not len(self.doc):
             return
         slots = self.slot[terms]
         for i in range(0, len(begin) - 1, TOGETHER):
