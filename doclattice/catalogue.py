@@ -628,9 +628,9 @@ def _(spark, sf):
     return prose.broken_imports(facts, spark.createDataFrame([("view",), ("click",)], "name string"), "pkg")
 
 
-@query("doc_keys", "SELECT DISTINCT p_brand AS path, concat('k', p_size) AS key FROM part WHERE p_size % 2 = 0")
+@query("doc_keys", "SELECT DISTINCT p_brand AS path, concat('k', p_size) AS key FROM part")
 def _(spark, sf):
-    rows = table(spark, sf, "part").where("p_size % 2 = 0").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("| `k"), F.col("p_size").cast("string"), F.lit(".sub` or `other` | text `no` |")))), "\n").alias("t"))
+    rows = table(spark, sf, "part").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("| `k"), F.col("p_size").cast("string"), F.lit(".sub` or `other` | text `no` |")))), "\n").alias("t"))
     files = rows.select(F.col("p_brand").alias("path"), F.concat(F.lit("# Page\n| `outside` | x |\n## Options\n| key | text |\n|---|---|\n```\n# not a heading\n| `fenced` | x |\n```\n### Nested\n"), F.col("t"), F.lit("\n## After\n| `late` | x |\n")).alias("content"))
     return markdown.documented_keys(files, "(?i)^options$").select("path", "key").distinct()
 
@@ -647,7 +647,7 @@ def _(spark, sf):
     return render.annotations(e)
 
 
-@query("history_stream")
+@query("history_stream", "SELECT CAST(ts AS DATE) - CAST(dayofweek(ts) AS INT) AS week, event_type AS package, CAST(floor(avg(CAST(least(100.0, floor(value)) AS INT)) + 0.5) AS INT) AS average, max(CAST(least(100.0, floor(value)) AS INT)) AS best, count(*) AS snapshots FROM events GROUP BY 1, 2")
 def _(spark, sf):
     """The log as a stream (an extension): weeks are appended as they close, those still open at its end are added."""
     root = f"{storage.shared_root(spark)}/stream-{uuid.uuid4().hex[:12]}"

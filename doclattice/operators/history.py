@@ -19,12 +19,13 @@ def trend(history: DataFrame, window: int = 10) -> DataFrame:
 
     ``history``: package, date, seq, coverage.
     """
-    w = Window.partitionBy("package").orderBy("date", "seq")
     back = Window.partitionBy("package").orderBy(F.col("date").desc(), F.col("seq").desc())
-    recent = history.withColumns({"previous": F.lag("coverage").over(w), "age": F.row_number().over(back)}).where(F.col("age") <= window)
-    series = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("age")).alias("k"), "coverage"))), lambda s: s["coverage"])
-    newest = lambda c: F.max_by(c, -F.col("age"))
-    out = recent.groupBy("package").agg(newest("coverage").alias("current"), newest("previous").alias("previous"), series.alias("series"))
+    # a limit of each package, which tasks apply before the shuffle: no package is gathered whole
+    recent = history.select("package", "date", "seq", "coverage").withColumn("age", F.row_number().over(back)).where(F.col("age") <= max(window, 2))
+    in_window = F.when(F.col("age") <= window, F.struct((-F.col("age")).alias("k"), "coverage"))
+    series = F.transform(F.array_sort(F.collect_list(in_window)), lambda s: s["coverage"])
+    at = lambda n: F.max(F.when(F.col("age") == n, F.col("coverage")))
+    out = recent.groupBy("package").agg(at(1).alias("current"), at(2).alias("previous"), series.alias("series"))
     return out.select("package", "current", (F.col("current") - F.col("previous")).alias("delta"), "series", sparkline("series").alias("bars"))
 
 

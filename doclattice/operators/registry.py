@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalars import found
@@ -54,13 +54,22 @@ def reachable(edges: DataFrame, roots: DataFrame, blocked: DataFrame | None = No
     A loop over frontiers: each step joins only the nodes that are new, and each result is a
     table, so plans don't grow and cycles end by themselves.
     """
-    keep = lambda df: df if blocked is None else df.join(blocked.select("node"), "node", "left_anti")
-    front = materialize(keep(roots.select("node").distinct()).withColumn("depth", F.lit(0)), "frontier")
-    seen = front
-    depth = 0
-    while not front.isEmpty():
+    if blocked is not None:  # once, on the edges, in place of once a step
+        edges = edges.join(blocked.select(F.col("node").alias("dst")).distinct(), "dst", "left_anti")
+        roots = roots.join(blocked.select("node"), "node", "left_anti")
+    edges = materialize(edges.select("src", "dst").distinct(), "edges")
+
+    def level(nodes: DataFrame, depth: int) -> tuple[DataFrame, int]:
+        seen_by = Observation()
+        table = materialize(nodes.withColumn("depth", F.lit(depth)).observe(seen_by, F.count(F.lit(1)).alias("n")), "frontier")
+        return table, seen_by.get["n"]
+
+    front, n = level(roots.select("node").distinct(), 0)
+    seen, depth = front, 0
+    while n:
         depth += 1
-        step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        front = materialize(keep(step).join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        seen = seen.unionByName(front)
+        step = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        front, n = level(step.join(seen.select("node"), "node", "left_anti"), depth)
+        if n:
+            seen = seen.unionByName(front)
     return seen

@@ -24,14 +24,14 @@ SELECT p_brand AS spec_id, p_partkey AS export_pos, concat('e', CAST(p_partkey A
 FROM {{part}}""",
     "params": """
 SELECT concat('e', CAST(l_partkey AS STRING)) AS export_key, l_linenumber % 2 AS sig_pos,
-  row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS param_pos,
+  (l_orderkey * 8 + l_linenumber) * 1000000 + l_suppkey AS param_pos,
   concat('arg', CAST(l_suppkey % 10 AS STRING)) AS name,
   CASE l_returnflag WHEN 'A' THEN 'string' WHEN 'N' THEN 'Array< number >' ELSE 'void' END AS type,
   l_linestatus = 'O' AS required
 FROM {lineitem} WHERE l_linenumber <= 4""",
     "doc_params": """
 SELECT concat('e', CAST(l_partkey AS STRING)) AS export_key,
-  row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS tag_pos,
+  (l_orderkey * 8 + l_linenumber) * 1000000 + l_suppkey AS tag_pos,
   CASE WHEN l_linenumber = 5 THEN concat('arg', CAST(l_suppkey % 10 AS STRING), 'x') WHEN l_linenumber = 6 THEN concat('arg', CAST(l_suppkey % 10 AS STRING), '.field') ELSE concat('arg', CAST(l_suppkey % 10 AS STRING)) END AS name,
   CASE WHEN l_quantity > 40 THEN NULL WHEN l_quantity > 25 THEN 'Array<number>' WHEN l_quantity > 10 THEN 'string' ELSE 'undefined' END AS type,
   l_tax > 0.04 AS optional
@@ -41,9 +41,9 @@ SELECT concat('e', CAST(ps AS STRING)) AS export_key, CASE k % 4 WHEN 0 THEN 'Pr
   CASE k % 5 WHEN 0 THEN 'string' WHEN 1 THEN 'undefined' WHEN 2 THEN 'Promise<string>' WHEN 3 THEN NULL ELSE 'Promise<number>' END AS doc_type, k % 3 = 0 AS async_tag, k % 2 = 0 AS async_flag
 FROM (SELECT l_partkey AS ps, min(l_orderkey) AS k FROM {lineitem} GROUP BY l_partkey) t""",
     "members": """
-SELECT p_brand AS class, concat('m', CAST(s_suppkey AS STRING)) AS member, p_partkey AS version_key,
+SELECT p_brand AS class, concat('m', CAST(s_suppkey AS STRING), '_', CAST(p_size % 7 AS STRING)) AS member, p_partkey AS version_key,
   CASE s_nationkey % 3 WHEN 0 THEN 'method' WHEN 1 THEN 'property' ELSE 'accessor' END AS kind, concat('(', CAST(p_size % 3 AS STRING), ')') AS signature
-FROM {part} JOIN {supplier} ON p_partkey % 100 = s_suppkey % 100 AND p_size < 12""",
+FROM {part} JOIN {supplier} ON s_suppkey = p_partkey % 10""",
     "history": """
 SELECT event_id AS seq, CAST(ts AS DATE) AS date, event_type AS package, CAST(least(100.0, floor(value)) AS INT) AS coverage, CAST(user_id % 4 AS INT) AS lint
 FROM {events}""",

@@ -17,7 +17,10 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="doclattice-"))
+    own = spark.sparkContext.applicationId
+    if own not in _LOCAL:
+        _LOCAL[own] = tempfile.mkdtemp(prefix="doclattice-")
+    return _LOCAL[own]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
