@@ -54,7 +54,7 @@ LONG = 64
 #: A shard has at most so many documents and about so many bytes of text.
 SHARD_DOCS, SHARD_BYTES = 16384, 32 << 20
 #: Queries that take a step together.
-TOGETHER = 256
+TOGETHER = 128
 #: Shards of a task, where there are more of them than partitions.
 SHARDS_PER_TASK = 4
 QUERIES_PER_BLOCK = 8192
