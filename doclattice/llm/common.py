@@ -46,16 +46,40 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Paths that this driver has handed out and not discarded, in order.
+MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    MADE.append(f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}")
+    return MADE[-1]
+
+
+def discard(*places: str | DataFrame) -> None:
+    """Delete tables (or paths) of the shared folder that nothing will read any more."""
+    for place in places:
+        path = place if isinstance(place, str) else place._place
+        fs, at = open_fs(path)
+        if fs.get_file_info(at).type != pafs.FileType.NotFound:
+            fs.delete_dir(at)
+        if path in MADE:
+            MADE.remove(path)
+
+
+def discard_since(mark: int, *keep: DataFrame) -> None:
+    """Delete what was made after the first ``mark`` paths, but for the tables to keep."""
+    kept = {t._place for t in keep}
+    discard(*[p for p in MADE[mark:] if p not in kept])
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._place = path
+    return out
 
 
 BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"

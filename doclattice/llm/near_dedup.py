@@ -252,7 +252,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     both = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = _split_join(both, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a", "b", hot).select("a", "b", "text_a", "text_b")
     with c.small_batches(docs.sparkSession, 1000):  # rows hold two texts
-        return c.materialize(both.mapInArrow(lambda it: _confirm(it, percent), "a bigint, b bigint"), "links")
+        links = c.materialize(both.mapInArrow(lambda it: _confirm(it, percent), "a bigint, b bigint"), "links")
+    c.discard(pairs, likely, texts)
+    return links
 
 
 # -- union-find
@@ -508,9 +510,18 @@ def group(docs: DataFrame, percent: int = 70, id_col: str = "doc_id", text_col:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 70, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the rows of ``docs`` whose id is the smallest of its group (one row of each repeated id's group stays whole)."""
-    gone = group(docs, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    small = gone.count() <= BROADCAST_IDS
-    own = c.numbered(docs)
-    kept = own.join(F.broadcast(gone) if small else gone, F.col(f"c{docs.columns.index(id_col)}").cast("bigint") == F.col("gone"), "left_anti")
-    return kept.toDF(*docs.columns)
+    """All columns of one row of each group: that of the smallest id.
+
+    Of rows that repeat this id the one whose text has the smallest hash stays; rows with a null id all stay.
+    """
+    found = c.materialize(group(docs, percent, id_col, text_col).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows")).where("NOT kept OR rows > 1"), "found")
+    small = found.count() <= BROADCAST_IDS
+    own = c.numbered(docs).withColumn("id__", F.col(f"c{docs.columns.index(id_col)}").cast("bigint"))
+    ids = lambda rows: F.broadcast(rows) if small else rows
+    kept = own.join(ids(found.select(F.col("doc_id").alias("id__"))), "id__", "left_anti")
+    several = found.where("kept").select(F.col("doc_id").alias("id__"))
+    if not several.isEmpty():
+        again = own.join(ids(several), "id__", "left_semi").withColumn("hash__", F.xxhash64(F.col(f"c{docs.columns.index(text_col)}")))
+        least = again.groupBy("id__").agg(F.min("hash__").alias("hash__"))
+        kept = kept.unionByName(again.join(least, ["id__", "hash__"], "left_semi").drop("hash__").dropDuplicates(["id__"]))
+    return kept.drop("id__").toDF(*docs.columns)

@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from doclattice.llm import queries
 
-from .cases import components, documents, prose
+from .cases import components, documents, frame, prose
 from .test_text_operators import brute_base, brute_decontaminate
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -52,6 +52,46 @@ def test_stages(spark, sf_dir):
         docs = spark.createDataFrame(after, docs.schema)
 
 
+def test_stages_on_awkward_rows(spark, sf_dir):
+    """Null ids, repeated ids and rows, null, empty and long texts, extra columns with names that operators use."""
+    docs = frame(spark, documents() + [(700, prose(70, 60)), (700, prose(71, 60)), (700, prose(71, 60))])
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.collect()
+        after = stage(spark, docs, sf_dir).collect()
+        assert stage(spark, docs, sf_dir).columns == columns
+        assert stage(spark, docs.limit(0), sf_dir).collect() == [], name
+        if name == "language_id":
+            assert all(any(ch.isalpha() for ch in r.text or "") for r in after) and len(after) == sum(any(ch.isalpha() for ch in r.text or "") for r in before)
+        elif name == "near_dedup":
+            kept = [r.doc_id for r in after if r.doc_id is not None]
+            assert len(kept) == len(set(kept)) and {100, 700, 10} <= set(kept) and 11 not in kept
+            assert sum(r.doc_id is None for r in after) == sum(r.doc_id is None for r in before)
+        else:
+            assert len(after) == len(before)
+        docs = spark.createDataFrame(after, docs.schema)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in docs.collect()}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).collect() == []
+
+
+@pytest.mark.parametrize("number", range(1, 5))
+def test_later_stages_by_themselves(spark, sf_dir, number):
+    docs = frame(spark, documents())
+    name, stage = corpus_pipeline.STAGES[number]
+    out = stage(spark, docs, sf_dir).collect()
+    silent = {i for i, t in documents() if not (t or "").strip()}
+    assert silent <= {r.doc_id for r in out}, name
+
+
+def test_run_leaves_its_result_alone(spark, sf_dir):
+    from doclattice.llm import common
+
+    mark = len(common.MADE)
+    rows = corpus_pipeline.run(spark, sf_dir)
+    assert len(common.MADE) == mark + 1 and rows.count() > 0
+
+
 def test_registered_queries(spark, sf_dir):
     columns = {
         "op1": ["page_id", "host", "path", "rule", "verdict"], "op2": ["doc_id", "held_out", "lang_pred", "score"], "op3": ["doc_id"], "op4": ["doc_id", "start", "n_tokens", "ids_crc32"], "op5": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],

@@ -336,6 +336,30 @@ def test_random_strings_without_digits(spark):
     assert [r.text for r in secret_scan.redact(frame(spark, [(1, text)]), VOCABULARY).collect()] == [text.replace(keys[0], "[SECRET]")]
 
 
+def test_recall_of_random_strings(spark):
+    import random
+    import string
+
+    rng = random.Random(5)
+    letters = string.ascii_letters
+    kinds = {"base62": letters + string.digits, "base64": letters + string.digits + "+/", "letters": letters, "lower": string.ascii_lowercase, "capitals": string.ascii_uppercase + string.digits, "marks": letters + string.digits + "_-"}
+    planted, rows = {}, []
+    for kind, alphabet in kinds.items():
+        for n in (20, 24, 32, 40, 64):
+            for _ in range(30):
+                key = "".join(rng.choice(alphabet) for _ in range(n))
+                planted[len(rows)] = (kind, f"{prose(len(rows), 12)} {key} {prose(len(rows) + 1, 12)}", key)
+                rows.append((len(rows), planted[len(rows)][1]))
+    found = {r.doc_id: r for r in secret_scan.scan(frame(spark, rows), VOCABULARY).collect()}
+    hits = dict.fromkeys(kinds, 0)
+    for k, (kind, text, key) in planted.items():
+        at = len(text[: text.index(key)])
+        hits[kind] += f"random:{at}:{at + len(key)}" in found[k].spans.split(",")
+    assert all(n >= 0.95 * 150 for n in hits.values()), hits
+    clean = secret_scan.scan(frame(spark, [(k, prose(k, 400)) for k in range(30)]), VOCABULARY).collect()
+    assert not any(r.spans for r in clean)
+
+
 def test_secrets_beside_base_spans(spark):
     second, a, b = "wJalrXUtnFEMI7K7MDENGbPxRfiCY", "q8Zr2LxV0p", "Tn4KdY7uWc"
     digest = "3fa94c0be648d68b816f88c209136eb5"
