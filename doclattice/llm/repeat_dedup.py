@@ -51,6 +51,8 @@ WIDTH = LEFT + LEAST
 CLASS = 4  # windows of a class share a core of LEAST - CLASS + 1 bytes
 HOT = 20_000
 STRETCH = 8 << 20
+#: A bucket of the shuffle has about so much text behind it, and a task sends its anchors after so much.
+BUCKET_BYTES, FLUSH_BYTES = 24 << 20, 64 << 20
 NO_ID = np.iinfo(np.int64).max
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
@@ -158,8 +160,25 @@ def _rows(name: str, bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[
 # -- step 2: repeated anchors
 
 
+def _portions(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches of a task by some ``limit`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _anchor_entries(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for portion in _portions(batches, FLUSH_BYTES):
+            yield from entries(portion)
+
+    def entries(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         H, R, docs, ths, homes, base = [], [], [], [], [], 0
         for batch in batches:
             data, off = c.text_buffers(batch.column(1))
@@ -606,7 +625,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id", text
     """One row per document: bytes, removed bytes, removed runs, SHA-256 of what is kept."""
     spark = docs.sparkSession
     place = docs if c.from_files(docs) else c.materialize(c.keyed(docs, id_col, text_col), "texts")
-    buckets = next_prime(max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    size = place.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("bigint"))).first()[0] or 0
+    buckets = next_prime(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES))
     block = F.xxhash64(F.col("_metadata.file_path"), F.shiftright(F.col("_metadata.row_index"), 12))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = place.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), F.pmod(block, F.lit(buckets)).cast("int").alias("home"))

@@ -35,6 +35,8 @@ from .encode import encoder
 
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 LENGTH, ROWS_PER_BATCH = 1024, 1024
+#: A shard has about so much text, where that makes more shards than there are partitions.
+SHARD_BYTES = 64 << 20
 
 
 # -- the format
@@ -130,7 +132,8 @@ class ShardReader:
 def write(docs: DataFrame, tokenizer: str, place: str, end: int = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
     """Encode ``docs`` and write them below ``place``; returns (shard, documents, ids) in id order."""
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = 0 if shards else c.keyed(docs, text_col).toDF("text").agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
     ids = c.keyed(docs, id_col).toDF("doc_id").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     cuts = ids.stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
     bounds = np.unique(np.array(cuts, np.float64)).astype(np.int64)
@@ -168,6 +171,10 @@ def write(docs: DataFrame, tokenizer: str, place: str, end: int = 2, shards: int
     return [(f"{place}/shard-{r[0]:06d}", r[1], r[2]) for r in sorted(made)]
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 def read(spark: SparkSession, shards: list[tuple[str, int, int]]) -> DataFrame:
     """One row per document, from the files alone: where its ids begin in the corpus, how many, their crc."""
     rows, at = [], 0
@@ -178,11 +185,13 @@ def read(spark: SparkSession, shards: list[tuple[str, int, int]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for place, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out: tuple[list, list, list, list] = ([], [], [], [])
+                out: list[tuple] = []
                 for doc, start, ids in ShardReader(place).documents():
-                    for column, value in zip(out, (doc, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    out.append((doc, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    if len(out) == 10_000:
+                        yield _batch(out)
+                        out = []
+                yield _batch(out)
 
     if not rows:
         return spark.createDataFrame([], SCHEMA)

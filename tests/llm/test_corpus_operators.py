@@ -419,3 +419,21 @@ def test_shared_windows():
     for k, t in enumerate(texts):
         want = [p for p in range(len(t) - 49) if any(t[p : p + 50] in x for x in texts[:k])]
         assert sorted(got[k]) == want
+
+
+def test_repeats_in_small_portions(spark, monkeypatch):
+    monkeypatch.setattr(repeat_dedup, "FLUSH_BYTES", 1 << 10)
+    monkeypatch.setattr(repeat_dedup, "BUCKET_BYTES", 1 << 12)
+    docs = documents() + [(500 + k, prose(90 + k, 10 + k) + " " + prose(77, 70)[k:] + " " + prose(60, 12 + k % 5)) for k in range(25)]
+    got = repeat_dedup.remove_repeats(frame(spark, docs).repartition(2)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute_repeats(docs)
+
+
+def test_token_files_by_bytes(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(token_stream, "SHARD_BYTES", 4 << 10)
+    docs = documents()
+    shards = token_stream.write(frame(spark, docs), TOKENIZER, common.scratch(spark, "tokens"))
+    assert len(shards) > 4  # more than partitions
+    got = sorted((tuple(r) for r in token_stream.read(spark, shards).collect()), key=lambda r: r[1])
+    want = [(i, len(ids_of(tokenizer, t)), crc(ids_of(tokenizer, t))) for i, t in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0))]
+    assert sorted(map(str, [(g[0], g[2], g[3]) for g in got])) == sorted(map(str, want)) and [g[0] for g in got] == [w[0] for w in want]
