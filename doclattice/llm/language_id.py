@@ -244,14 +244,14 @@ def label_batch(model: Model, batch_text: pa.Array, penalty: float) -> tuple[lis
 
 
 def _portions(batches: Iterator[pa.RecordBatch], at: int, n_labels: int) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches whose word scores fit in some 50 MB, however many labels there are; longest texts first."""
+    """Parts of the batches whose word scores fit in some 25 MB, however many labels there are; longest texts first."""
     c.release()
     for batch in batches:
         _, off = c.text_buffers(batch.column(at))
         size = np.diff(off)
         order = np.argsort(-size, kind="stable")  # texts of like length take the path search's steps together
         off = np.concatenate([[0], np.cumsum(size[order])])
-        for i, j in c.chunks(off, max(c.CHUNK_BYTES, (32 << 20) // max(4, n_labels))):
+        for i, j in c.chunks(off, max(c.CHUNK_BYTES, (16 << 20) // max(4, n_labels))):
             yield batch.take(pa.array(order[i:j]))
 
 
