@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import config
 from .functions.scalars import percent
 from .operators import findings, fuzzy, history, keys, predicates, prose, registry, scoring, versions
 from .sinks import render
 
+VERSION = "0.2.0"
+
 
 @dataclass
 class Options:
@@ -37,29 +40,70 @@ class Surface:
     members: DataFrame | None = None
     facts: DataFrame | None = None
     package: str = ""
+    type_params: DataFrame | None = None
+    doc_type_params: DataFrame | None = None
+    property_tags: DataFrame | None = None
+    example_facts: DataFrame | None = None
+    examples: DataFrame | None = None
+    example_results: DataFrame | None = None
+    builtins: DataFrame | None = None
+
+
+def _gates(exports: DataFrame) -> DataFrame:
+    """Exports with what the detectors' gates read; a surface that says nothing of tags or examples may have both."""
+    out = exports
+    for name in ("has_tags", "has_example"):
+        if name not in out.columns:
+            out = out.withColumn(name, F.lit(True))
+    return out if "export_pos" in out.columns else out.withColumn("export_pos", F.lit(0))
 
 
 def lint(s: Surface, options: Options = Options()) -> DataFrame:
-    """All findings in the order of the detectors; none where linting is off."""
-    parts: list[DataFrame] = []
+    """All findings in the order of the detectors, each for the exports that have what it reads; none where linting is off.
+
+    Detectors of parameters, results, type parameters, deprecation, visibility, promises and
+    properties; then examples; then links; then what running the examples gave.
+    """
+    tags: list[DataFrame] = []
     if s.params is not None and s.doc_params is not None:
-        parts += [findings.param_names(s.params, s.doc_params), findings.optionality(s.params, s.doc_params), findings.param_types(s.params, s.doc_params)]
+        tags += [findings.param_names(s.params, s.doc_params), findings.optionality(s.params, s.doc_params), findings.param_types(s.params, s.doc_params)]
     if s.returns is not None:
-        parts.append(findings.return_types(s.returns))
-    parts.append(findings.deprecation(s.exports))
+        tags.append(findings.return_types(s.returns))
+    if s.type_params is not None and s.doc_type_params is not None:
+        tags.append(findings.generic_constraints(s.type_params, s.doc_type_params))
+    tags.append(findings.deprecation(s.exports))
     if s.visibility is not None:
-        parts.append(findings.visibility(s.visibility))
+        tags.append(findings.visibility(s.visibility))
     if s.returns is not None:
-        parts.append(findings.asynchrony(s.returns))
-    if s.link_texts is not None:
-        parts.append(findings.broken_links(s.link_texts, registry.names(s.exports, members=s.members)))
-    out = findings.all_findings(s.exports, parts)
+        tags.append(findings.asynchrony(s.returns))
+    if s.property_tags is not None:
+        tags.append(findings.property_types(s.property_tags))
+    examples: list[DataFrame] = []
+    if s.example_facts is not None and s.builtins is not None:
+        known = s.exports.groupBy("name").agg(F.min("export_pos").alias("pos"))
+        examples.append(findings.unknown_identifiers(s.example_facts, known, s.builtins))
+    if s.examples is not None and s.example_results is not None:
+        examples += [findings.runtime_failures(s.examples, s.example_results), findings.failed_assertions(s.examples, s.example_results)]
+    links = [] if s.link_texts is None else [findings.broken_links(s.link_texts, registry.names(s.exports, members=s.members))]
+    out = findings.lint_run(_gates(s.exports), tags, examples, links)
     return out if options.lint else out.limit(0)
 
 
 def prose_lint(s: Surface) -> DataFrame:
-    """Imports of names that the package lacks, in the code of its documentation."""
-    return prose.broken_imports(s.facts, registry.names(s.exports), s.package)
+    """Code in the documentation against the package: imports that it lacks, members that no type has, deprecated names."""
+    columns = ["path", "block", "line", "type", "target"]
+    out = prose.broken_imports(s.facts, registry.names(s.exports), s.package)
+    if s.members is None or s.builtins is None or "return_type" not in s.exports.columns:
+        return out.select(*columns)
+    builders = registry.return_owner(s.exports).where("gives IS NOT NULL")
+    out = out.select(*columns).unionByName(prose.unresolved_members(s.facts, s.package, registry.names(s.exports), s.members, builders, s.builtins).select(*columns))
+    notes = s.exports
+    for name in ("reason", "tag_text"):
+        if name not in notes.columns:
+            notes = notes.withColumn(name, F.lit(None).cast("string"))
+    flags = s.members.select("class", "member", F.coalesce("deprecated", F.lit(False)).alias("deprecated"))
+    old = prose.deprecated_references(s.facts, s.package, registry.deprecated_exports(notes), registry.member_owners(flags), builders, flags)
+    return out.unionByName(old.select(*columns))
 
 
 def coverage(s: Surface, options: Options = Options()) -> DataFrame:
@@ -71,9 +115,19 @@ def coverage_all(s: Surface) -> DataFrame:
     return scoring.coverage_rollup(s.exports)
 
 
-def scan(s: Surface, options: Options = Options()) -> DataFrame:
-    """Coverage, issues, health and gate of each package."""
-    return scoring.batch_scan(scoring.package_coverage(s.exports, options.skip_external), lint(s, options), options.minimum)
+def scan(s: Surface, options: Options = Options(), pages: DataFrame | None = None) -> DataFrame:
+    """Coverage, issues (of the surface and of the prose about it), health and gate of each package.
+
+    ``pages``: the result of ``docs_map``; a page that fails holds every package back.
+    """
+    issues = lint(s, options).select("spec_id", "export_key")
+    if s.facts is not None and options.lint:
+        issues = issues.unionByName(prose_lint(s).select(F.lit(s.package).alias("spec_id"), F.lit(None).cast("string").alias("export_key")))
+    out = scoring.batch_scan(scoring.package_coverage(s.exports, options.skip_external), issues, options.minimum)
+    if pages is not None:
+        failed = pages.where("status = 'fail'").isEmpty()
+        out = out.withColumn("passes", F.col("passes") & F.lit(failed))
+    return out
 
 
 def health(s: Surface, options: Options = Options()) -> DataFrame:
@@ -194,12 +248,34 @@ def snapshot(s: Surface) -> DataFrame:
     return documented.groupBy("spec_id").agg(F.count("*").alias("exports"), F.count_if("documented").alias("documented")).withColumn("coverage", percent("documented", "exports"))
 
 
+def init(s: Surface) -> DataFrame:
+    """The minimum that a first configuration sets: five points below the worst package."""
+    return scoring.initial_threshold(scoring.package_coverage(s.exports))
+
+
+def config_rows(spark: SparkSession, settings: config.Config) -> DataFrame:
+    """A configuration as rows (key, value)."""
+    return spark.createDataFrame(config.as_rows(settings), "key string, value string")
+
+
 COMMANDS = {
     "scan": scan, "health": health, "coverage": coverage, "lint": lint, "list": listing, "get": get, "extract": extract, "filter": filtered, "validate": validate, "diff": diff, "breaking": breaking, "semver": semver,
-    "changelog": changelog, "docs-map": docs_map, "ci": ci, "release": release, "report": report, "context": context, "examples": examples, "cache": cache_status,
+    "changelog": changelog, "docs-map": docs_map, "ci": ci, "release": release, "report": report, "context": context, "examples": examples, "cache": cache_status, "init": init, "config": config_rows,
 }
 
 
 def capabilities() -> list[dict[str, str]]:
     """The commands with what they do, for machines."""
     return [{"name": k, "summary": (f.__doc__ or f.__name__.replace("_", " ")).strip().split("\n")[0]} for k, f in COMMANDS.items()]
+
+
+#: Commands that assistants may call by name.
+TOOLS = ("extract", "list", "get", "scan", "lint", "coverage", "health", "diff", "breaking")
+
+
+def call_tool(tool: str, *args, **options) -> DataFrame:
+    """One JSON line: the result of a command in its envelope, or an error where there is no such tool."""
+    if tool not in TOOLS:
+        spark = next(x.sparkSession for x in (args[0].exports if isinstance(args[0], Surface) else args[0],))
+        return render.error_envelope(spark, tool, f"no tool {tool}", not_found=True)
+    return render.envelope(COMMANDS[tool](*args, **options), tool, VERSION)

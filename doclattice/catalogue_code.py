@@ -85,6 +85,35 @@ def _(spark, sf):
     return findings.with_issue(e).select("export_key", "issue")
 
 
+@query("scan_whole", _run_sql() + f""", i AS (SELECT spec_id, export_key FROM lint WHERE detector NOT IN (9) UNION ALL SELECT 'Brand#1', NULL FROM exports WHERE size % 10 = 0),
+c AS (SELECT spec_id, count(*) AS exports, count(*) FILTER ({_DOC}) AS documented FROM exports WHERE NOT (source_package IS NOT NULL AND source_file IS NULL) GROUP BY 1), n AS (SELECT spec_id, count(*) AS issues, count(DISTINCT export_key) AS with_issues FROM i GROUP BY 1)
+SELECT c.spec_id, exports, documented, CAST(floor(100.0::DOUBLE * documented / exports + 0.5) AS INT) AS score, coalesce(issues, 0) AS issues, coalesce(with_issues, 0) AS with_issues,
+CAST(floor(0.5::DOUBLE * CAST(floor(100.0::DOUBLE * documented / exports + 0.5) AS INT) + 0.5::DOUBLE * CASE WHEN documented > 0 THEN CAST(floor(100.0::DOUBLE * greatest(0, documented - coalesce(with_issues, 0)) / documented + 0.5) AS INT) ELSE 100 END + 0.5) AS INT) AS health, false AS passes FROM c LEFT JOIN n USING (spec_id)""", *_SURFACE)
+def _(spark, sf):
+    """A scan of whole packages: all detectors, code in prose, and a docs map with a failing page."""
+    e = derive(spark, sf, "exports").withColumns({"has_tags": F.expr(_TAGGED), "has_example": F.expr(_EXAMPLE)})
+    tag = F.when(F.col("size") % 5 == 0, "internal").when(F.col("size") % 5 == 1, "public").when(F.col("size") % 5 == 2, "private").when(F.col("size") % 5 == 3, "alpha")
+    a = e.select("export_key", F.lit(1).alias("pos"), F.concat(F.lit("T"), (F.col("size") % 5).cast("string")).alias("name"), F.when(F.col("size") % 3 != 0, F.concat(F.lit("C"), (F.col("size") % 4).cast("string"))).alias("constraint"))
+    facts = e.select(F.col("export_key").alias("path"), F.lit(1).alias("block"), F.lit("import").alias("fact"), F.concat("name", F.when(F.col("size") % 10 == 0, "Gone").otherwise("")).alias("name"), F.lit("Brand#1").alias("module"), F.lit("named").alias("kind"), F.lit(1).alias("line"))
+    s = api.Surface(
+        e, derive(spark, sf, "params"), derive(spark, sf, "doc_params"), derive(spark, sf, "returns"), facts=facts, package="Brand#1",
+        visibility=e.select("export_key", F.col("name").alias("target"), F.array_compact(F.array(F.lit("see"), tag)).alias("tag_names"), F.when(F.col("size") % 7 < 3, "private").alias("actual")),
+        link_texts=e.select("export_key", F.concat(F.lit("see {@link "), F.col("name"), F.when(F.col("size") % 3 == 0, "Gone").otherwise(""), F.lit("}")).alias("text")),
+        type_params=a, doc_type_params=a.withColumn("constraint", F.when(F.substring("export_key", -1, 1).isin("1", "3"), F.concat(F.coalesce("constraint", F.lit("")), F.lit("x"))).otherwise(F.col("constraint"))),
+        property_tags=e.select("export_key", F.lit("field").alias("name"), F.when(F.col("size") % 2 == 0, "string").otherwise("number").alias("type"), F.lit("{number} text").alias("tag_text")),
+    )
+    return api.scan(s, pages=_rows(spark, "page string, status string", ("a.md", "pass"), ("b.md", "fail")))
+
+
+@query("tool_call", "SELECT 'coverage' AS command, (SELECT count(DISTINCT spec_id) FROM exports WHERE NOT (source_package IS NOT NULL AND source_file IS NULL)) AS rows, true AS ok UNION ALL SELECT 'nothing', NULL, false", "exports")
+def _(spark, sf):
+    """A command called by name, and one that there isn't."""
+    s = api.Surface(derive(spark, sf, "exports"))
+    line = api.call_tool("coverage", s).select(F.from_json("value", "ok boolean, data array<struct<spec_id:string>>, meta struct<command:string>").alias("v")).select("v.meta.command", F.size("v.data").cast("bigint").alias("rows"), "v.ok")
+    bad = api.call_tool("nothing", s).select(F.from_json("value", "ok boolean, command string").alias("v")).select("v.command", F.lit(None).cast("bigint").alias("rows"), "v.ok")
+    return line.unionByName(bad)
+
+
 # -- prose
 
 

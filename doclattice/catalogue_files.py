@@ -300,6 +300,24 @@ def _(spark, sf):
     return markdown.mentions(p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), content.alias("content")))
 
 
+@query("folder_tree", "SELECT concat('n', n_nationkey, '.txt') AS name, n_name AS text, false AS folder FROM nation UNION ALL SELECT 'inner', NULL, true UNION ALL SELECT 'missing', NULL, false")
+def _(spark, sf):
+    """A file tree by its interface: names, contents, kinds; what isn't there has no text and is no folder."""
+    path = _folder(spark, "tree")
+    n = table(spark, sf, "nation")
+    _single(n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".txt")).alias("name"), F.col("n_name").alias("value")).unionByName(spark.createDataFrame([("inner/x", "y")], "name string, value string")), path)
+    tree = files.Folder(spark, path)
+    return spark.createDataFrame([(name, tree.text(name), tree.is_folder(name)) for name in [*tree.names(), "missing"]], "name string, text string, folder boolean")
+
+
+@query("workspace_folders", "SELECT unnest(['apps/*', 'packages/*', 'libs/a', 'packages/*', 'packages/*']) AS folder, unnest(['pnpm', 'pnpm', 'manifest', 'manifest', 'none']) AS source")
+def _(spark, sf):
+    """Workspace folders by manifest, by the other file, and by default."""
+    pnpm = "packages:\n  - 'apps/*' # all\n  - packages/*\nother:\n  - x\n"
+    found = [(g, "pnpm") for g in files.workspace_globs({}, pnpm)] + [(g, "manifest") for g in files.workspace_globs({"workspaces": ["libs/a"]}, pnpm)] + [(g, "none") for g in files.workspace_globs(None)]
+    return spark.createDataFrame(found, "folder string, source string")
+
+
 # -- REST documents and contracts
 
 

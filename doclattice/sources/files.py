@@ -13,7 +13,7 @@ ANNOTATIONS = ("internal", "deprecated", "ignore")
 
 
 def history_log(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines; malformed lines are dropped. ``seq`` follows the order of the log."""
+    """JSON lines; malformed lines are dropped. ``seq`` follows the order within a file, so of one date in a log that is partitioned by date."""
     rows = spark.read.schema(HISTORY + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
     return rows.where("_bad IS NULL AND date IS NOT NULL").withColumn("seq", F.monotonically_increasing_id()).drop("_bad")
 
@@ -148,6 +148,34 @@ def workspace_globs(manifest: dict | None, pnpm_yaml: str | None = None, lerna:
     return [*dict.fromkeys([*globs, "packages/*"])]
 
 
+class Folder:
+    """A file tree behind any file system that Spark reaches: what is there, what a file holds, what a folder lists."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._root, self._spark = root.rstrip("/"), spark
+        self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._path(f"{self._root}/{name}" if name else self._root)
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
+    def is_folder(self, name: str) -> bool:
+        return self.exists(name) and self._fs.getFileStatus(self._at(name)).isDirectory()
+
+    def names(self, name: str = "") -> list[str]:
+        """Names in a folder, in order; none where it isn't there."""
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(name))) if self.is_folder(name) else []
+
+    def text(self, name: str) -> str | None:
+        """What a file holds; nothing where it isn't there."""
+        if not self.exists(name) or self.is_folder(name):
+            return None
+        return self._spark.read.text(f"{self._root}/{name}", wholetext=True).first()[0]
+
+
 def write_docs_map(pages: DataFrame, path: str) -> None:
     """A docs map (page, type, baseline) as one JSON document, pages in order: a scaffold, or lowered baselines."""
     rows = pages.select("page", "type", F.col("baseline").cast("int").alias("baselineGaps"))
