@@ -44,7 +44,7 @@ def query(name: str, sql: str | None = None, *derived: str) -> Callable[[Query],
 
 def _all() -> None:
     """Register the queries of the other modules, too."""
-    from . import catalogue_code, catalogue_files, catalogue_text  # noqa: F401
+    from . import catalogue_code, catalogue_files, catalogue_support, catalogue_text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

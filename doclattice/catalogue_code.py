@@ -221,10 +221,10 @@ def _(spark, sf):
     return out.select("export_key", F.array_join("include", ",").alias("include"), F.array_join("exclude", ",").alias("exclude"))
 
 
-@query("filter_missing", "SELECT concat(p_name, '!') AS name FROM part WHERE p_size = 3 GROUP BY 1", "exports")
+@query("filter_missing", "SELECT concat(p_name, '!') AS name FROM part GROUP BY 1", "exports")
 def _(spark, sf):
     e = derive(spark, sf, "exports")
-    wanted = table(spark, sf, "part").where("p_size = 3").select(F.concat(F.lit(" "), "p_name", F.lit("! ")).alias("name")).unionByName(e.select(F.upper("name").alias("name"))).unionByName(e.select("export_key").toDF("name"))
+    wanted = table(spark, sf, "part").select(F.concat(F.lit(" "), "p_name", F.lit("! ")).alias("name")).unionByName(e.select(F.upper("name").alias("name"))).unionByName(e.select("export_key").toDF("name"))
     return predicates.missing_names(wanted, e)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import assertions, braces_type, error_line, has_plain_comment, is_promise, lines, link_targets, normalize_type, present, trim, truthy, types_equivalent
@@ -132,6 +132,17 @@ def runtime_failures(examples: DataFrame, results: DataFrame) -> DataFrame:
     return _finding(bad, "example-runtime", F.concat(F.lit("example "), F.col("ex_pos").cast("string")), actual=F.when(late, "timeout").otherwise(error_line("stderr")))
 
 
+def example_positions(examples: DataFrame) -> DataFrame:
+    """Adds ``index``, the place of an example among those of its surface (spec_id, export_pos, ex_pos), from 0."""
+    return examples.withColumn("index", F.row_number().over(Window.partitionBy("spec_id").orderBy("export_pos", "ex_pos")) - 1)
+
+
+def placed_errors(errors: DataFrame, examples: DataFrame) -> DataFrame:
+    """Errors by the place of their example (spec_id, index) with the export; of exports with one name the first stands for all."""
+    first = examples.groupBy("spec_id", "name").agg(F.min_by("export_key", "export_pos").alias("export_key"))
+    return errors.join(example_positions(examples).select("spec_id", "index", "name", "ex_pos"), ["spec_id", "index"]).join(first, ["spec_id", "name"])
+
+
 def string_examples(examples: DataFrame) -> DataFrame:
     """Code of each example (export_key, examples as JSON texts): a text, or the code of an object; others are left out."""
     code = lambda x: F.when(x.startswith('"'), F.from_json(F.concat(F.lit('{"c":'), x, F.lit("}")), "c string")["c"]).otherwise(F.get_json_object(x, "$.code"))

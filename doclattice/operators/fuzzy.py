@@ -33,19 +33,33 @@ def closeness(source: Column, candidate: Column) -> Column:
     return F.when(fits, total)
 
 
+def _word_pairs(words: Column, every_word: bool) -> Column:
+    """Two words of a name, in order, for all of them; a word with itself if it is repeated, or for ``every_word``."""
+    own = F.array_sort(F.array_distinct(words))
+    pairs = F.flatten(F.transform(own, lambda w, i: F.transform(F.slice(own, i + 2, F.size(own)), lambda v: F.concat_ws(" ", w, v))))
+    twice = own if every_word else F.filter(own, lambda w: F.size(F.filter(words, lambda v: v == w)) > 1)
+    return F.concat(pairs, F.transform(twice, lambda w: F.concat_ws(" ", w, w)))
+
+
 def closest(sources: DataFrame, candidates: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The best candidate of each source (source, candidate, score, distance); ties keep the earliest.
 
     ``candidates`` has candidate and pos. Names with the same first letter (case ignored) and
-    lengths that differ by at most three are compared, found by an equi-join on letter and
-    length; sources without any are compared with the first ``FALLBACK`` candidates instead.
+    lengths that differ by at most three are compared; sources without any are compared with
+    the first ``FALLBACK`` candidates instead. As a candidate needs two words in common, pairs
+    are found by an equi-join on the letter and two words of the name (a word that the source
+    repeats stands for two), so names that share a common word alone never meet.
     """
     by = by or []
     letter = lambda c: F.lower(F.substring(c, 1, 1))
-    left = sources.withColumns({"letter": letter("source"), "size": F.explode(F.sequence(F.length("source") - 3, F.length("source") + 3))})
-    right = candidates.withColumns({"letter": letter("candidate"), "size": F.length("candidate")})
-    near = left.join(right, [*by, "letter", "size"]).select(*by, "source", "candidate", "pos")
-    lonely = sources.join(near.select(*by, "source").distinct(), [*by, "source"], "left_anti")
+    left = sources.distinct().withColumns({"letter": letter("source"), "keys": _word_pairs(camel_words("source"), False)})
+    right = candidates.withColumns({"letter": letter("candidate"), "keys": _word_pairs(camel_words("candidate"), True)})
+    left, right = (x.withColumn("key", F.explode("keys")).drop("keys") for x in (left, right))
+    near = left.join(right, [*by, "letter", "key"]).where(F.abs(F.length("source") - F.length("candidate")) <= 3).select(*by, "source", "candidate", "pos").distinct()
+    # whether there is any name to compare with depends on letters and lengths alone
+    sizes = candidates.select(*by, letter("candidate").alias("letter"), F.length("candidate").alias("size")).distinct()
+    met = sources.withColumns({"letter": letter("source"), "size": F.explode(F.sequence(F.length("source") - 3, F.length("source") + 3))}).join(sizes, [*by, "letter", "size"], "left_semi").select(*by, "source").distinct()
+    lonely = sources.join(met, [*by, "source"], "left_anti")
     if by:
         first = candidates.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("pos"))).where(F.col("__n") <= FALLBACK).drop("__n")
         rest = lonely.join(first, by).select(*by, "source", "candidate", "pos")

@@ -17,6 +17,11 @@ def type_keys(members: DataFrame) -> DataFrame:
     return members.groupBy("type", "key").agg(F.min("pos").alias("pos"), last("deprecated"), last("reason"), last("internal"))
 
 
+def all_type_keys(members: DataFrame) -> DataFrame:
+    """Keys of any type, each once."""
+    return members.where("key IS NOT NULL").select("key").distinct()
+
+
 def candidate_types(keys: DataFrame, least: int = 3) -> DataFrame:
     """Types with enough keys to be documented by a table."""
     return keys.groupBy("type").agg(F.count_distinct("key").alias("n")).where(F.col("n") >= least).select("type")

@@ -69,6 +69,39 @@ def gate(health: Column | str, minimum: Column | str, docs_pass: Column | str |
     return (col(health) >= col(minimum)) & (F.coalesce(col(docs_pass), F.lit(True)) if docs_pass is not None else F.lit(True))
 
 
+def has_filters(*lists: Column | str) -> Column:
+    """Whether any of the lists has an entry."""
+    out = F.lit(False)
+    for x in lists:
+        out = out | (F.coalesce(F.size(col(x)), F.lit(0)) > 0)
+    return out
+
+
+#: Names that a language and its libraries define: primitives, utility types, collections, errors.
+BUILTIN_TYPES = tuple(
+    "any bigint boolean false function never null number object string symbol this true undefined unknown void "
+    "Array ArrayBuffer AsyncGenerator AsyncIterable AsyncIterator Awaited BigInt Boolean Buffer Capitalize ConstructorParameters DataView Date Error EvalError Exclude Extract File FormData Function Generator Headers "
+    "Infinity InstanceType Iterable IterableIterator Iterator JSON Lowercase Map Math NaN NoInfer NonNullable Number Object Omit Parameters Partial Pick Promise PromiseLike Proxy RangeError Readonly ReadonlyArray ReadonlyMap ReadonlySet "
+    "Record ReferenceError Reflect RegExp Request Required Response ReturnType Set SharedArrayBuffer String Symbol SyntaxError ThisType TypeError URIError URL URLSearchParams Uncapitalize Uppercase WeakMap WeakRef WeakSet".split()
+)
+#: Methods of arrays, texts, maps, promises and the like, which any local value may have.
+BUILTIN_METHODS = tuple(
+    "add all any apply at bind call catch charAt clear concat delete endsWith entries every fill filter finally find findIndex findLast flat flatMap forEach get has hasOwnProperty includes indexOf join keys lastIndexOf length map match matchAll next "
+    "padEnd padStart pop push race reduce reduceRight repeat replace replaceAll reverse search set shift slice some sort splice split startsWith substring then toFixed toISOString toLocaleString toLowerCase toString toUpperCase trim trimEnd trimStart unshift valueOf values".split()
+)
+
+
+def builtin_type_name(name: Column | str) -> Column:
+    """A type parameter, an anonymous type, a name of the language or of a family of its libraries."""
+    n = col(name)
+    return F.coalesce(n.rlike("^[A-Z]$") | n.startswith("__") | n.isin(*BUILTIN_TYPES) | n.rlike(r"^(?:(?:Big)?(?:Int|Uint|Float)(?:8|16|32|64)(?:Clamped)?Array|(?:HTML|SVG)\w*Element|\w+Event(?:Map|Init)?|Intl\w*)$"), F.lit(False))
+
+
+def builtin_methods(spark) -> DataFrame:
+    """The built-in methods as a table (name), a fixed list."""
+    return spark.createDataFrame([(m,) for m in BUILTIN_METHODS], "name string")
+
+
 # -- first and last of equal keys
 
 

@@ -41,6 +41,13 @@ def module_graph(exports: DataFrame) -> DataFrame:
     return exports.groupBy("name").agg(F.min_by("spec_id", F.struct("module_pos", "export_pos")).alias("module"), F.count_distinct("spec_id").alias("modules"))
 
 
+def find_entry(wanted: DataFrame, exports: DataFrame, types: DataFrame) -> DataFrame:
+    """The entry that each wanted name (name) stands for: an export, else a type, else nothing; the first of equal names."""
+    both = exports.select("name", "export_key", "export_pos", F.lit(0).alias("rank")).unionByName(types.select("name", "export_key", "export_pos", F.lit(1).alias("rank")))
+    first = both.groupBy("name").agg(F.min(F.struct("rank", "export_pos", "export_key")).alias("e"))
+    return wanted.select("name").distinct().join(first, "name", "left").select("name", F.col("e.export_key").alias("export_key"), F.when(F.col("e.rank") == 0, "export").when(F.col("e.rank") == 1, "type").alias("place"))
+
+
 def find_module(wanted: DataFrame, exports: DataFrame, types: DataFrame) -> DataFrame:
     """The module of each wanted name; exports come before types."""
     first = lambda df: df.groupBy("name").agg(F.min_by("spec_id", "module_pos").alias("module"))

@@ -71,6 +71,23 @@ def member_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return df.join(best, ["class", "member", "change"], "left")
 
 
+def distinct_changes(changes: DataFrame) -> DataFrame:
+    """Changes of members (class, member, change, pos), each once; the first counts."""
+    return first_wins(changes, ["class", "member", "change"], "pos")
+
+
+def change_kind(diff: DataFrame, new_names: DataFrame) -> DataFrame:
+    """What a breaking change (id) means for documentation: ``removed`` where the new side lacks the name, else ``signature-changed``."""
+    there = new_names.select(F.col("name").alias("id"), F.lit(True).alias("there")).distinct()
+    return diff.where("change = 'breaking'").join(there, "id", "left").select("id", F.when(F.col("there").isNull(), "removed").otherwise("signature-changed").alias("kind"))
+
+
+def signatures_equal(a: Column | str, b: Column | str) -> Column:
+    """Equality of two signatures as JSON text: the order of keys matters, and a missing one equals a missing one only."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    return x.eqNullSafe(y)
+
+
 def coverage_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row: mean stored scores of both sides (missing is 0, empty is 0), exports that got better or worse by id."""
     mean = lambda df, n: df.agg(F.coalesce(half_up(F.avg(F.coalesce(F.col("score").cast("double"), F.lit(0.0)))), F.lit(0)).alias(n))

@@ -148,6 +148,55 @@ def workspace_globs(manifest: dict | None, pnpm_yaml: str | None = None, lerna:
     return [*dict.fromkeys([*globs, "packages/*"])]
 
 
+def prune(spark: SparkSession, folder: str, keep: int = 100) -> int:
+    """Delete all snapshot files but the ``keep`` with the newest names; returns how many went."""
+    tree = Folder(spark, folder)
+    gone = [n for n in tree.names() if n.endswith(".json")][::-1][keep:]
+    for name in gone:
+        tree.delete(name)
+    return len(gone)
+
+
+def save_report(df: DataFrame, path: str) -> None:
+    """A report as one JSON document a row, and file."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+
+
+_BUILD = ("dist", "build", "lib", "out", "output", "esm", "cjs", "target")
+_FALLBACKS = ("src/index.ts", "src/index.tsx", "src/main.ts", "src/mod.ts", "src/lib/index.ts", "index.ts", "main.ts", "lib/index.ts", "source/index.ts")
+
+
+def _sources_of(declared: Column, out_dir: Column, root_dir: Column) -> Column:
+    """Where the source of a built file may lie, in order: by the compiler's folders, by usual ones, beside it."""
+    plain = F.regexp_replace(declared, r"^\./", "")
+    ends = ((r"\.js$", ".ts"), (r"\.d\.ts$", ".ts"), (r"\.mjs$", ".mts"), (r"\.cjs$", ".cts"), (r"\.js$", ".tsx"))
+    as_source = lambda p: F.array(*[F.regexp_replace(p, a, b) for a, b in ends])
+    none = F.array().cast("array<string>")
+    o, r = (F.regexp_replace(x, r"^\./|/$", "") for x in (out_dir, root_dir))
+    mapped = F.when(out_dir.isNotNull() & root_dir.isNotNull() & plain.startswith(F.concat(o, F.lit("/"))), as_source(F.concat(r, F.substring(plain, F.length(o) + 1, F.length(plain))))).otherwise(none)
+    usual = F.when(plain.rlike(f"^(?:{'|'.join(_BUILD)})/"), as_source(F.regexp_replace(plain, r"^[^/]+/", "src/"))).otherwise(none)
+    typed = F.when(plain.endswith(".d.ts"), F.array(F.concat(F.lit("src/"), F.regexp_extract(plain, r"([^/]+)\.d\.ts$", 1), F.lit(".ts")))).otherwise(none)
+    own = F.when(plain.rlike(r"(?<!\.d)\.tsx?$"), F.array(plain)).otherwise(none)
+    return F.concat(own, mapped, usual, as_source(plain), typed)
+
+
+def entry_point(fields: dict[str, Column], there: Column, out_dir: Column = F.lit(None), root_dir: Column = F.lit(None)) -> Column:
+    """Struct (path, source, declaration_only): the source behind the first declared entry that there is.
+
+    ``fields``: declared files by the field that names them, in order; ``there``: the package's
+    files. Only where no source is found, the declaration file itself counts; then usual places.
+    """
+    steps = []
+    for source, declared in fields.items():
+        plain = F.regexp_replace(declared, r"^\./", "")
+        found = F.try_element_at(F.filter(_sources_of(declared, out_dir, root_dir), lambda p: F.array_contains(there, p) & ~p.endswith(".d.ts")), F.lit(1))
+        typed = F.when(plain.endswith(".d.ts") & F.array_contains(there, plain), plain)
+        path = F.coalesce(found, typed)
+        steps.append(F.when(path.isNotNull(), F.struct(path.alias("path"), F.lit(source).alias("source"), found.isNull().alias("declaration_only"))))
+    usual = F.try_element_at(F.filter(F.array(*[F.lit(f) for f in _FALLBACKS]), lambda p: F.array_contains(there, p)), F.lit(1))
+    return F.coalesce(*steps, F.when(usual.isNotNull(), F.struct(usual.alias("path"), F.lit("fallback").alias("source"), F.lit(False).alias("declaration_only"))))
+
+
 class Folder:
     """A file tree behind any file system that Spark reaches: what is there, what a file holds, what a folder lists."""
 
@@ -169,6 +218,9 @@ class Folder:
         """Names in a folder, in order; none where it isn't there."""
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(name))) if self.is_folder(name) else []
 
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._at(name), False)
+
     def text(self, name: str) -> str | None:
         """What a file holds; nothing where it isn't there."""
         if not self.exists(name) or self.is_folder(name):
