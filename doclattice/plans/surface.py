@@ -24,14 +24,14 @@ SELECT p_brand AS spec_id, p_partkey AS export_pos, concat('e', CAST(p_partkey A
 FROM {{part}}""",
     "params": """
 SELECT concat('e', CAST(l_partkey AS STRING)) AS export_key, l_linenumber % 2 AS sig_pos,
-  (l_orderkey * 8 + l_linenumber) * 1000000 + l_suppkey AS param_pos,
+  ((l_orderkey * 8 + l_linenumber) * 1000000 + l_suppkey) * 64 + CAST(floor(l_quantity) AS BIGINT) AS param_pos,
   concat('arg', CAST(l_suppkey % 10 AS STRING)) AS name,
   CASE l_returnflag WHEN 'A' THEN 'string' WHEN 'N' THEN 'Array< number >' ELSE 'void' END AS type,
   l_linestatus = 'O' AS required
 FROM {lineitem} WHERE l_linenumber <= 4""",
     "doc_params": """
 SELECT concat('e', CAST(l_partkey AS STRING)) AS export_key,
-  (l_orderkey * 8 + l_linenumber) * 1000000 + l_suppkey AS tag_pos,
+  ((l_orderkey * 8 + l_linenumber) * 1000000 + l_suppkey) * 64 + CAST(floor(l_quantity) AS BIGINT) AS tag_pos,
   CASE WHEN l_linenumber = 5 THEN concat('arg', CAST(l_suppkey % 10 AS STRING), 'x') WHEN l_linenumber = 6 THEN concat('arg', CAST(l_suppkey % 10 AS STRING), '.field') ELSE concat('arg', CAST(l_suppkey % 10 AS STRING)) END AS name,
   CASE WHEN l_quantity > 40 THEN NULL WHEN l_quantity > 25 THEN 'Array<number>' WHEN l_quantity > 10 THEN 'string' ELSE 'undefined' END AS type,
   l_tax > 0.04 AS optional

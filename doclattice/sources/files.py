@@ -180,12 +180,13 @@ def _sources_of(declared: Column, out_dir: Column, root_dir: Column) -> Column:
     return F.concat(own, mapped, usual, as_source(plain), typed)
 
 
-def entry_point(fields: dict[str, Column], there: Column, out_dir: Column = F.lit(None), root_dir: Column = F.lit(None)) -> Column:
+def entry_point(fields: dict[str, Column], there: Column, out_dir: Column | None = None, root_dir: Column | None = None) -> Column:
     """Struct (path, source, declaration_only): the source behind the first declared entry that there is.
 
     ``fields``: declared files by the field that names them, in order; ``there``: the package's
     files. Only where no source is found, the declaration file itself counts; then usual places.
     """
+    out_dir, root_dir = (F.lit(None).cast("string") if x is None else x for x in (out_dir, root_dir))
     steps = []
     for source, declared in fields.items():
         plain = F.regexp_replace(declared, r"^\./", "")
