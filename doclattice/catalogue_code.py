@@ -272,9 +272,10 @@ def _(spark, sf):
     return keys.type_keys(p.select(F.col("p_brand").alias("type"), F.concat(F.lit("k"), F.col("p_size").cast("string")).alias("key"), F.col("p_partkey").alias("pos"), F.when(k(3), k(2)).alias("deprecated"), F.when(k(5), F.col("p_name")).alias("reason"), k(7).alias("internal")))
 
 
-@query("candidate_types", "SELECT p_brand AS type FROM part GROUP BY 1 HAVING count(DISTINCT p_size) >= 40")
+@query("candidate_types", "SELECT p_brand AS type FROM part GROUP BY 1 HAVING count(DISTINCT CASE WHEN right(p_brand, 1) IN ('1', '3', '5') THEN p_size % 3 ELSE p_size END) >= 6")
 def _(spark, sf):
-    return keys.candidate_types(table(spark, sf, "part").select(F.col("p_brand").alias("type"), F.concat(F.lit("k"), F.col("p_size").cast("string")).alias("key")), 40)
+    key = F.when(F.substring("p_brand", -1, 1).isin("1", "3", "5"), F.col("p_size") % 3).otherwise(F.col("p_size"))
+    return keys.candidate_types(table(spark, sf, "part").select(F.col("p_brand").alias("type"), F.concat(F.lit("k"), key.cast("string")).alias("key")), 6)
 
 
 @query("key_order", "SELECT p_brand AS page, p_name AS key, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_name) AS INT) AS by_code, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY lower(p_name), p_name) AS INT) AS by_name FROM (SELECT DISTINCT p_brand, CASE WHEN p_size % 2 = 0 THEN concat(upper(substr(p_name, 1, 1)), substr(p_name, 2, 2), 'X') ELSE concat(substr(p_name, 1, 3), 'a') END AS p_name FROM part)")
