@@ -31,7 +31,8 @@ probability of 3e-4.
 Defined results: null and empty texts have no terms, are no results and as queries have no rows; documents
 with score 0 (no shared term) are no results, so a query may have fewer than k; ties go to
 the smaller id (null first); repeated rows are results of their own; extra columns are ignored; an
-empty table gives an empty result.
+empty table gives an empty result; a very long text is indexed whole, by itself, and its shard
+closes after it.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ K1, B = 1.2, 0.75
 BLOCK = 64
 #: Terms in more than one of so many documents of a shard are rows of a matrix.
 LONG = 64
+#: Size of that matrix, at most; beyond, terms in the most documents go first.
+MATRIX_BYTES = 64 << 20
 #: A shard has at most so many documents and about so many bytes of text.
 SHARD_DOCS, SHARD_BYTES = 16384, 32 << 20
 #: Queries that take a step together.
@@ -226,6 +229,9 @@ class Index:
         # lists in many documents, as matrices by block: contributions, maxima
         self.common = np.full(len(mine), -1)
         long = np.flatnonzero(count * LONG > self.n)
+        most = max(1, MATRIX_BYTES // (4 * self.n_blocks * BLOCK))
+        if len(long) > most:
+            long = np.sort(long[np.argpartition(-count[long], most - 1)[:most]])
         self.common[long] = np.arange(len(long))
         self.dense = np.zeros((self.n_blocks, len(long), BLOCK), np.float32)
         self.b_max = np.zeros((len(long), self.n_blocks), np.float32)

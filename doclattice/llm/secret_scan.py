@@ -26,7 +26,8 @@ runs on the few texts that can match; candidate runs are found by numpy on the b
 
 Defined results: null and empty texts have no spans; positions are code points with an
 exclusive end; repeated rows are judged alike; extra columns are kept by ``redact`` and
-ignored by ``scan``; empty tables give empty results.
+ignored by ``scan``; empty tables give empty results; a very long text is handled whole, by
+itself.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ repeated task leaves a whole file or none. Shard totals (a row per shard) give t
 
 Defined results: null and empty texts are documents of the end id alone; rows with equal
 ids stay apart, in an order of their ids' bytes; empty tables give no shards and an empty result;
-extra columns are ignored.
+extra columns are ignored; the ids of a very long text cross batches of its shard.
 """
 
 from __future__ import annotations

@@ -361,6 +361,7 @@ def test_search_looks_at_pivot_blocks_only(monkeypatch):
 def test_search_cuts_shards(spark, monkeypatch):
     monkeypatch.setattr(bm25_search, "SHARD_DOCS", 7)
     monkeypatch.setattr(bm25_search, "TOGETHER", 3)
+    monkeypatch.setattr(bm25_search, "MATRIX_BYTES", 4 * 64 * 5)
     docs = documents() + [(1000 + k, prose(k % 40, 20 + k % 60)) for k in range(160)]
     got = bm25_search.search(frame(spark, docs).repartition(3), k=7).collect()
     assert sorted([(r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in got], key=str) == brute_search(docs, 7)
