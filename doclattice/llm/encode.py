@@ -25,7 +25,7 @@ _PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_
 #: Characters for which the classes above are those of the library.
 _OTHER = re.compile("[^\x00-ɏ‐-‧‰-⁞€]")
 #: Pieces kept by a worker, some 250 bytes each; those met later are encoded for their batch only.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 400_000
 
 
 class Encoder:
