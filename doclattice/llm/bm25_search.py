@@ -12,15 +12,18 @@ with N, df and the mean length over all documents.
 2. *Thresholds.* Each shard scores its own queries; the k-th score is a threshold that the
    final k-th score can't fall below.
 3. *Block-max WAND.* Every shard meets every block of queries (a stated query set, in blocks
-   that bound the memory). All lists are cut at the same documents, ``BLOCK`` to a block, and
-   have their greatest contribution in each. The sum of a query's maxima bounds every score
-   in a block; where it reaches the threshold the block is a pivot, and all others are passed
-   over without a look at their postings. In pivot blocks alone contributions are added up,
-   and what reaches the threshold is scored exactly, in the order of terms that all shards
-   share. The k-th score so far is the threshold of a task's next shard. All
-   queries of a block take these steps together: lists in many documents are rows of a
-   matrix, so bounds and scores of those are matrix products over the pivots.
-4. What reaches the threshold is merged: the k best by score, then id.
+   that bound the memory). A shard is cut into blocks of ``BLOCK`` documents. Lists in many
+   documents, which have most of the postings, are rows of a matrix of bytes, rounded up, with
+   their greatest contribution in each block. Short lists have about as many block maxima as
+   postings, so their postings are added up first. The greatest of these sums in a block and the maxima of the
+   query's long lists bound every score there; where the bound reaches the threshold the block is a
+   pivot, and all others are passed over without a look at the long lists. In pivot blocks
+   alone these are added, and what reaches the threshold is scored exactly, in the order of terms
+   that all shards share. Queries take these steps together, so bounds and scores by long
+   lists are matrix products; a list that few of them share counts as short.
+4. *Rounds.* The k-th score so far is the threshold of a task's next shard. A 64th of the shards
+   goes first, then an 8th, and what all tasks have found is the threshold of the next round.
+5. What reaches the threshold is merged: the k best by score, then id.
 
 The number of queries grows with the table, and each must be held against every shard; the
 pruning makes the step cheap, but its cost is proportional to queries times shards.
@@ -50,16 +53,25 @@ from . import common as c
 K1, B = 1.2, 0.75
 #: Documents of a block: all lists have their greatest contribution in each.
 BLOCK = 64
-#: Terms in more than one of so many documents of a shard are rows of a matrix.
-LONG = 64
+#: Terms in more than one of so many documents of a shard are rows of a matrix of bytes.
+LONG = 256
 #: Size of that matrix, at most; beyond, terms in the most documents go first.
 MATRIX_BYTES = 64 << 20
 #: A shard has at most so many documents and about so many bytes of text.
 SHARD_DOCS, SHARD_BYTES = 16384, 32 << 20
 #: Queries that take a step together.
 TOGETHER = 128
+#: A posting of a list costs as much as so many cells of the matrix.
+ROW = 400
+#: Blocks of documents that a matrix product takes together.
+BESIDE = 4
+#: Bounds, and sums in single precision, are held against levels that are less by this factor.
+NEAR = 1 - 1e-4
+LOW = np.int64(0xFFFF)
 #: Shards of a task, where there are more of them than partitions.
 SHARDS_PER_TASK = 4
+#: The first rounds go over the first of so many shards each; what they find is the threshold of the next.
+ROUNDS = 64, 8
 QUERIES_PER_BLOCK = 8192
 NO_ID = np.iinfo(np.int64).min
 SCHEMA = "query_id bigint, rank int, doc_id bigint, score double"
@@ -197,49 +209,62 @@ class Queries(Packed):
 
 
 class Index:
-    """The postings of a shard that some queries need, with contributions and block maxima."""
+    """The postings of a shard, with contributions for the queries' terms and block maxima."""
 
     def __init__(self, shard: Shard, terms: np.ndarray, df: np.ndarray, n_docs: int, mean: float):
-        at = np.minimum(np.searchsorted(terms, shard.terms), len(terms) - 1)
-        mine = np.flatnonzero(terms[at] == shard.terms)
-        self.slot = np.full(len(terms), -1)
-        self.slot[at[mine]] = np.arange(len(mine))
-        a, b = np.asarray(shard.begin)[mine], np.asarray(shard.begin)[mine + 1]
-        posting = _spread(a, b)
-        count = b - a
-        term = np.repeat(np.arange(len(mine)), count)
-        doc, tf = np.asarray(shard.doc)[posting].astype(np.int64), np.asarray(shard.tf)[posting].astype(float)
-        idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))[at[mine]]
-        norm = K1 * (1 - B + B * np.asarray(shard.size) / max(mean, 1e-9))
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        self.doc, self.n = doc, max(shard.n, 1)
-        # by document, then term: what exact scoring reads
-        order = np.argsort(doc.astype(np.uint16), kind="stable")
-        self.d_term, self.d_weight = term[order].astype(np.int32), self.weight[order]
-        self.d_begin = np.searchsorted(doc[order], np.arange(self.n + 1))
-        self.wanted = np.zeros(len(mine), bool)
-        # block maxima of all lists
+        self.terms, self.begin, self.tf = np.asarray(shard.terms), np.asarray(shard.begin), np.asarray(shard.tf)
+        self.n, self.n_docs = max(shard.n, 1), n_docs
         self.n_blocks = -(-self.n // BLOCK)
-        key = term * self.n_blocks + doc // BLOCK
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.e_begin = np.append(cut, len(key))
-        self.e_max = np.maximum.reduceat(self.weight, cut) if len(cut) else np.zeros(0)
-        self.e_block = key[cut] % self.n_blocks
-        self.t_entry = np.searchsorted(key[cut] // self.n_blocks, np.arange(len(mine) + 1))
-        # lists in many documents, as matrices by block: contributions, maxima
-        self.common = np.full(len(mine), -1)
-        long = np.flatnonzero(count * LONG > self.n)
-        most = max(1, MATRIX_BYTES // (4 * self.n_blocks * BLOCK))
+        self.count = np.diff(self.begin)
+        self.norm = K1 * (1 - B + B * np.asarray(shard.size) / max(mean, 1e-9))
+        self.doc = np.asarray(shard.doc)
+        self.weight = np.zeros(len(self.doc))
+        self.packed = self.weight.copy()  # the document in the lowest 16 bits of the contribution: one read for both
+        # by document, then term: what exact scoring reads
+        self.order = np.argsort(self.doc, kind="stable").astype(np.int32)
+        self.d_term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.count)[self.order]
+        self.d_begin = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=self.n))])
+        self.wanted = np.zeros(len(self.terms), bool)
+        # lists in many documents, as rows of a matrix of bytes: contributions without idf, rounded up, and their block maxima
+        long = np.flatnonzero(self.count * LONG > self.n)
+        most = max(1, MATRIX_BYTES // (self.n_blocks * BLOCK))
         if len(long) > most:
-            long = np.sort(long[np.argpartition(-count[long], most - 1)[:most]])
+            long = np.sort(long[np.argpartition(-self.count[long], most - 1)[:most]])
+        self.common = np.full(len(self.terms), -1)
         self.common[long] = np.arange(len(long))
-        self.dense = np.zeros((self.n_blocks, len(long), BLOCK), np.float32)
-        self.b_max = np.zeros((len(long), self.n_blocks), np.float32)
-        own = np.flatnonzero(self.common[term] >= 0)
-        self.dense[doc[own] // BLOCK, self.common[term[own]], doc[own] % BLOCK] = self.weight[own]
-        own = _spread(self.t_entry[long], self.t_entry[long + 1])
-        self.b_max[np.repeat(np.arange(len(long)), self.t_entry[long + 1] - self.t_entry[long]), self.e_block[own]] = self.e_max[own]
-        self.pivots = self.blocks = 0
+        own, row = _spread(self.begin[long], self.begin[long + 1]), np.repeat(np.arange(len(long)), self.count[long])
+        part = self._part(own)
+        self.step = np.maximum.reduceat(part, np.cumsum(self.count[long]) - self.count[long]) / 255 if len(long) else np.zeros(0)
+        self.dense = np.zeros((len(long), self.n_blocks * BLOCK), np.uint8)
+        self.dense[row, self.doc[own]] = np.minimum(np.ceil(part / self.step[row]), 255)
+        self.b_max = self.dense.reshape(len(long), self.n_blocks, BLOCK).max(2)
+        self.idf, self.known = np.zeros(len(self.terms)), np.zeros(len(self.terms), bool)
+        self.held = np.zeros((0, self.n_blocks * BLOCK), np.float32)
+        self.pivots = self.blocks = self.read = 0
+        self.ask(terms, df)
+
+    def _part(self, posting: np.ndarray) -> np.ndarray:
+        tf = self.tf[posting].astype(float)
+        return tf * (K1 + 1) / (tf + self.norm[self.doc[posting]])
+
+    def ask(self, terms: np.ndarray, df: np.ndarray) -> None:
+        """Queries to come have these terms; contributions of earlier ones are kept."""
+        self.slot = np.full(len(terms), -1)
+        if not len(terms):
+            return
+        at = np.minimum(np.searchsorted(terms, self.terms), len(terms) - 1)
+        mine = np.flatnonzero(terms[at] == self.terms)
+        self.slot[at[mine]] = mine
+        new = mine[~self.known[mine]]
+        self.known[new] = True
+        self.idf[new] = np.log1p((self.n_docs - df + 0.5) / (df + 0.5))[at[new]]
+        for x in range(0, len(new), 1 << 14):
+            some = new[x : x + (1 << 14)]
+            posting = _spread(self.begin[some], self.begin[some + 1])
+            tf = self.tf[posting].astype(float)
+            weight = np.repeat(self.idf[some], self.count[some]) * tf * (K1 + 1) / (tf + self.norm[self.doc[posting]])
+            self.weight[posting] = weight
+            self.packed[posting] = (weight.view(np.int64) & ~LOW | self.doc[posting]).view(float)
 
     def exact(self, query: np.ndarray, docs: np.ndarray, slots: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Scores of pairs (query, document), by query; contributions are added in the order of terms."""
@@ -253,7 +278,7 @@ class Index:
             self.wanted[own] = True
             on = np.flatnonzero(self.wanted[self.d_term[at]])
             self.wanted[own] = False
-            out[x:y] = np.bincount(np.repeat(np.arange(y - x), b - a)[on], self.d_weight[at[on]], minlength=y - x)
+            out[x:y] = np.bincount(np.repeat(np.arange(y - x), b - a)[on], self.weight[self.order[at[on]]], minlength=y - x)
         return out
 
     def reaching(self, begin: np.ndarray, terms: np.ndarray, levels: np.ndarray, k: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -272,66 +297,106 @@ class Index:
             slot = slots[begin[i] : begin[j]]
             query = np.repeat(np.arange(m), np.diff(begin[i : j + 1]))
             query, slot = query[slot >= 0], slot[slot >= 0]
-            row = self.common[slot]
-            columns, row[row >= 0] = np.unique(row[row >= 0], return_inverse=True)
+            # a matrix row costs all queries, a list those that ask for it
+            used = np.bincount(slot, minlength=len(self.terms))
+            columns = np.flatnonzero((self.common >= 0) & (used * self.count * ROW > self.n * m))
+            place = np.full(len(self.terms), -1)
+            place[columns] = np.arange(len(columns))
+            column = place[slot]
+            on = column >= 0
+            rows = self.common[columns]
             asked = np.zeros((m, len(columns)), np.float32)
-            asked[query[row >= 0], row[row >= 0]] = 1
-            query, slot = query[row < 0], slot[row < 0]
-            n = self.t_entry[slot + 1] - self.t_entry[slot]
-            entry, owner = _spread(self.t_entry[slot], self.t_entry[slot + 1]), np.repeat(query, n)
-            cell = owner * self.n_blocks + self.e_block[entry]
-            shared = asked @ self.b_max[columns]
-            bound = shared + np.bincount(cell, self.e_max[entry], minlength=m * self.n_blocks).reshape(m, -1)
+            asked[query[on], column[on]] = (self.step[rows] * self.idf[columns])[column[on]]
+            scores = self._short(m, query[~on], slot[~on])
+            bound = asked @ self.b_max[rows].astype(np.float32) + scores.reshape(m, self.n_blocks, BLOCK).max(2)
             level = levels[i:j].copy()
             if k is not None:
                 best = np.zeros_like(bound, dtype=bool)
                 most = min(self.n_blocks, -(-k // BLOCK) + 1)
                 np.put_along_axis(best, np.argpartition(-bound, most - 1, 1)[:, :most], True, 1)
-                scores = self._scores(best, asked, columns, owner, entry, cell, None)
-                level = np.maximum(level, self._kth(scores, k))
-            # sums of bounds are in another order and in single precision
-            pivot = (bound >= (level * (1 - 1e-5))[:, None]) & (bound > 0)
+                some = scores.copy()
+                self._add_long(some, best, asked, rows)
+                level = np.maximum(level, self._kth(some, k, i, slots, begin))
+            pivot = (bound >= (level * NEAR)[:, None]) & (bound > 0)
             self.pivots += int(pivot.sum())
             self.blocks += pivot.size
-            scores = self._scores(pivot, asked, columns, owner, entry, cell, (level * (1 - 1e-5))[:, None] - shared)
             if k is not None:
-                level = np.maximum(level, self._kth(scores, k))
-            q, d = np.nonzero((scores >= (level * (1 - 1e-5))[:, None]) & (scores > 0))
+                self._add_long(scores, pivot, asked, rows)
+                level = np.maximum(level, self._kth(scores, k, i, slots, begin))
+                q, d = np.nonzero(scores >= (level * NEAR)[:, None])
+            else:
+                q, d = self._near(scores, pivot, asked, rows, level * NEAR)
             if not len(q):
                 continue
             x = self.exact(q + i, d, slots, begin)
             good = x >= levels[i:j][q]
             yield q[good] + i, d[good], x[good]
 
-    @staticmethod
-    def _kth(scores: np.ndarray, k: int) -> np.ndarray:
-        """A level that the k-th best of each row surely reaches; 0 where there are fewer."""
-        n = scores.shape[1]
-        return np.partition(scores, n - k, 1)[:, n - k] * (1 - 1e-5) if k <= n else np.zeros(len(scores))
-
-    def _scores(self, pivot: np.ndarray, asked: np.ndarray, columns: np.ndarray, owner: np.ndarray, entry: np.ndarray, cell: np.ndarray, needed: np.ndarray | None) -> np.ndarray:
-        """Scores, in single precision, of the documents in each query's pivot blocks; too low elsewhere.
-
-        Lists in few documents come first; where no document of a block has ``needed`` then, the
-        maxima of the others don't lift it to the threshold, and the block is passed over.
-        """
-        m, width = len(pivot), self.n_blocks * BLOCK
-        own = np.flatnonzero(pivot.ravel()[cell])
-        a, b = self.e_begin[entry[own]], self.e_begin[entry[own] + 1]
-        at = _spread(a, b)
-        scores = np.bincount(np.repeat(owner[own], b - a) * width + self.doc[at], self.weight[at], minlength=m * width).astype(float, copy=False).reshape(m, width)  # counts if empty
-        if needed is not None:
-            pivot = pivot & (scores.reshape(m, self.n_blocks, BLOCK).max(2) >= needed)
-        if len(columns):
-            for block in np.flatnonzero(pivot.any(0)).tolist():
-                rows = np.flatnonzero(pivot[:, block])
-                scores[rows, block * BLOCK : (block + 1) * BLOCK] += asked[rows] @ self.dense[block][columns]
+    def _kth(self, scores: np.ndarray, k: int, i: int, slots: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """A level that the k-th best of each row surely reaches: the least exact score of the k that look best; 0 where there are fewer."""
+        m = len(scores)
+        if k > self.n:
+            return np.zeros(m)
+        docs = np.argpartition(scores[:, : self.n], self.n - k, 1)[:, self.n - k :].ravel()
+        return self.exact(np.repeat(np.arange(m) + i, k), docs, slots, begin).reshape(m, k).min(1)
+
+    def _short(self, m: int, query: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Scores by lists alone, of pairs (query, list) in the order of queries; the columns are documents. The next call overwrites them."""
+        if len(self.held) < m:
+            self.held = np.zeros((m, self.n_blocks * BLOCK), np.float32)
+        scores = self.held[:m]
+        count = self.count[slot]
+        to = np.cumsum(count)
+        shift = self.begin[slot] - (to - count)
+        cut = np.searchsorted(query, np.arange(m + 1))
+        first = np.concatenate([[0], to])[cut].tolist()
+        place, cut = np.arange(first[-1]), cut.tolist()
+        self.read += first[-1]
+        for q in range(m):  # a query at a time stays in the processor's cache
+            if first[q] == first[q + 1]:
+                scores[q] = 0
+                continue
+            at = np.repeat(shift[cut[q] : cut[q + 1]], count[cut[q] : cut[q + 1]])
+            at += place[first[q] : first[q + 1]]
+            weight = self.packed.take(at)
+            scores[q] = np.bincount(weight.view(np.int64) & LOW, weight, minlength=scores.shape[1])
         return scores
 
+    def _pivots(self, scores: np.ndarray, pivot: np.ndarray, asked: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+        """(queries, documents, scores with the matrix rows) of the queries' pivot blocks and some beside them; sums are rounded up, and in single precision."""
+        for x in range(0, self.n_blocks, BESIDE):
+            some = np.flatnonzero(pivot[:, x : x + BESIDE].any(1))
+            if len(some):
+                at = slice(x * BLOCK, min(x + BESIDE, self.n_blocks) * BLOCK)
+                sums = scores[some, at]
+                if len(rows):
+                    sums += asked[some] @ self.dense[rows, at].astype(np.float32)
+                yield some, at, sums
+
+    def _add_long(self, scores: np.ndarray, pivot: np.ndarray, asked: np.ndarray, rows: np.ndarray) -> None:
+        for some, at, sums in self._pivots(scores, pivot, asked, rows):
+            scores[some, at] = sums
+
+    def _near(self, scores: np.ndarray, pivot: np.ndarray, asked: np.ndarray, rows: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and documents, by query, that reach the levels."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for some, at, sums in self._pivots(scores, pivot, asked, rows):
+            q, d = np.nonzero(sums >= level[some][:, None])
+            if len(q):
+                out.append((some[q], d + at.start))
+        q, d = (np.concatenate([x[n] for x in out]) for n in range(2))
+        order = np.argsort(q, kind="stable")
+        return q[order], d[order]
+
 
 # -- over a corpus
 
 
+def rounds(n: int) -> list[int]:
+    """Up to which of n shards each round goes."""
+    return sorted({n // x for x in ROUNDS} - {0} | {n})
+
+
 def _zip(x: np.ndarray) -> bytes:
     return pa.compress(x.tobytes(), "zstd", asbytes=True)
 
@@ -481,8 +546,11 @@ def search(docs: DataFrame, queries: DataFrame | None = None, k: int = 10, every
     stored = c.materialize(packed.repartitionById(blocks, F.when(F.col("kind") == 1, F.col("home")).otherwise(F.pmod(F.xxhash64("blob"), F.lit(blocks)).cast("int"))).mapInArrow(store, "n bigint, words bigint, shard string"), "shards")
     totals = stored.agg(F.sum("n"), F.sum("words"), F.count("shard")).first()
     n_docs, mean = int(totals[0] or 0), float(totals[1] or 0) / max(1, int(totals[0] or 0))
-    tasks = max(1, min(totals[2], max(buckets, totals[2] // SHARDS_PER_TASK)))
-    shards = stored.where("shard IS NOT NULL").select("shard").repartition(tasks)
+    ordered = stored.where("shard IS NOT NULL").select("shard").orderBy(F.xxhash64("shard"), "shard")
+
+    def shards(a: int, b: int) -> DataFrame:
+        """Those from the a-th to the b-th, spread over tasks."""
+        return ordered.offset(a).limit(b - a).repartition(max(1, min(b - a, max(buckets, (b - a) // SHARDS_PER_TASK))))
 
     def opened(batches: Iterator[pa.RecordBatch]) -> list[Shard]:
         c.release()
@@ -494,7 +562,7 @@ def search(docs: DataFrame, queries: DataFrame | None = None, k: int = 10, every
 
     def own_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in opened(batches):
-            asked = np.asarray(shard.asked) > 0
+            index, asked = None, np.asarray(shard.asked) > 0
             for h in np.unique(shard.home[asked]).tolist():
                 if not there("queries", h):
                     continue
@@ -502,7 +570,10 @@ def search(docs: DataFrame, queries: DataFrame | None = None, k: int = 10, every
                 block = block.some(np.flatnonzero(np.isin(block.row, shard.row[asked & (shard.home == h)])))
                 if not len(block.row):
                     continue
-                index = Index(shard, block.terms, block.df, n_docs, mean)
+                if index is None:
+                    index = Index(shard, block.terms, block.df, n_docs, mean)
+                else:
+                    index.ask(block.terms, block.df)
                 best = Best(len(block.row), k)
                 for query, _, scores in index.reaching(block.begin, block.at, np.full(len(block.row), 1e-12), k):
                     best.add(query, scores)
@@ -518,36 +589,75 @@ def search(docs: DataFrame, queries: DataFrame | None = None, k: int = 10, every
                 parts.append(_unzip(blob, LEVEL))
         if parts:
             table = np.concatenate(parts)
-            c.save_array(f"{root}/levels-{home:06d}", table[np.argsort(table["row"], kind="stable")])
+            c.save_array(f"{root}/levels0-{home:06d}", table[np.argsort(table["row"], kind="stable")])
             yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32())], names=["home"])
 
-    shards.mapInArrow(own_levels, "home int, blob binary").repartitionById(blocks, "home").mapInArrow(store_levels, "home int").count()
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = opened(batches)
-        for h in range(blocks if own else 0):
-            if not there("queries", h):
-                continue
-            block = Queries.load(f"{root}/queries-{h:06d}")
-            start = np.zeros(len(block.row))
-            if there("levels", h):
-                levels = c.load_array(f"{root}/levels-{h:06d}", LEVEL)
-                i = np.minimum(np.searchsorted(levels["row"], block.row), len(levels) - 1)
-                start = np.where(levels["row"][i] == block.row, levels["level"][i], 0.0)
-            best = Best(len(block.row), k)
-            for shard in own:
-                index = Index(shard, block.terms, block.df, n_docs, mean)
-                level = np.maximum(np.maximum(start, best.level()), 1e-12)
-                for query, docs, scores in index.reaching(block.begin, block.at, level):
-                    ids = np.asarray(shard.id)[docs]
-                    order = np.lexsort((ids, -scores, query))  # the k best of each query
-                    query, ids, scores = query[order], ids[order], scores[order]
-                    new = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
-                    top = np.arange(len(query)) - np.repeat(new, np.diff(np.append(new, len(query)))) < k
-                    query, ids, scores = query[top], ids[top], scores[top]
-                    best.add(query, scores)
-                    yield pa.RecordBatch.from_arrays([pa.array(block.row[query].view(np.int64)), pa.array(block.query[query]), pa.array(ids, mask=ids == NO_ID), pa.array(scores)], names=["row", "query_id", "doc_id", "score"])
-
-    found = shards.mapInArrow(find, "row bigint, query_id bigint, doc_id bigint, score double")
+    shards(0, totals[2]).mapInArrow(own_levels, "home int, blob binary").repartitionById(blocks, "home").mapInArrow(store_levels, "home int").count()
+
+    def levels_of(number: int, h: int, rows: np.ndarray) -> np.ndarray:
+        """The levels of these rows before a round, 0 where there is none."""
+        if not there(f"levels{number}", h):
+            return levels_of(number - 1, h, rows) if number else np.zeros(len(rows))
+        levels = c.load_array(f"{root}/levels{number}-{h:06d}", LEVEL)
+        i = np.minimum(np.searchsorted(levels["row"], rows), len(levels) - 1)
+        return np.where(levels["row"][i] == rows, levels["level"][i], 0.0)
+
+    def raised(number: int):
+        """Levels for a round from the results of those before, and from the levels before."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, best, home = np.zeros(0, np.uint64), None, -1
+            for batch in batches:
+                if best is None:
+                    home = batch.column(0)[0].as_py()
+                    rows = np.sort(Queries.load(f"{root}/queries-{home:06d}").row)
+                    best = Best(len(rows), k)
+                best.add(np.searchsorted(rows, batch.column(1).to_numpy().view(np.uint64)), batch.column(2).to_numpy())
+            if best is not None:
+                out = np.zeros(len(rows), LEVEL)
+                out["row"], out["level"] = rows, np.maximum(best.level(), levels_of(number - 1, home, rows))
+                c.save_array(f"{root}/levels{number}-{home:06d}", out)
+                yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32())], names=["home"])
+
+        return run
+
+    def finder(number: int):
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            starts: dict[int, np.ndarray] = {}
+            bests: dict[int, Best] = {}
+            for shard in opened(batches):
+                index = None
+                for h in range(blocks):
+                    if not there("queries", h):
+                        continue
+                    block = Queries.load(f"{root}/queries-{h:06d}")
+                    if h not in bests:
+                        starts[h], bests[h] = levels_of(number, h, np.asarray(block.row)), Best(len(block.row), k)
+                    if index is None:
+                        index = Index(shard, block.terms, block.df, n_docs, mean)
+                    else:
+                        index.ask(block.terms, block.df)
+                    best = bests[h]
+                    level = np.maximum(np.maximum(starts[h], best.level()), 1e-12)
+                    for query, docs, scores in index.reaching(block.begin, block.at, level):
+                        ids = np.asarray(shard.id)[docs]
+                        order = np.lexsort((ids, -scores, query))  # the k best of each query
+                        query, ids, scores = query[order], ids[order], scores[order]
+                        new = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+                        top = np.arange(len(query)) - np.repeat(new, np.diff(np.append(new, len(query)))) < k
+                        query, ids, scores = query[top], ids[top], scores[top]
+                        best.add(query, scores)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(query), h, np.int32)), pa.array(block.row[query].view(np.int64)), pa.array(block.query[query]), pa.array(ids, mask=ids == NO_ID), pa.array(scores)], names=["home", "row", "query_id", "doc_id", "score"])
+
+        return find
+
+    found, begin = None, 0
+    for number, end in enumerate(rounds(totals[2])):
+        if found is not None:
+            found.select("home", "row", "score").repartitionById(blocks, "home").mapInArrow(raised(number), "home int").count()
+        part = shards(begin, end).mapInArrow(finder(number), "home int, row bigint, query_id bigint, doc_id bigint, score double")
+        if end < totals[2]:
+            part = c.materialize(part, "found")
+        found, begin = part if found is None else found.unionByName(part), end
     order = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

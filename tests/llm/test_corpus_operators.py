@@ -367,6 +367,45 @@ def test_search_cuts_shards(spark, monkeypatch):
     assert sorted([(r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in got], key=str) == brute_search(docs, 7)
 
 
+@pytest.mark.parametrize("row", [0, 3, 400])
+def test_search_index_serves_all_blocks_of_queries(monkeypatch, row):
+    monkeypatch.setattr(bm25_search, "BLOCK", 8)
+    monkeypatch.setattr(bm25_search, "TOGETHER", 7)
+    monkeypatch.setattr(bm25_search, "ROW", row)  # 0: no list is a matrix row
+    raw = [prose(k % 90, 20 + k % 60).encode() for k in range(300)]
+    off, n = np.concatenate([[0], np.cumsum([len(r) for r in raw])]), len(raw)
+    builder = bm25_search.Builder()
+    builder.add(np.frombuffer(b"".join(raw), np.uint8), off, np.arange(n), np.arange(n, dtype=np.uint64), np.arange(n) % 10 == 0, np.zeros(n, np.int32), np.ones(n, bool))
+    builder.close()
+    shard = bm25_search.Shard.build(builder)
+    df = dict(zip(shard.terms.tolist(), np.diff(shard.begin).tolist()))
+    index = None
+    for part in np.array_split(np.arange(0, n, 10), 3):
+        own = [builder.word[builder.begin[d] : builder.begin[d + 1]] for d in part]
+        terms = np.unique(np.concatenate(own))
+        counts = np.array([df[t] for t in terms.tolist()])
+        if index is None:
+            index = bm25_search.Index(shard, terms, counts, n, float(shard.size.mean()))
+        else:
+            index.ask(terms, counts)
+        begin, at = np.concatenate([[0], np.cumsum([len(x) for x in own])]), np.searchsorted(terms, np.concatenate(own))
+        every = index.exact(np.repeat(np.arange(len(part)), n), np.tile(np.arange(n), len(part)), index.slot[at], begin).reshape(len(part), n)
+        fresh = bm25_search.Index(shard, terms, counts, n, float(shard.size.mean()))
+        assert (fresh.exact(np.repeat(np.arange(len(part)), n), np.tile(np.arange(n), len(part)), fresh.slot[at], begin).reshape(len(part), n) == every).all()
+        levels = np.sort(every, 1)[:, -5]
+        found = {(q, d): x for qs, ds, xs in index.reaching(begin, at, levels) for q, d, x in zip(qs.tolist(), ds.tolist(), xs.tolist())}
+        assert found == {(q, d): every[q, d] for q, d in zip(*(x.tolist() for x in np.nonzero(every >= levels[:, None])))}
+        best = bm25_search.Best(len(part), 5)
+        for q, _, x in index.reaching(begin, at, np.full(len(part), 1e-12), 5):
+            best.add(q, x)
+        assert (best.level() == levels).all()
+
+
+def test_search_rounds():
+    assert bm25_search.rounds(384) == [6, 48, 384] and bm25_search.rounds(10) == [1, 10]
+    assert bm25_search.rounds(3) == [3] and bm25_search.rounds(0) == [0]
+
+
 # -- repeated passages
 
 
