@@ -1,9 +1,9 @@
 """Exact, fast encoding with the ``tokenizers`` library.
 
 A byte-level BPE splits a text into pieces by a pattern and encodes each piece by itself.
-The library spends most of its time on making objects for each token, and the pieces of a
-corpus repeat, so the encoder splits texts itself and has the library encode each distinct
-piece once. Texts with characters outside the ranges for which the split pattern is
+The library spends most of its time on splitting and on making objects for each token, and the
+pieces of a corpus repeat, so the encoder splits texts itself and has the library's model encode
+each distinct piece once. Texts with characters outside the ranges for which the split pattern is
 written out below, or with a special token's string, go to the library whole.
 """
 
@@ -24,6 +24,9 @@ _SPACE = r"\t-\r \x85\xa0"
 _PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Characters for which the classes above are those of the library.
 _OTHER = re.compile("[^\x00-ɏ‐-‧‰-⁞€]")
+#: The character that stands for each byte in the vocabulary of a byte-level model: itself where it is visible, else the next one from U+0100.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE = {b: chr(b) for b in _SEEN} | {b: chr(0x100 + k) for k, b in enumerate(sorted({*range(256)} - {*_SEEN}))}
 #: Pieces kept by a worker, some 250 bytes each; those met later are encoded for their batch only.
 KEPT_PIECES = 400_000
 
@@ -43,35 +46,20 @@ class Encoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.length = np.zeros(size, np.int64)
-        if self.split:
-            for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-                self.length[i] = len(token)
         self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, new: list[str], known: dict[str, bytes]) -> None:
-        """Encode pieces that are new; runs of letters go joined, as the split takes them apart again."""
-        spaced, bare, rest = [], [], []
+        """Encode pieces that are new: each is one word of the model, in the characters that stand for its bytes."""
+        tokenize, ids, ends = self.tokenizer.model.tokenize, [], [0]
         for x in new:
-            (spaced if x[0] == " " and x[1:].isalpha() else bare if x.isalpha() else rest).append(x)
-        for words, gap in ((spaced, ""), (bare, "\n")):
-            for i in range(0, len(words), 8192):
-                part = words[i : i + 8192]
-                ids = np.array(self.tokenizer.encode_batch_fast([gap.join(part)], add_special_tokens=False)[0].ids, self.dtype)
-                sizes = np.fromiter((len(x.encode()) for x in part), np.int64, len(part))
-                ends = np.cumsum(sizes + len(gap)) - len(gap)
-                first = np.concatenate([[0], ends[:-1] + len(gap)])
-                to = np.cumsum(self.length[ids])
-                a, b = np.searchsorted(to, first, "right").tolist(), (np.searchsorted(to, ends) + 1).tolist()
-                raw, k = ids.tobytes(), self.dtype.itemsize
-                known.update((x, raw[p * k : q * k]) for x, p, q in zip(part, a, b))
-        for i in range(0, len(rest), 4096):
-            part = rest[i : i + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[x] = np.array(e.ids, self.dtype).tobytes()
+            word = x.replace(" ", _BYTE[32]) if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(_BYTE)
+            ids += [t.id for t in tokenize(word)]
+            ends.append(len(ids))
+        raw, k = np.array(ids, self.dtype).tobytes(), self.dtype.itemsize
+        known.update((x, raw[p * k : q * k]) for x, p, q in zip(new, ends, ends[1:]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty)."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,16 @@ def test_encoder_is_exact(texts):
         assert np.frombuffer(b, own.dtype).tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_pieces_go_to_the_model_alone(monkeypatch):
+    own = encode.Encoder(TOKENIZER)
+    whole = own.tokenizer
+    monkeypatch.setattr(own, "tokenizer", SimpleNamespace(model=whole.model))  # no splitting by the library
+    every = "".join(map(chr, range(0x250)))
+    texts = [every, " ".join(every), *(f"x{c}{c} {c}y {c}" for c in every), "§" * 9, " \t\n  a\x00\x7f\xad\xa0 ½ “q” €5", prose(5, 300)]
+    for t, b in zip(texts, own.encode(texts)):
+        assert np.frombuffer(b, own.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 def test_encoder_beyond_its_memory(monkeypatch):
     monkeypatch.setattr(encode, "KEPT_PIECES", 20)
     own = encode.Encoder(TOKENIZER)
