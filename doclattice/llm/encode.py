@@ -34,7 +34,7 @@ KEPT_PIECES = 400_000
 class Encoder:
     """Token ids of texts as bytes of ``dtype``; equal to ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -47,19 +47,22 @@ class Encoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.pieces: dict[str, bytes] = {}
+        self.kept = kept
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, new: list[str], known: dict[str, bytes]) -> None:
         """Encode pieces that are new: each is one word of the model, in the characters that stand for its bytes."""
-        tokenize, ids, ends = self.tokenizer.model.tokenize, [], [0]
-        for x in new:
-            word = x.replace(" ", _BYTE[32]) if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(_BYTE)
-            ids += [t.id for t in tokenize(word)]
-            ends.append(len(ids))
-        raw, k = np.array(ids, self.dtype).tobytes(), self.dtype.itemsize
-        known.update((x, raw[p * k : q * k]) for x, p, q in zip(new, ends, ends[1:]))
+        tokenize, k = self.tokenizer.model.tokenize, self.dtype.itemsize
+        for i in range(0, len(new), 8192):
+            part, ids, ends = new[i : i + 8192], [], [0]
+            for x in part:
+                word = x.replace(" ", _BYTE[32]) if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(_BYTE)
+                ids += [t.id for t in tokenize(word)]
+                ends.append(len(ids))
+            raw = np.array(ids, self.dtype).tobytes()
+            known.update((x, raw[p * k : q * k]) for x, p, q in zip(part, ends, ends[1:]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty)."""
@@ -85,7 +88,7 @@ class Encoder:
             else:
                 out[i] = b"".join(ids)
         if missing:
-            known = self.pieces if len(self.pieces) + len(missing) <= KEPT_PIECES else {}
+            known = self.pieces if len(self.pieces) + len(missing) <= (self.kept or KEPT_PIECES) else {}
             self._learn(list(missing), known)
             for i, p, ids, gaps in late:
                 for k in gaps:
@@ -95,12 +98,12 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, kept: int | None) -> Encoder:
+    return Encoder(path, kept)
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder; it lives until a task of another operator comes."""
+def encoder(path: str, kept: int | None = None) -> Encoder:
+    """The worker's encoder, which keeps ``kept`` pieces, else ``KEPT_PIECES``; it lives until a task of another operator comes."""
     if not CACHES:
         CACHES.append(_encoder.cache_clear)
-    return _encoder(path)
+    return _encoder(path, kept)

@@ -37,6 +37,8 @@ SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 LENGTH, ROWS_PER_BATCH = 1024, 1024
 #: A shard has about so much text, where that makes more shards than there are partitions.
 SHARD_BYTES = 64 << 20
+#: Pieces kept by a worker; it holds little else here.
+KEPT_PIECES = 800_000
 
 
 # -- the format
@@ -140,7 +142,7 @@ def write(docs: DataFrame, tokenizer: str, place: str, end: int = 2, shards: int
     lowest = np.iinfo(np.int64).min
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        own = encoder(tokenizer, KEPT_PIECES)
         tail = np.array([end], own.dtype).tobytes()
         for batch in batches:
             _, off = c.text_buffers(batch.column(1))
@@ -153,7 +155,7 @@ def write(docs: DataFrame, tokenizer: str, place: str, end: int = 2, shards: int
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        own, writer, shard, n_docs = encoder(tokenizer), None, -1, 0
+        own, writer, shard, n_docs = encoder(tokenizer, KEPT_PIECES), None, -1, 0
         for batch in batches:
             for doc, at, packed in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "shard", "ids"))):
                 if writer is None:

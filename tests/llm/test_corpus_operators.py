@@ -41,6 +41,14 @@ def test_encoder_is_exact(texts):
         assert np.frombuffer(b, own.dtype).tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoders_keep_as_many_pieces_as_told(monkeypatch):
+    monkeypatch.setattr(encode, "KEPT_PIECES", 20)
+    few, many = encode.Encoder(TOKENIZER), encode.Encoder(TOKENIZER, 5_000)
+    for k in range(6):
+        assert few.encode([prose(k, 40)]) == many.encode([prose(k, 40)])
+    assert len(few.pieces) <= 20 < len(many.pieces) <= 5_000
+
+
 def test_pieces_go_to_the_model_alone(monkeypatch):
     own = encode.Encoder(TOKENIZER)
     whole = own.tokenizer
