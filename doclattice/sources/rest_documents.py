@@ -39,16 +39,27 @@ def _json(v: Column | str, path: str) -> Column:
     return F.to_json(F.try_variant_get(v, path, "variant"))
 
 
+def _members(v: Column | str, path: str) -> Column:
+    """Array of (key, value) of an object, or of an array without keys, each value a variant by itself.
+
+    A value taken out of a variant keeps the names of the whole document with it, so the rows of
+    a document would grow with the square of its size.
+    """
+    text = _json(v, path)
+    of_array = F.transform(F.from_json(text, "array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+    return F.coalesce(F.map_entries(F.from_json(text, "map<string,variant>")), of_array)
+
+
 def operations(parsed: DataFrame) -> DataFrame:
     """One row per operation: name, description, summary tag, path, method, place in the document.
 
     The name is the operation id, else ``METHOD path``; the description is the summary where
     there is none. Invalid documents have no operations.
     """
-    parsed.where("valid").createOrReplaceTempView("__rest_documents")
+    parsed.where("valid").select("doc", F.posexplode(_members("v", "$.paths")).alias("path_pos", "p")).createOrReplaceTempView("__rest_paths")
     rows = parsed.sparkSession.sql("""
-      SELECT d.doc, p.pos AS path_pos, p.key AS path, p.value AS item, o.key AS method, o.value AS op
-      FROM __rest_documents d, LATERAL variant_explode_outer(variant_get(d.v, '$.paths')) p, LATERAL variant_explode(p.value) o""")
+      SELECT doc, path_pos, p.key AS path, p.value AS item, o.key AS method, o.value AS op
+      FROM __rest_paths, LATERAL variant_explode(p.value) o""")
     rank = F.array_position(F.array(*[F.lit(m) for m in METHODS]), F.col("method"))
     rows = rows.where(F.col("method").isin(*METHODS))
     summary, text = _text("op", "$.summary"), _text("op", "$.description")

@@ -243,6 +243,16 @@ def test_rest_document(spark):
     assert rest_documents.display_type({"anyOf": [dict(type="array", items=PET["properties"]["self"]), {"type": "null"}]}) == "Pet[] | null"
 
 
+def test_operations_leave_the_names_of_other_paths_behind(spark):
+    paths = {f"/long/path/number/{k:05d}": {"get": {"operationId": f"op{k}", "parameters": [{"in": "query", "name": "q"}]}} for k in range(500)}
+    docs = spark.createDataFrame([("a", json.dumps({"openapi": "3.0.0", "paths": paths}))], "doc string, content string")
+    ops = rest_documents.operations(rest_documents.parse(docs))
+    rows = ops.orderBy("export_pos").collect()
+    assert [r.name for r in rows] == [f"op{k}" for k in range(500)]
+    assert max(len(v.value) + len(v.metadata) for r in rows for v in (r.item, r.op)) < 300
+    assert rest_documents.parameters(ops).count() == 500
+
+
 def test_contract_types():
     assert contracts.type_schema({"optional": {"list": {"type": "uint128", "length": 3}}}) == {"anyOf": [{"type": "array", "items": "uint", "maxItems": 3}, {"type": "null"}]}
     assert contracts.type_schema({"response": {"ok": "bool", "error": {"tuple": [{"name": "a", "type": {"string-ascii": {"length": 5}}}]}}})["error"]["properties"]["a"]["encoding"] == "ascii"
