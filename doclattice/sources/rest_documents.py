@@ -134,8 +134,12 @@ def pointers(parsed: DataFrame) -> DataFrame:
 
 
 def resolve(refs: DataFrame, known: DataFrame) -> DataFrame:
-    """References (doc, ref) with their node; ``node_json`` is null where a reference dangles or leaves the document."""
-    return refs.join(known.withColumnRenamed("pointer", "ref"), ["doc", "ref"], "left")
+    """References (doc, ref) with their node; ``node_json`` is null where a reference dangles or leaves the document.
+
+    The texts of nodes are far larger than the optimizer's estimate, which is that of the files
+    they come from, so they are never broadcast.
+    """
+    return refs.join(known.withColumnRenamed("pointer", "ref").hint("merge"), ["doc", "ref"], "left")
 
 
 def inline(node, root, seen: frozenset[str]):

@@ -313,3 +313,15 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("week").collect()
     assert [(str(r.week), r.average, r.snapshots) for r in got] == [("2023-12-31", 16, 2), ("2024-01-07", 50, 1)]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_references_are_resolved_without_a_broadcast_of_nodes(spark):
+    known = spark.createDataFrame([("a", "#/components/schemas/B", "{}")], "doc string, pointer string, node_json string")
+    refs = spark.createDataFrame([("a", "#/components/schemas/B"), ("a", "#/x")], "doc string, ref string")
+    out = rest_documents.resolve(refs, known)
+    assert {tuple(r) for r in out.collect()} == {("a", "#/components/schemas/B", "{}"), ("a", "#/x", None)}
+    assert "SortMergeJoin" in plan(out) and "Broadcast" not in plan(out)
