@@ -61,6 +61,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores: a small file would be one task, however long its rows take."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 # -- coverage and health
 
 
@@ -624,7 +630,7 @@ def _(spark, sf):
 
 @query("prose_imports", "SELECT concat('e', event_id) AS path, 1 AS block, 1 AS line, 'prose-import' AS type, event_type AS target FROM events WHERE event_type NOT IN ('view', 'click')")
 def _(spark, sf):
-    facts = code_facts.facts(table(spark, sf, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("path"), F.lit(1).alias("block"), F.concat(F.lit("import { "), F.col("event_type"), F.lit(" } from 'pkg/sub'\nimport x from 'other'")).alias("code"), F.lit(1).alias("line_start")))
+    facts = code_facts.facts(spread(table(spark, sf, "events")).select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("path"), F.lit(1).alias("block"), F.concat(F.lit("import { "), F.col("event_type"), F.lit(" } from 'pkg/sub'\nimport x from 'other'")).alias("code"), F.lit(1).alias("line_start")))
     return prose.broken_imports(facts, spark.createDataFrame([("view",), ("click",)], "name string"), "pkg")
 
 

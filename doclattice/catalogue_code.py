@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import api
-from .catalogue import _CLOSE, _DIFF, _DOC, _FIRST, _NULLS, _PACKAGES, _RAW, _key_tables, _KEYS, _packages, _PCT, _versions, queries, query, table
+from .catalogue import _CLOSE, _DIFF, _DOC, _FIRST, _NULLS, _PACKAGES, _RAW, _key_tables, _KEYS, _packages, _PCT, _versions, queries, query, spread, table
 from .functions import scalars as S
 from .operators import findings, fuzzy, history, keys, predicates, prose, registry, scoring, validation, versions
 from .plans.surface import derive
@@ -153,9 +153,7 @@ def _(spark, sf):
 @query("code_facts", """WITH f AS (SELECT concat('e', event_id) AS path, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS pos, unnest(['import', 'local', 'derived', 'identifier', 'call', 'identifier', 'identifier', 'method']) AS fact, unnest([event_type, 'made', 'made', 'made', 'use', 'use', 'made', 'run']) AS name,
 unnest(['use', NULL, 'use', NULL, NULL, NULL, NULL, 'made']) AS object, unnest(['pkg', NULL, NULL, NULL, NULL, NULL, NULL, NULL]) AS module, unnest(['named', 'const', NULL, 'value', NULL, 'call', 'value', NULL]) AS kind, unnest([1, 2, 2, 2, 2, 2, 3, 3]) AS line FROM events) SELECT path, 1 AS block, pos, fact, name, object, module, kind, line FROM f""")
 def _(spark, sf):
-    e = table(spark, sf, "events")
-    if len(e.inputFiles()) < spark.sparkContext.defaultParallelism:  # one small file would be one task
-        e = e.repartition(spark.sparkContext.defaultParallelism)
+    e = spread(table(spark, sf, "events"))
     code = F.concat(F.lit("import { "), F.col("event_type"), F.lit(" as use } from 'pkg'\nconst made = await use("), F.col("value").cast("string"), F.lit(")\nmade.run("), F.col("user_id").cast("string"), F.lit(") // "), F.col("props"))
     return code_facts.facts(e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("path"), F.lit(1).alias("block"), code.alias("code"), F.lit(1).alias("line_start")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalogue import _DOC, query, table
+from .catalogue import _DOC, query, spread, table
 from .functions import scalars as S
 from .operators import predicates
 from .plans.surface import derive
@@ -110,7 +110,7 @@ def _(spark, sf):
 
 
 def _comments(spark, sf) -> DataFrame:
-    e = derive(spark, sf, "exports")
+    e = spread(derive(spark, sf, "exports"))
     text = F.concat(
         F.lit("/**\n * Makes a "), "name", F.lit(".\n *\n * @param {"), _pick("size", "string", "{a: {b: c}}", "Map<a, b>"), F.lit("} "), F.when(F.col("size") % 2 == 0, F.concat(F.lit("[opt="), F.col("size").cast("string"), F.lit("]"))).otherwise(F.lit("must")), F.lit(" - about it\n * @arg second\n"),
         F.lit(" * @return {Promise<x>} what comes\n * @throws {"), "kind", F.lit("} now and then\n * @exception RangeError too far\n * @example Title line\n * ```ts\n * f("), F.col("size").cast("string"), F.lit(")\n * // @param no tag\n * ```\n * @see "), "spec_id", F.lit("\n */"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from doclattice import catalogue
 from doclattice.functions import scalars as S
 from doclattice.operators import findings, fuzzy, history, keys, predicates, prose, registry, scoring, versions
 from doclattice.sources import code_facts, contracts, doc_comments, files, markdown, rest_documents
@@ -306,7 +307,6 @@ def test_partial_results(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    (tmp_path / "in").mkdir()
     rows = [("2024-01-02T00:00:00", "a", 10), ("2024-01-03T00:00:00", "a", 21), ("2024-01-09T00:00:00", "a", 50), ("2024-03-01T00:00:00", "a", 1)]
     (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps({"ts": t, "package": p, "coverage": c, "lint": 0}) for t, p, c in rows))
     q = history_stream.write_weekly(history_stream.weekly_rollup(history_stream.read_log(spark, str(tmp_path / "in")), "1 day"), str(tmp_path / "out"), str(tmp_path / "state"))
@@ -325,3 +325,10 @@ def test_references_are_resolved_without_a_broadcast_of_nodes(spark):
     out = rest_documents.resolve(refs, known)
     assert {tuple(r) for r in out.collect()} == {("a", "#/components/schemas/B", "{}"), ("a", "#/x", None)}
     assert "SortMergeJoin" in plan(out) and "Broadcast" not in plan(out)
+
+
+def test_comments_are_parsed_once_and_on_all_cores(spark, tmp_path):
+    spark.createDataFrame([(k, "big ring", "b", "PROMO", k) for k in range(4)], "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    out = catalogue.queries()["comment_params"](spark, str(tmp_path))
+    assert plan(out).count("ArrowEvalPython") == 1 and "RoundRobinPartitioning" in plan(out).partition("ArrowEvalPython")[2]
+    assert out.count() == 8
