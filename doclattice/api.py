@@ -64,9 +64,9 @@ def lint(s: Surface, options: Options = Options()) -> DataFrame:
     Detectors of parameters, results, type parameters, deprecation, visibility, promises and
     properties; then examples; then links; then what running the examples gave.
     """
-    tags: list[DataFrame] = []
+    tags: list[DataFrame | tuple[DataFrame, list[str]]] = []
     if s.params is not None and s.doc_params is not None:
-        tags += [findings.param_names(s.params, s.doc_params), findings.optionality(s.params, s.doc_params), findings.param_types(s.params, s.doc_params)]
+        tags.append((findings.parameters(s.params, s.doc_params), findings.PARAMETERS))
     if s.returns is not None:
         tags.append(findings.return_types(s.returns))
     if s.type_params is not None and s.doc_type_params is not None:

@@ -27,12 +27,13 @@ _PARTS = ["param_name_mismatch", "optionality_mismatch", "param_type_mismatch",
 
 def _run(spark, sf) -> DataFrame:
     e = derive(spark, sf, "exports").withColumns({"has_tags": F.expr(_TAGGED), "has_example": F.expr(_EXAMPLE)})
-    tags = [queries()[name](spark, sf) for name in _PARTS]
+    tags = [(findings.parameters(derive(spark, sf, "params"), derive(spark, sf, "doc_params")), findings.PARAMETERS)]
+    tags += [queries()[name](spark, sf) for name in _PARTS[len(findings.PARAMETERS) :]]
     tags.append(findings.property_types(e.select("export_key", F.lit("field").alias("name"), F.when(F.col("size") % 2 == 0, "string").otherwise("number").alias("type"), F.lit("{number} text").alias("tag_text"))))
-    facts = e.select("export_key", F.when(F.col("size") % 4 == 0, "Zzmissing").when(F.col("size") % 4 == 1, "qqqqq").otherwise(F.col("name")).alias("name"), F.lit(False).alias("is_local"))
+    facts = spread(e).select("export_key", F.when(F.col("size") % 4 == 0, "Zzmissing").when(F.col("size") % 4 == 1, "qqqqq").otherwise(F.col("name")).alias("name"), F.lit(False).alias("is_local"))
     names = e.groupBy("name").agg(F.min("export_pos").alias("pos"))
     examples = [findings.unknown_identifiers(facts, names, _rows(spark, "name string", ("Promise",)))]
-    links = e.select("export_key", F.concat(F.lit("see {@link "), F.col("name"), F.when(F.col("size") % 3 == 0, "Gone").otherwise(""), F.lit("} and `{@link Code}`")).alias("text"))
+    links = spread(e).select("export_key", F.concat(F.lit("see {@link "), F.col("name"), F.when(F.col("size") % 3 == 0, "Gone").otherwise(""), F.lit("} and `{@link Code}`")).alias("text"))
     return findings.lint_run(e, tags, examples, [findings.broken_links(links, registry.names(e))])
 
 

@@ -50,7 +50,7 @@ def truthy(x: Column | str) -> Column:
 
 def present(x: Column | str) -> Column:
     """Not null and not blank."""
-    return F.coalesce(F.length(trim(x)) > 0, F.lit(False))
+    return F.coalesce(col(x).rlike(r"\S"), F.lit(False))
 
 
 def found(x: Column | str, pattern: str, group: int = 1) -> Column:
@@ -91,14 +91,18 @@ def content_hash(x: Column | str, length: int = 16) -> Column:
 
 
 def normalize_type(x: Column | str) -> Column:
-    """One blank between parts, none around angle brackets and commas' left."""
+    """One blank between parts, none around angle brackets and commas' left; a type without blanks is left as it is."""
     one = F.regexp_replace(col(x), r"\s+", " ")
-    return trim(F.regexp_replace(F.regexp_replace(one, r"\s*<\s*", "<"), r"\s*>", ">"))
+    return F.when(col(x).rlike(r"\s"), trim(F.regexp_replace(F.regexp_replace(one, r"\s*<\s*", "<"), r"\s*>", ">"))).otherwise(col(x))
 
 
 def types_equivalent(a: Column | str, b: Column | str) -> Column:
     """Equal after normalization, or both of them names for no value."""
-    x, y = normalize_type(a), normalize_type(b)
+    return same_type(normalize_type(a), normalize_type(b))
+
+
+def same_type(x: Column, y: Column) -> Column:
+    """``types_equivalent`` of types that are normalized."""
     nothing = ["void", "undefined"]
     return F.coalesce((x == y) | (F.lower(x).isin(nothing) & F.lower(y).isin(nothing)), F.lit(False))
 

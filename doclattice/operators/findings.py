@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import assertions, braces_type, error_line, has_plain_comment, is_promise, lines, link_targets, normalize_type, present, trim, truthy, types_equivalent
+from ..functions.scalars import assertions, braces_type, error_line, has_plain_comment, is_promise, lines, link_targets, normalize_type, present, same_type, trim, truthy, types_equivalent
 from .fuzzy import closest
 from .predicates import first_wins, last_wins
 
@@ -61,6 +61,38 @@ def param_types(params: DataFrame, doc_params: DataFrame) -> DataFrame:
     return _finding(bad, "param-type-mismatch", F.col("name"), normalize_type("declared"), normalize_type("type"))
 
 
+#: The types of ``parameters``, in the order of their detectors.
+PARAMETERS = ["param-mismatch", "optionality-mismatch", "param-type-mismatch"]
+
+
+def parameters(params: DataFrame, doc_params: DataFrame) -> DataFrame:
+    """What ``param_names``, ``optionality`` and ``param_types`` find, by one join of both tables.
+
+    Properties of parameters have tables of their own, so with them each detector runs by itself.
+    """
+    if "properties" in params.columns:
+        return param_names(params, doc_params).unionByName(optionality(params, doc_params)).unionByName(param_types(params, doc_params))
+    own = Window.partitionBy("export_key", "name").orderBy("sig_pos", "param_pos")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = params.select("export_key", "name", "required", F.first("type", ignorenulls=True).over(whole).alias("declared"), F.row_number().over(own).alias("__n")).where("__n = 1")
+    first = first.select("export_key", F.col("name").alias("key"), F.coalesce(~F.col("required"), F.lit(False)).alias("is_optional"), normalize_type("declared").alias("declared"), F.lit(True).alias("known"))
+    # a dotted name is looked up by its head, and as it is
+    head = F.substring_index("name", ".", 1)
+    keys = F.when(F.contains("name", F.lit(".")), F.array(head, "name")).otherwise(F.array("name"))
+    asked = doc_params.select("export_key", "name", F.when(present("type"), normalize_type("type")).alias("type"), "optional", head.alias("head"), F.explode(keys).alias("key"))
+    both = asked.join(first, ["export_key", "key"], "left")
+    say = lambda c: F.when(c, "optional").otherwise("required")
+    entry = lambda kind, when, expected=None, actual=None: F.when(when, F.struct(F.lit(kind).alias("type"), F.col("name").alias("target"), (F.lit(None).cast("string") if expected is None else expected).alias("expected"), (F.lit(None).cast("string") if actual is None else actual).alias("actual")))
+    exact = F.col("known") & (F.col("key") == F.col("name"))
+    found = [
+        entry(PARAMETERS[0], F.col("known").isNull() & F.col("key").eqNullSafe(F.col("head"))),
+        entry(PARAMETERS[1], exact & (F.col("optional") != F.col("is_optional")), say(F.col("is_optional")), say(F.col("optional"))),
+        entry(PARAMETERS[2], exact & F.col("declared").isNotNull() & F.col("type").isNotNull() & ~same_type(F.col("type"), F.col("declared")), F.col("declared"), F.col("type")),
+    ]
+    out = both.select("export_key", F.explode(F.array(*found)).alias("f")).where("f IS NOT NULL")
+    return out.select("export_key", "f.*", F.lit(None).cast("string").alias("suggestion"))
+
+
 def return_types(returns: DataFrame) -> DataFrame:
     """Rows (export_key, actual_type, doc_type): documented return types that differ."""
     bad = returns.where(present("doc_type") & present("actual_type") & ~types_equivalent("doc_type", "actual_type"))
@@ -113,7 +145,8 @@ def broken_links(texts: DataFrame, names: DataFrame, modules: DataFrame | None =
     Code in backticks is no text; addresses, paths and package names are no targets.
     """
     plain = F.regexp_replace(F.regexp_replace("text", "(?s)```.*?```", " "), "`[^`]*`", " ")
-    target = texts.select("export_key", F.explode(link_targets(plain)).alias("target"))
+    # outer, as the optimizer else finds the targets twice: also for a filter of texts that have any
+    target = texts.select("export_key", F.explode_outer(link_targets(plain)).alias("target")).where("target IS NOT NULL")
     target = target.where(~F.col("target").rlike(r"^(?:[a-z]+:)?//|^[./@#]|^mailto:")).withColumn("root", F.regexp_extract("target", r"^[^.#~]+", 0))
     known = names.select(F.col("name").alias("root")).distinct()
     if modules is not None:
@@ -197,18 +230,24 @@ def near_deprecation(findings: DataFrame, doc_lines: DataFrame, reach: int = 5)
     return findings.join(near, ["path", "start", "end"], "left_anti")
 
 
-def lint_run(exports: DataFrame, by_tags: list[DataFrame], by_examples: list[DataFrame], by_text: list[DataFrame]) -> DataFrame:
+def lint_run(exports: DataFrame, by_tags: list[DataFrame | tuple[DataFrame, list[str]]], by_examples: list[DataFrame], by_text: list[DataFrame]) -> DataFrame:
     """Every detector over whole surfaces: each runs for the exports that have what it reads.
 
     ``by_tags`` run where an export has tags, ``by_examples`` where it has examples, ``by_text``
     where it has a description (blank or not) or tags. The numbers of the detectors follow this
-    order. Of exports with one key the last counts.
+    order; a pair of findings and their types stands for a detector of each type. Of exports
+    with one key the last counts.
     """
     last = last_wins(exports, ["spec_id", "export_key"], "export_pos")
     tags, examples = F.coalesce("has_tags", F.lit(False)), F.coalesce("has_example", F.lit(False))
     last = last.select("spec_id", "export_key", F.col("source_file").alias("file"), F.col("source_line").alias("line"), tags.alias("__tags"), examples.alias("__examples"), (truthy("description") | tags).alias("__text"))
     gates = ["__tags"] * len(by_tags) + ["__examples"] * len(by_examples) + ["__text"] * len(by_text)
-    parts = [p.withColumns({"detector": F.lit(k), "gate": F.lit(g)}) for k, (p, g) in enumerate(zip([*by_tags, *by_examples, *by_text], gates))]
+    parts, n = [], 0
+    for p, g in zip([*by_tags, *by_examples, *by_text], gates):
+        p, kinds = p if isinstance(p, tuple) else (p, [None])
+        number = F.lit(n) if len(kinds) == 1 else F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("type")).cast("int") + F.lit(n - 1)
+        parts.append(p.withColumns({"detector": number, "gate": F.lit(g)}))
+        n += len(kinds)
     out = reduce(lambda a, b: a.unionByName(b), parts).join(last, "export_key")
     passed = F.when(F.col("gate") == "__tags", F.col("__tags")).when(F.col("gate") == "__examples", F.col("__examples")).otherwise(F.col("__text"))
     return out.where(passed).drop("gate", "__tags", "__examples", "__text")

@@ -54,7 +54,8 @@ def closest(sources: DataFrame, candidates: DataFrame, by: list[str] | None = No
     letter = lambda c: F.lower(F.substring(c, 1, 1))
     left = sources.distinct().withColumns({"letter": letter("source"), "keys": _word_pairs(camel_words("source"), False)})
     right = candidates.withColumns({"letter": letter("candidate"), "keys": _word_pairs(camel_words("candidate"), True)})
-    left, right = (x.withColumn("key", F.explode("keys")).drop("keys") for x in (left, right))
+    # outer, as the optimizer else forms the pairs of every row before names are made distinct, for a filter of those with any
+    left, right = (x.withColumn("key", F.explode_outer("keys")).drop("keys").where("key IS NOT NULL") for x in (left, right))
     near = left.join(right, [*by, "letter", "key"]).where(F.abs(F.length("source") - F.length("candidate")) <= 3).select(*by, "source", "candidate", "pos").distinct()
     # whether there is any name to compare with depends on letters and lengths alone
     sizes = candidates.select(*by, letter("candidate").alias("letter"), F.length("candidate").alias("size")).distinct()

@@ -307,6 +307,7 @@ def test_partial_results(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
     rows = [("2024-01-02T00:00:00", "a", 10), ("2024-01-03T00:00:00", "a", 21), ("2024-01-09T00:00:00", "a", 50), ("2024-03-01T00:00:00", "a", 1)]
     (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps({"ts": t, "package": p, "coverage": c, "lint": 0}) for t, p, c in rows))
     q = history_stream.write_weekly(history_stream.weekly_rollup(history_stream.read_log(spark, str(tmp_path / "in")), "1 day"), str(tmp_path / "out"), str(tmp_path / "state"))
@@ -332,3 +333,27 @@ def test_comments_are_parsed_once_and_on_all_cores(spark, tmp_path):
     out = catalogue.queries()["comment_params"](spark, str(tmp_path))
     assert plan(out).count("ArrowEvalPython") == 1 and "RoundRobinPartitioning" in plan(out).partition("ArrowEvalPython")[2]
     assert out.count() == 8
+
+
+def test_parameters_find_what_the_single_detectors_find(spark):
+    params = [("e", 2, 1, "a", "string", True), ("e", 1, 2, "a", None, None), ("e", 1, 3, "a.b", " Array < x > ", False), ("e", 1, 4, None, "x", True), ("e", 1, 5, "v", "void", False), (None, 1, 1, "a", "x", True)]
+    docs = [("e", 1, "a", "number", False), ("e", 2, "a", " string ", True), ("e", 3, "a.b", "Array<x>", True), ("e", 4, "a.b", "Array<y>", None), ("e", 5, "a.c", "z", True), ("e", 6, "z.b", "z", True), ("e", 7, None, "z", True), ("e", 8, "v", "Undefined", True), ("e", 9, "v", " ", False), ("e", 10, ".a", None, True), (None, 1, "a", "y", False), ("f", 1, "a", "y", False), ("e", 1, "a", "number", False)]
+    p = spark.createDataFrame(params, "export_key string, sig_pos int, param_pos int, name string, type string, required boolean")
+    d = spark.createDataFrame(docs, "export_key string, tag_pos int, name string, type string, optional boolean")
+    rows = lambda df: sorted(map(repr, df.select(*findings.COLUMNS).collect()))
+    want = findings.param_names(p, d).unionByName(findings.optionality(p, d)).unionByName(findings.param_types(p, d))
+    assert len(rows(want)) == 10 and rows(findings.parameters(p, d)) == rows(want)
+    with_properties = p.withColumn("properties", F.array(F.lit("q")))
+    assert ("e", "a.c") in {(r.export_key, r.target) for r in findings.parameters(with_properties, d).where("type = 'param-mismatch'").collect()}
+
+
+def test_blanks_of_types(spark):
+    r = one(spark, **{f"t{k}": S.normalize_type(F.lit(t)) for k, t in enumerate(["a<b>", " a < b > ", "", "  ", "a\u00a0", "a\n b"])}, p=S.present(F.lit(" \n")), q=S.present(F.lit(" x\n")), n=S.present(F.lit(None).cast("string")))
+    assert tuple(r) == ("a<b>", "a<b>", "", "", "a\u00a0", "a b", False, True, False)
+
+
+def test_a_lint_run_reads_parameters_once(spark, tmp_path):
+    spark.createDataFrame([(1, "big ring", "b", "PROMO", 3)], "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, 1, 1, k, 5.0, 0.1, "A", "O") for k in range(1, 8)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_tax double, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = catalogue.queries()["all_findings"](spark, str(tmp_path))
+    assert sum("FileScan" in line and "l_linenumber" in line for line in plan(out).splitlines()) == 2
