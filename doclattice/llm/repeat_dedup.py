@@ -14,8 +14,8 @@ suffix arrays by linear grouping (``suffix_array``) decide there.
 3. *Contents.* For each repeated anchor of a document, the bytes that its windows span go to
    the anchor's task (equal contents of a task once). There, contents equal as a whole are
    settled by the smallest id. Others are cut down to the windows whose 47-byte core also
-   occurs in another content (most by far have none), and what remains, if it isn't one
-   string, is put into a suffix array; windows that are neighbours in it and equal form a
+   occurs in another content (most by far have none), then to those whose 50 bytes do, and
+   what remains, if it isn't one string, is put into a suffix array; windows that are neighbours in it and equal form a
    group with a smallest id. Anchors of more than ``HOT`` texts send each window by its own
    hash instead, which spreads them over all tasks.
 4. *Removal.* The covered ranges go to files by block of the input; the last pass reads each
@@ -429,6 +429,36 @@ def shared_windows(texts: list[bytes], ids: list[int]) -> list[list[int]]:
     return out
 
 
+def _narrow(content: np.ndarray, group: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+    """Cut first and last, where there are any, down to windows that another content of the key has at the same place.
+
+    Equal windows have their anchor at the same place, so no other windows can be equal; contents
+    that share one passage become one string, which needs no suffix array.
+    """
+    rows = np.flatnonzero(last >= 0)
+    begin = 0
+    while begin < len(rows):
+        end = min(len(rows), begin + (1 << 14))
+        if end < len(rows):  # whole keys only
+            end = int(np.searchsorted(group[rows], group[rows[end - 1]], "right"))
+        sub = rows[begin:end]
+        begin = end
+        prefix = c.prefix_hash(content[sub].reshape(-1))
+        base, lo, hi = np.arange(len(sub)) * WIDTH, first[sub], last[sub]
+        low, high = np.full(len(sub), 255, np.int64), np.full(len(sub), -1, np.int64)
+        for t in range(int(lo.min()), int(hi.max()) + 1):
+            has = np.flatnonzero((lo <= t) & (t <= hi))
+            if not len(has):
+                continue
+            window, g = c.span_hash(prefix, base[has] + t, base[has] + t + LEAST), group[sub[has]]
+            o = np.lexsort((window, g))
+            number = np.cumsum(_first(g[o], window[o])) - 1
+            hit = has[o[np.bincount(number)[number] > 1]]
+            low[hit] = np.minimum(low[hit], t)
+            high[hit] = t
+        first[sub], last[sub] = low, high
+
+
 def _settle(e: np.ndarray) -> np.ndarray:
     """Ranges of the entries' windows that occur in documents with smaller ids."""
     ch = _content_hash(e["content"], e["lo"], e["hi"])
@@ -492,6 +522,7 @@ def _settle(e: np.ndarray) -> np.ndarray:
             hit = has[o[shared]]
             first[sub[hit]] = np.minimum(first[sub[hit]], np.maximum(a, lo[hit]))
             last[sub[hit]] = np.maximum(last[sub[hit]], np.minimum(b, hi[hit]))
+    _narrow(d["content"], group, first, last)
     open_ = np.flatnonzero(last >= 0)
     if not len(open_):
         return np.concatenate(out)

@@ -496,3 +496,15 @@ def test_token_files_by_bytes(spark, tokenizer, monkeypatch):
     got = sorted((tuple(r) for r in token_stream.read(spark, shards).collect()), key=lambda r: r[1])
     want = [(i, len(ids_of(tokenizer, t)), crc(ids_of(tokenizer, t))) for i, t in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0))]
     assert sorted(map(str, [(g[0], g[2], g[3]) for g in got])) == sorted(map(str, want)) and [g[0] for g in got] == [w[0] for w in want]
+
+
+def test_contents_are_cut_to_the_windows_that_they_share():
+    rng = np.random.default_rng(3)
+    content = rng.integers(97, 123, (5, repeat_dedup.WIDTH)).astype(np.uint8)
+    content[1, 6:61] = content[0, 6:61]  # windows 6 to 11
+    content[3, 6:61] = content[0, 6:61]  # of another key
+    first, last = np.array([4, 4, 4, 4, 255]), np.array([15, 15, 15, 15, -1])
+    repeat_dedup._narrow(content, np.array([0, 0, 0, 1, 1]), first, last)
+    assert first[:2].tolist() == [6, 6] and last.tolist() == [11, 11, -1, -1, -1]
+    # what is left is one string
+    assert content[0, 6 : 11 + repeat_dedup.LEAST].tobytes() == content[1, 6 : 11 + repeat_dedup.LEAST].tobytes()
